@@ -11,7 +11,7 @@ doc_ids array<long>, n_ids array<long>, base int (first nonterminal), rules bina
 lengths binary (uint32 for each rule), sequence binary (uint32).
 
 Encoding cuts a text at single blanks between two non-blanks, where the byte-level pre-tokenizer always cuts too, and
-encodes each distinct piece once with the tokenizers library; a bounded table of pieces is kept by the Python worker.
+encodes each distinct piece with the tokenizers library; a bounded table of pieces is kept by the Python worker.
 
 Cases: a null or empty text is the end id alone; null doc_ids sort first; equal doc_ids stand side by side, by a hash
 of the text; empty tables give empty files.
@@ -44,8 +44,28 @@ FORMAT = "shard int, block int, offset long, doc_ids array<long>, n_ids array<lo
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Numbered(dict):
+    """Numbers a piece when it is first looked up, and lists it in fresh."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+        self.next = 0
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        self[piece] = found = self.next
+        self.next += 1
+        return found
+
+
 class Encoder:
-    """Whole texts to id arrays, by distinct pieces."""
+    """Whole texts to id arrays, by distinct pieces.
+
+    The first piece of a text stands without a blank, every other one after a blank; both are numbered apart. The
+    pieces after blanks are joined and encoded in runs: as none holds another blank, one begins at each id whose
+    token begins with the blank.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,37 +73,74 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.vocabulary = self.tokenizer.get_vocab_size()
+        names = self.tokenizer.get_vocab()
+        self.vocabulary = max(names.values()) + 1
+        self.opens = np.zeros(self.vocabulary, bool)
+        self.opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbered()
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
+    def _single(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _run(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids and lengths of pieces that follow a blank each."""
+        plain = [i for i, p in enumerate(pieces) if " " not in p and not p[-1:].isspace()]
+        flat, lengths = np.empty(0, np.uint32), np.zeros(len(pieces), np.int64)
+        if plain:
+            step = 4096
+            runs = [" " + " ".join(pieces[i] for i in plain[k : k + step]) for k in range(0, len(plain), step)]
+            flat = np.concatenate(self._single(runs))
+            begin = np.flatnonzero(self.opens[flat])
+            lengths[plain] = np.diff(np.r_[begin, len(flat)])
+        if len(plain) < len(pieces):
+            odd = sorted(set(range(len(pieces))) - set(plain))
+            own = dict(zip(odd, self._single([" " + pieces[i] for i in odd]), strict=True))
+            at, parts = 0, []
+            for i, n in enumerate(lengths):
+                parts.append(own.get(i, flat[at : at + n]))
+                at += n
+            flat, lengths = np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
+        return flat, lengths
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > MOST_PIECES:
             self.clear()
-        known, flat, sizes = self.known, [], []
-        for text in texts:
-            pieces = _CUT.split(text) if text else []
-            if pieces:
-                flat.append(pieces[0])
-                flat.extend(map(" ".__add__, pieces[1:]))
-            sizes.append(len(pieces))
-        fresh = list({p for p in flat if p not in known})
-        if fresh:
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
+        known = self.known
+        rows = [t.split(" ") if t else [] for t in texts]
+        look = lambda: [np.fromiter(map(known.__getitem__, r[1:]), np.int64, max(len(r) - 1, 0)) for r in rows]
+        at = look()
+        awkward = {p for p in known.fresh if not p or p[0].isspace() or p[-1].isspace()}  # the blank beside it is no cut
+        heads = [r[0] for r in rows if r]
+        if awkward or any(not h or h[-1].isspace() for h in heads):
+            for p in awkward:
+                del known[p]
+            known.fresh = ["-" if p in awkward else p for p in known.fresh]  # their numbers stay unused
+            for i, r in enumerate(rows):
+                if r and (not r[0] or r[0][-1].isspace() or not awkward.isdisjoint(r[1:])):
+                    rows[i] = _CUT.split(texts[i])
+            at = look()
+            heads = [r[0] for r in rows if r]
+        if known.fresh:
+            fresh, known.fresh = known.fresh, []
+            flat, lengths = self._run(fresh)
+            self.ids = np.r_[self.ids, flat]
             self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(lengths)]
-            self.ids = np.r_[self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))]
-        at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-        start, length = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(length)
-        out = self.ids[np.repeat(start - (ends - length), length) + np.arange(int(length.sum()))]
-        bounds = np.r_[0, ends][np.cumsum([0, *sizes])]
-        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        first = iter(self._single(heads))
+        out = []
+        for r, x in zip(rows, at, strict=True):
+            if not r:
+                out.append(np.empty(0, np.uint32))
+                continue
+            start, length = self.starts[x], self.starts[x + 1] - self.starts[x]
+            ends = np.cumsum(length)
+            rest = self.ids[np.repeat(start - (ends - length), length) + np.arange(int(length.sum()))]
+            out.append(np.r_[next(first), rest])
+        return out
 
 
 def default_tokenizer() -> str:
