@@ -82,6 +82,6 @@ def map_texts(df: DataFrame, make, fields: str, column: str = "text", most: int
         f = make()
         for part in slices(batches, column, most):
             got = f(part.column(column).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(k) for k in keys] + [pa.array(got[x.name], type=x.type) for x in kinds], names=[*keys, *kinds.names])
+            yield pa.RecordBatch.from_arrays([part.column(k) for k in keys] + [got[x.name] if isinstance(got[x.name], pa.Array) else pa.array(got[x.name], type=x.type) for x in kinds], names=[*keys, *kinds.names])
 
     return df.select(*keys, column).mapInArrow(run, StructType([*df.select(*keys).schema.fields, *added.fields]))

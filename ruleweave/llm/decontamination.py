@@ -96,10 +96,10 @@ def _counts(documents: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {bytes(r.word): r.n for r in counted.collect()}  # at most the vocabulary of one block
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, hits (places of hit words), items (ids of items found) for every document."""
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, key: str = "doc_id") -> DataFrame:
+    """The key column, n_words, hits (places of hit words), items (ids of items found) for every document."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = documents.select(key, F.col("text").cast("string").alias("text"))
     blocks = _blocks(benchmark, block_bytes)
     many = len(blocks) > 1
     if many:
@@ -124,7 +124,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         out = part if out is None else out.unionByName(part)
     if many:
         merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  as many lists as blocks
-        out = out.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), merged("hits"), merged("items")).drop("row")
+        out = out.groupBy("row", key).agg(F.max("n_words").alias("n_words"), merged("hits"), merged("items")).drop("row")
     return out
 
 

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from .decontamination import op2_benchmark_decontamination
+from .html import op6_html_extraction
 from .language import op10_language_id
+from .pieces import op4_sentencepiece
+from .pii import op1_pii
 from .quality import op3_quality_rules
 from .simhash import op8_simhash_near_dedup
+from .substrings import op5_suffix_array_dedup
 from .token_files import op7_token_files
 from .warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
     return {
+        "op1_pii": op1_pii,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_quality_rules": op3_quality_rules,
+        "op4_sentencepiece": op4_sentencepiece,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
+        "op6_html_extraction": op6_html_extraction,
         "op7_token_files": op7_token_files,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_warc": op9_warc,

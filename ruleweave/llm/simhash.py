@@ -190,13 +190,28 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fp, component_id (least doc_id of the class) for every document."""
+    """doc_id, fp, root (a fingerprint that names the class), component_id (its least doc_id) for every document."""
     fps = saved(fingerprints(documents))
     least = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(least, threshold))
     rooted = least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(linked, "fp").select("doc_id", "fp", "component_id")
+    linked = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return fps.join(linked, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def one_of_each(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that have the least doc_id of their class: one row a class."""
+    found = near_duplicates(documents, threshold)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("fp"))).alias("x"))
+    winners = first.select(F.col("x.id").alias("winner"), F.col("x.fp").alias("winner_fp"))
+
+    def make():
+        return lambda texts: {"fp": np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)}
+
+    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("doc"), F.col("text").cast("string").alias("text"))
+    marked = map_texts(packed, make, "fp long").withColumn("id", F.col("doc.doc_id"))
+    kept = marked.join(winners, F.col("id").eqNullSafe(F.col("winner")) & (F.col("fp") == F.col("winner_fp")), "left_semi")
+    return kept.dropDuplicates(["id", "fp"]).select("doc.*")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
