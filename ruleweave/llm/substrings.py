@@ -1,18 +1,23 @@
 """Removal of byte strings that repeat across documents, by suffix arrays of content shards.
 
-Every 50-byte window of a document is owned by an anchor: of its 12-byte strings the one with the least hash, the
+Every 50-byte window of a document is owned by an anchor: of its 16-byte strings the one with the least hash, the
 leftmost of equals. Equal windows have equal anchors at equal places, so runs of windows with one anchor travel as one
-segment, and the shard that the anchor's hash falls into sees every copy of each of its windows. Inside a shard, the
-windows' suffix array is built by Larsson-Sadakane refinement: sort by the first eight bytes, then refine only the
-groups that are still unsorted by the bytes further on. Common prefixes come from Kasai's recurrence, run over all
-segments side by side; neighbours that share 50 bytes are one string. A window goes if its string's least doc_id is
-smaller than its own.
+segment, and the shard that the anchor's hash falls into sees every copy of each of its windows.
+
+1. Documents are packed into slices of about 2 MB, saved once, compressed.
+2. Each slice sends the distinct hashes of its anchors, five bytes each, to the hashes' shards; a shard answers each
+   slice with a bit per hash: whether another document has it. Windows of other anchors can't repeat.
+3. Slices send the segments of repeated anchors. Inside a shard, the windows' suffix array is built by
+   Larsson-Sadakane refinement: sort by the first eight bytes, then refine only the groups that are still unsorted by
+   the bytes further on. Common prefixes come from Kasai's recurrence, run over all segments side by side; neighbours
+   that share 50 bytes are one string. A window goes if its string's least doc_id is smaller than its own.
+4. Spans go back to their slices, which cut them out.
 
 Shards need no pairwise merging, which would be quadratic in their number: a binary search of the sorted table of hot
 anchors decides how a window is routed. An anchor is hot if it stands in at least `HOT_SHARE` of a bounded sample of
 documents. Windows of a hot anchor are routed one by one by a hash of their 50 bytes, after equal windows within a
-slice of text have been merged exactly, so a passage that a third of all documents hold spreads over all shards. The
-sample only decides the routing; results are the same for any hot table.
+slice have been merged exactly, so a passage that a third of all documents hold spreads over all shards. The sample
+only decides the routing; results are the same for any hot table.
 
 Cases: null texts are empty; a null doc_id counts as larger than all others; rows that repeat a doc_id are separate
 documents with that id; texts under 50 bytes keep all bytes; empty tables give empty results.
@@ -24,16 +29,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, slices, table
 
 WIDTH = 50
-GRAM = 12
+GRAM = 16
 #: Text bytes handled at a time by a map task, text bytes a shard, windows of one suffix array.
 SLICE = 2 << 20
-SHARD = 16 << 20
+SHARD = 32 << 20
 ARRAY = 2 << 20
 #: Documents looked at for hot anchors, and the share that makes an anchor hot.
 SAMPLE = 2000
@@ -41,7 +47,9 @@ HOT_SHARE = 0.005
 LAST = (1 << 63) - 1
 
 _U = np.uint64
-_PACKED = "part int, docs binary, rows binary, sizes array<int>, body binary"
+_SLICE = "slice long, docs binary, sizes binary, body binary"
+_ASKED = "slice long, part int, hashes binary"
+_PACKED = "slice long, part int, docs binary, counts array<int>, body binary"
 
 
 def _words(data: np.ndarray, kind: str) -> np.ndarray:
@@ -68,19 +76,23 @@ def windows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     at = starts[doc] + offset
     if not total:
         return data, at, doc, offset, np.empty(0, np.uint64), np.empty(0, bool)
-    h = _mix(_words(data, "<u8")[:-4].astype(_U) * _U(0x9E3779B97F4A7C15) + _words(data, "<u4")[8:].astype(_U)[: len(data) - 11])
-    best = np.arange(len(h), dtype=np.int32)  # place of the leftmost least hash among the next 1, 2, 4 ... grams
+    x = _words(data, "<u8")
+    h = _mix(x[:-8].astype(_U) * _U(0x9E3779B97F4A7C15) + x[8:].astype(_U))
+    best = h & _U(0xFFFFFFFF00000000) | np.arange(len(h), dtype=_U)  # hash and place: the leftmost least one wins
     span, width = 1, WIDTH - GRAM + 1
     while span < width:
         step = min(span, width - span)
-        left, right = best[:-step], best[step:]
-        best = np.where(h[left] <= h[right], left, right)
+        best = np.minimum(best[:-step], best[step:])
         span += step
-    anchor = best[at]
+    anchor = (best[at] & _U(0xFFFFFFFF)).astype(np.int64)
     begins = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]
     return data, at, doc, offset, h[anchor], begins
 
 
+def _part(key: np.ndarray, n_parts: int) -> np.ndarray:
+    return ((key >> _U(11)) % _U(n_parts)).astype(np.int64)
+
+
 # -- suffix array of a shard -------------------------------------------------------------------------
 
 
@@ -157,37 +169,90 @@ def repeated(data: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray
 # -- the job -----------------------------------------------------------------------------------------
 
 
-def _pack(part: int, docs: np.ndarray, rows: np.ndarray, ordinal: np.ndarray, offset: np.ndarray, n: np.ndarray, data: bytes, gone: tuple) -> dict:
+def _zip(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
     import zstandard
 
-    used, ordinal = np.unique(np.r_[ordinal, gone[0]], return_inverse=True)
-    k = len(offset)
-    arrays = [ordinal[:k].astype("<u4"), offset.astype("<u4"), n.astype("u1"), ordinal[k:].astype("<u4"), gone[1].astype("<u4")]
-    body = b"".join(a.tobytes() for a in arrays) + data
-    return {"part": part, "docs": docs[used].tobytes(), "rows": rows[used].tobytes(), "sizes": [k, len(gone[0]), len(body)], "body": zstandard.compress(body, 3)}
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays) + tail, 3)
 
 
-def _unpack(row: dict) -> tuple:
+def _unzip(body: bytes) -> bytes:
     import zstandard
 
-    k, g, size = row["sizes"]
-    body = zstandard.decompress(row["body"], max_output_size=size)
-    out, at = [], 0
-    for kind, n in (("<u4", k), ("<u4", k), ("u1", k), ("<u4", g), ("<u4", g)):
-        out.append(np.frombuffer(body, kind, n, at).astype(np.int64))
-        at += n * np.dtype(kind).itemsize
-    return np.frombuffer(row["docs"], np.int64), np.frombuffer(row["rows"], np.int32), *out, body[at:]
+    return zstandard.decompress(body)
+
 
+def _texts(row: dict) -> tuple[np.ndarray, list[bytes]]:
+    """doc ids and texts of a slice."""
+    sizes, data = np.frombuffer(row["sizes"], np.int64), _unzip(row["body"])
+    ends = np.cumsum(sizes)
+    return np.frombuffer(row["docs"], np.int64), [data[b - n : b] for n, b in zip(sizes, ends, strict=True)]
 
-def _route(docs: np.ndarray, rows: np.ndarray, parts: list[bytes], hot: np.ndarray, n_parts: int):
-    """Packed rows of a slice, one for each shard that gets something."""
-    data, at, doc, offset, key, begins = windows(parts)
+
+def _distinct(doc: np.ndarray, key: np.ndarray, begins: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchor hashes of a slice by shard and hash, their shards, and which stand in two of its documents."""
+    k, d = key[begins], doc[begins]
+    order = np.lexsort((d, k))
+    k, d = k[order], d[order]
+    new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    several = d[np.r_[new[1:], len(k)] - 1] != d[new]
+    k = k[new]
+    part = _part(k, n_parts)
+    order = np.argsort(part, kind="stable")
+    return k[order], part[order], several[order]
+
+
+def _ask(row: dict, n_parts: int):
+    """For each shard the hashes of a slice: low 32 bits, 7 bits more and the several bit."""
+    _, _, doc, _, key, begins = windows(_texts(row)[1])
+    if not len(key):
+        return
+    k, part, several = _distinct(doc, key, begins, n_parts)
+    bounds = np.searchsorted(part, np.arange(n_parts + 1))
+    for p in np.flatnonzero(np.diff(bounds)):
+        own = slice(bounds[p], bounds[p + 1])
+        high = (k[own] >> _U(32) & _U(127)).astype(np.uint8) << 1 | several[own]
+        yield {"slice": row["slice"], "part": int(p), "hashes": (k[own] & _U(0xFFFFFFFF)).astype("<u4").tobytes() + high.tobytes()}
+
+
+def _answer(asked: list[dict]):
+    """A bit for each hash that another document has, for each slice that asked a shard."""
+    sizes = [len(x["hashes"]) // 5 for x in asked]
+    low = np.concatenate([np.frombuffer(x["hashes"], "<u4", n) for x, n in zip(asked, sizes, strict=True)]).astype(_U)
+    high = np.concatenate([np.frombuffer(x["hashes"], "u1", n, 4 * n) for x, n in zip(asked, sizes, strict=True)])
+    key = low | (high >> 1).astype(_U) << _U(32)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    again = np.zeros(len(key), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    again |= (high & 1).astype(bool)
+    for x, bits in zip(asked, np.split(again, np.cumsum(sizes)[:-1]), strict=True):
+        yield {"slice": x["slice"], "part": x["part"], "bits": np.packbits(bits).tobytes()}
+
+
+def _route(row: dict, answers: list[dict], hot: np.ndarray, n_parts: int):
+    """Packed segments of a slice, one row for each shard that gets something."""
+    docs, texts = _texts(row)
+    data, at, doc, offset, key, begins = windows(texts)
     if not len(at):
         return
-    is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
+    k, part, _ = _distinct(doc, key, begins, n_parts)
+    count = np.bincount(part, minlength=n_parts)
+    again = np.zeros(len(k), bool)
+    first_of = np.cumsum(count) - count
+    for x in answers:
+        p = x["part"]
+        again[first_of[p] : first_of[p] + count[p]] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=count[p]).astype(bool)
+    wanted = np.sort(k[again])
+    if not len(wanted):
+        return
+    run_first = np.flatnonzero(begins)
+    run_size = np.diff(np.r_[run_first, len(at)])
+    run_key = key[run_first]
+    live = wanted[np.minimum(np.searchsorted(wanted, run_key), len(wanted) - 1)] == run_key
+    is_hot = live & (hot[np.minimum(np.searchsorted(hot, run_key), len(hot) - 1)] == run_key) if len(hot) else np.zeros(len(run_key), bool)
     gone_doc, gone_offset = (np.empty(0, np.int64),) * 2
     home = -1
-    lone = np.flatnonzero(is_hot)
+    lone = np.flatnonzero(np.repeat(is_hot, run_size))
     lone_key = np.empty(0, np.uint64)
     if len(lone):  # equal windows meet here already: all but those of the least doc_id go, one row each of that doc's
         order = lone[suffix_array(data, at[lone])]
@@ -201,15 +266,15 @@ def _route(docs: np.ndarray, rows: np.ndarray, parts: list[bytes], hot: np.ndarr
         lone_key = np.zeros(len(lone), _U)
         for i in (0, 8, 16, 24, 32, 40, 42):
             lone_key = _mix(lone_key * _U(31) + _words(data, "<u8")[at[lone] + i].astype(_U))
-        home = int(_mix(docs[:1].astype(_U))[0] % _U(n_parts)) if len(gone_doc) else -1  # any shard passes them on
-    first = np.flatnonzero(begins & ~is_hot)
-    run = np.diff(np.r_[np.flatnonzero(begins), len(at)])[np.searchsorted(np.flatnonzero(begins), first)]
+        home = row["slice"] % n_parts if len(gone_doc) else -1  # any shard passes them on
+    runs = live & ~is_hot
+    first = run_first[runs]
     start = np.r_[at[first], at[lone]]
-    n = np.r_[run, np.ones(len(lone), np.int64)]
+    n = np.r_[run_size[runs], np.ones(len(lone), np.int64)]
     owner, place = np.r_[doc[first], doc[lone]], np.r_[offset[first], offset[lone]]
-    part = (np.r_[key[first], lone_key] >> _U(11)) % _U(n_parts)
+    part = np.r_[_part(key[first], n_parts), _part(lone_key, n_parts)]
     order = np.lexsort((place, owner, part))
-    start, n, owner, place, part = start[order], n[order], owner[order], place[order], part[order].astype(np.int64)
+    start, n, owner, place, part = start[order], n[order], owner[order], place[order], part[order]
     size = n + WIDTH - 1
     ends = np.cumsum(size)
     flat = data[np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))].tobytes()
@@ -219,7 +284,11 @@ def _route(docs: np.ndarray, rows: np.ndarray, parts: list[bytes], hot: np.ndarr
     for p in range(n_parts):
         a, b = bounds[p], bounds[p + 1]
         if a < b or p == home:
-            yield _pack(p, docs, rows, owner[a:b], place[a:b], n[a:b], flat[at_byte[p] : at_byte[p + 1]], (gone_doc, gone_offset) if p == home else (nothing, nothing))
+            gone = (gone_doc, gone_offset) if p == home else (nothing, nothing)
+            used, ordinal = np.unique(owner[a:b], return_inverse=True)
+            arrays = (used.astype("<u4"), ordinal.astype("<u4"), place[a:b].astype("<u4"), n[a:b].astype("u1"), *(x.astype("<u4") for x in gone))
+            counts = [len(used), b - a, len(gone[0])]
+            yield {"slice": row["slice"], "part": p, "docs": docs[used].tobytes(), "counts": counts, "body": _zip(*arrays, tail=flat[at_byte[p] : at_byte[p + 1]])}
 
 
 def _spans(ordinal: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,49 +303,69 @@ def _spans(ordinal: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _judge(packed: list[dict]):
-    """Removed spans of one shard, as a record batch."""
-    loaded = [_unpack(r) for r in packed]
-    base = np.cumsum([0, *(len(x[0]) for x in loaded)])
-    docs, rows = np.concatenate([x[0] for x in loaded]), np.concatenate([x[1] for x in loaded])
-    ordinal = np.concatenate([x[2] + b for x, b in zip(loaded, base, strict=False)])
-    offset, n = np.concatenate([x[3] for x in loaded]), np.concatenate([x[4] for x in loaded])
-    found_doc, found_offset = [np.concatenate([x[5] + b for x, b in zip(loaded, base, strict=False)])], [np.concatenate([x[6] for x in loaded])]
-    data = np.frombuffer(b"".join(x[7] for x in loaded) + b"\0" * 8, np.uint8)
-    del loaded
+    """Removed spans of one shard, for each slice that sent something."""
+    slice_, used, ordinal, offset, n, texts, gone = [], [], [], [], [], [], []
+    docs, base = [], 0
+    for i, x in enumerate(packed):
+        body, at, got = _unzip(x["body"]), 0, []
+        u, k, g = x["counts"]
+        for kind, size in (("<u4", u), ("<u4", k), ("<u4", k), ("u1", k), ("<u4", g), ("<u4", g)):
+            got.append(np.frombuffer(body, kind, size, at).astype(np.int64))
+            at += size * np.dtype(kind).itemsize
+        used.append(got[0])
+        slice_.append(np.full(u, i))
+        docs.append(np.frombuffer(x["docs"], np.int64))
+        ordinal.append(got[1] + base)
+        offset.append(got[2])
+        n.append(got[3])
+        gone.append((i, got[4], got[5]))
+        texts.append(body[at:])
+        base += u
+    slice_, used, docs, ordinal, offset, n = map(np.concatenate, (slice_, used, docs, ordinal, offset, n))
+    data = np.frombuffer(b"".join(texts) + b"\0" * 8, np.uint8)
+    del texts
+    found: list[tuple] = [(np.full(len(d), i), d, o) for i, d, o in gone]
     size = n + WIDTH - 1
     start = np.cumsum(size) - size
     if len(n):
-        key = anchors_of(data, start, n)
+        key = anchors_of(data, start)
         k = max(1, -(-int(n.sum()) // ARRAY))
         bucket = (key >> _U(40)) % _U(k)
         for b in range(k):  # segments of one anchor stay together, and so do equal lone windows
             own = np.flatnonzero(bucket == b)
-            if not len(own):
-                continue
-            hit = repeated(data, start[own], n[own], docs[ordinal[own]])
-            segment = np.repeat(own, n[own])
-            within = np.arange(len(segment)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
-            found_doc.append(ordinal[segment[hit]])
-            found_offset.append(offset[segment[hit]] + within[hit])
-    d, a, b = _spans(np.concatenate(found_doc), np.concatenate(found_offset))
-    return pa.RecordBatch.from_arrays([pa.array(docs[d]), pa.array(rows[d]), pa.array(a << 32 | b)], names=["doc", "row", "span"])
-
-
-def anchors_of(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Hash of the anchor of each segment: the least gram hash of its first window."""
-    a, b = _words(data, "<u8"), _words(data, "<u4")
-    least = None
+            if len(own):
+                hit = repeated(data, start[own], n[own], docs[ordinal[own]])
+                segment = np.repeat(own, n[own])[hit]
+                within = (np.arange(len(hit)) - np.repeat(np.cumsum(n[own]) - n[own], n[own]))[hit]
+                found.append((slice_[ordinal[segment]], used[ordinal[segment]], offset[segment] + within))
+    s, d, o = (np.concatenate([x[i] for x in found]) for i in range(3))
+    order = np.argsort(s, kind="stable")
+    bounds = np.searchsorted(s[order], np.arange(len(packed) + 1))
+    for i, x in enumerate(packed):
+        own = order[bounds[i] : bounds[i + 1]]
+        if len(own):
+            doc, a, b = _spans(d[own], o[own])
+            yield {"slice": x["slice"], "spans": _zip(doc.astype("<i8"), a.astype("<i8"), b.astype("<i8"))}
+
+
+def anchors_of(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hash of the anchor of each segment: of the grams of its first window, by upper half and place."""
+    x = _words(data, "<u8")
+    best = key = None
     for i in range(WIDTH - GRAM + 1):
-        h = _mix(a[start + i].astype(_U) * _U(0x9E3779B97F4A7C15) + b[start + i + 8].astype(_U))
-        least = h if least is None else np.minimum(least, h)
-    return least
+        h = _mix(x[start + i].astype(_U) * _U(0x9E3779B97F4A7C15) + x[start + i + 8].astype(_U))
+        rank = h & _U(0xFFFFFFFF00000000)
+        if best is None:
+            best, key = rank, h
+        else:
+            key = np.where(rank < best, h, key)
+            best = np.minimum(best, rank)
+    return key
 
 
 def _inputs(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(LAST >> 32)).cast("int").alias("row"), "text"
-    )
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
 
 
 def hot_anchors(docs: DataFrame, n_docs: int) -> np.ndarray:
@@ -288,70 +377,91 @@ def hot_anchors(docs: DataFrame, n_docs: int) -> np.ndarray:
         for part in slices(batches, most=SLICE):
             _, _, doc, _, key, begins = windows([t.encode() for t in part.column("text").to_pylist()])
             pairs = np.unique(np.c_[doc[begins].astype(_U), key[begins]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64) if len(pairs) else np.empty(0, np.int64))], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy().view(np.int64) if len(pairs) else np.empty(0, np.int64))], names=["key"])
 
     least = max(8, int(min(SAMPLE, n_docs) * HOT_SHARE))
     found = sample.select("text").mapInArrow(look, "key long").groupBy("key").count().where(F.col("count") >= least).select("key").collect()
     return np.sort(np.array([r.key for r in found], np.int64).view(_U))
 
 
-def removed_spans(documents: DataFrame, shard_bytes: int = SHARD, hot: np.ndarray | None = None) -> DataFrame:
-    """doc, row (a hash that tells rows of one doc_id apart) and spans (start << 32 | end of covered bytes; they may overlap)."""
-    docs = _inputs(documents)
-    n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    hot = hot_anchors(docs, n_docs) if hot is None else np.sort(hot)
-    n_parts = max(1, -(-total // shard_bytes))
-    table_ = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def cut(batches):
-        for part in slices(batches, most=SLICE):
-            texts = [t.encode() for t in part.column("text").to_pylist()]
-            doc, row = part.column("doc").to_numpy(), part.column("row").to_numpy()
-            packed = list(_route(doc, row, texts, table_.value, n_parts))
-            yield pa.RecordBatch.from_pylist(packed, schema=kind)
+def _by_group(f, schema, column: str = "part"):
+    """mapInArrow function: f(rows of one value of a sorted column) -> rows."""
 
-    def judge(batches):
+    def run(batches):
         held, at = [], None
         for batch in batches:
             for row in batch.to_pylist():
-                if at is not None and row["part"] != at:
-                    yield _judge(held)
+                if held and row[column] != at:
+                    yield pa.RecordBatch.from_pylist(list(f(held)), schema=schema)
                     held = []
-                at = row["part"]
+                at = row[column]
                 held.append(row)
         if held:
-            yield _judge(held)
+            yield pa.RecordBatch.from_pylist(list(f(held)), schema=schema)
+
+    return run
+
+
+def _by_row(f, schema):
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_pylist(list(f(batch.slice(i, 1).to_pylist()[0])), schema=schema)
+
+    return run
+
 
-    kind = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("rows", pa.binary()), ("sizes", pa.list_(pa.int32())), ("body", pa.binary())])
-    packed = docs.select("doc", "row", "text").mapInArrow(cut, _PACKED)
-    found = packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(judge, "doc long, row int, span long")
-    return found.groupBy("doc", "row").agg(F.collect_list("span").alias("spans"))  # as many as its length allows
+def _schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def remove_repeats(documents: DataFrame, shard_bytes: int = SHARD, hot: np.ndarray | None = None) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, n_spans of every document."""
-    spans = saved(removed_spans(documents, shard_bytes, hot))
-    joined = _inputs(documents).join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans")
+    docs = _inputs(documents)
+    spark = docs.sparkSession
+    n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    hot = hot_anchors(docs, n_docs) if hot is None else np.sort(hot)
+    n_parts = max(1, -(-total // shard_bytes))
+    table_ = spark.sparkContext.broadcast(hot)
 
-    def apply(batches):
-        for part in slices(batches, most=SLICE):
-            out = []
-            for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                data = text.encode()
-                if not found:
-                    out.append((data, len(data), 0, 0))
-                    continue
-                found = np.sort(np.array(found, np.int64))
-                a, b = found >> 32, np.maximum.accumulate(found & 0xFFFFFFFF)
-                new = np.r_[True, a[1:] > b[:-1]]
-                begin, end = a[new], b[np.r_[np.flatnonzero(new)[1:], len(a)] - 1]
-                kept = b"".join(data[x:y] for x, y in zip([0, *end], [*begin, len(data)], strict=True))
-                out.append((kept, len(data), int((end - begin).sum()), len(begin)))
-            columns = list(zip(*out, strict=True))
-            arrays = [pa.array(x, type=t) for x, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    return joined.mapInArrow(apply, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    def pack(batches):
+        task = TaskContext.get().partitionId()
+        for i, part in enumerate(slices(batches, most=SLICE)):
+            texts = [t.encode() for t in part.column("text").to_pylist()]
+            row = [[task << 32 | i], [part.column("doc").to_numpy().tobytes()], [np.array(list(map(len, texts)), np.int64).tobytes()], [_zip(tail=b"".join(texts))]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, sliced.types, strict=True)], names=sliced.names)
+
+    sliced, asked, answered, routed, judged = map(_schema, (_SLICE, _ASKED, "slice long, part int, bits binary", _PACKED, "slice long, spans binary"))
+    slices_ = saved(docs.mapInArrow(pack, _SLICE), "none")
+    asks = slices_.mapInArrow(_by_row(lambda row: _ask(row, n_parts), asked), _ASKED)
+    answers = asks.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_by_group(_answer, answered), "slice long, part int, bits binary")
+    by_slice = answers.groupBy("slice").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))  # one for each shard at most
+    sent = slices_.join(by_slice, "slice").select("slice", "docs", "sizes", "body", "answers")
+    packed = sent.mapInArrow(_by_row(lambda row: _route(row, row["answers"], table_.value, n_parts), routed), _PACKED)
+    spans = packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_by_group(_judge, judged), "slice long, spans binary")
+    spans = saved(spans.groupBy("slice").agg(F.collect_list("spans").alias("spans")), "none")
+
+    def cut(row):
+        docs, texts = _texts(row)
+        found = [np.frombuffer(_unzip(x), "<i8").reshape(3, -1) for x in row["spans"] or ()]
+        doc, a, b = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        order = np.lexsort((a, doc))
+        doc, a, b = doc[order], a[order], b[order]
+        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+        for i, data in enumerate(texts):
+            begin, end = a[bounds[i] : bounds[i + 1]], np.maximum.accumulate(b[bounds[i] : bounds[i + 1]])
+            if len(begin):
+                new = np.r_[True, begin[1:] > end[:-1]]
+                begin, end = begin[new], end[np.r_[np.flatnonzero(new)[1:], len(end)] - 1]
+            kept = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True))
+            doc_id = int(docs[i])
+            yield {"doc_id": None if doc_id == LAST else doc_id, "kept": kept, "n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(begin)}
+
+    out = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+    return slices_.join(spans, "slice", "left").select("docs", "sizes", "body", "spans").mapInArrow(_by_row(cut, _schema(out)), out)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
