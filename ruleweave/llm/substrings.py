@@ -7,7 +7,8 @@ segment, and the shard that the anchor's hash falls into sees every copy of each
 1. Documents are packed into slices of about 2 MB, saved once, compressed.
 2. Each slice sends the distinct hashes of its anchors, five bytes each, to the hashes' shards; a shard answers each
    slice with a bit per hash: whether another document has it. Windows of other anchors can't repeat.
-3. Slices send the segments of repeated anchors. Inside a shard, the windows' suffix array is built by
+3. Slices send the segments of repeated anchors. Inside a shard, a segment equal to one of a smaller doc_id goes whole.
+   Of the others, the windows' suffix array is built by
    Larsson-Sadakane refinement: sort by the first eight bytes, then refine only the groups that are still unsorted by
    the bytes further on. Common prefixes come from Kasai's recurrence, run over all segments side by side; neighbours
    that share 50 bytes are one string. A window goes if its string's least doc_id is smaller than its own.
@@ -40,7 +41,7 @@ GRAM = 16
 #: Text bytes handled at a time by a map task, text bytes a shard, windows of one suffix array.
 SLICE = 2 << 20
 SHARD = 32 << 20
-ARRAY = 2 << 20
+ARRAY = 1 << 20
 #: Documents looked at for hot anchors, and the share that makes an anchor hot.
 SAMPLE = 2000
 HOT_SHARE = 0.005
@@ -152,6 +153,32 @@ def common_prefixes(data: np.ndarray, at: np.ndarray, sa: np.ndarray, first: np.
     return out
 
 
+def copied(data: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of byte segments, which equal one of a smaller doc: compared byte by byte with the least doc's one of equal hash."""
+    x = _words(data, "<u8")
+
+    def word(at: int, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        rest = np.clip(size[which] - at, 0, 8)
+        mask = np.where(rest == 8, _U(0xFFFFFFFFFFFFFFFF), (_U(1) << (8 * np.minimum(rest, 7)).astype(_U)) - _U(1))
+        return x[np.minimum(start[which] + at, len(x) - 1)] & mask
+
+    widths = range(0, int(size.max(initial=0)), 8)
+    key = size.astype(_U)
+    for at in widths:
+        key = _mix(key * _U(31) + word(at))
+    order = np.lexsort((doc, key))
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    rest = np.flatnonzero(doc > doc[first])
+    same = size[rest] == size[first[rest]]
+    for at in widths:
+        same &= word(at, rest) == word(at, first[rest])
+    out = np.zeros(len(order), bool)
+    out[rest[same]] = True
+    return out
+
+
 def repeated(data: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Of segments with n windows from `start` on and an owner `doc`: which windows also start in a smaller doc."""
     first = np.cumsum(n) - n
@@ -327,6 +354,11 @@ def _judge(packed: list[dict]):
     found: list[tuple] = [(np.full(len(d), i), d, o) for i, d, o in gone]
     size = n + WIDTH - 1
     start = np.cumsum(size) - size
+    if len(n):
+        again = copied(data, start, size, docs[ordinal])  # all windows of these go; the least doc's copy stands for them
+        for at in (np.zeros(int(again.sum()), np.int64), n[again] - 1):  # the first and the last one span the others
+            found.append((slice_[ordinal[again]], used[ordinal[again]], offset[again] + at))
+        ordinal, offset, n, start = (x[~again] for x in (ordinal, offset, n, start))
     if len(n):
         key = anchors_of(data, start)
         k = max(1, -(-int(n.sum()) // ARRAY))
