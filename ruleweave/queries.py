@@ -332,3 +332,6 @@ def propose_route(spark, d):
     s, c = F.col("status"), F.col("critical")
     route = first_match([(s.isNull() & c, "queued_online"), (s.isNull(), "applied_provisionally"), (s == "approved", "already_approved"), (s == "rejected", "already_rejected"), ((s == "provisional") & c, "queued_online")], "already_pending")
     return p.join(F.broadcast(rules), "rule_id", "left").select("id", route.alias("outcome"))
+
+
+from ruleweave import decision_queries as _more  # noqa: E402, F401  registers its queries here
