@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from ruleweave.functions.truth import first_match
 from ruleweave.operators.decisions import blocking_rules, facts_long, fnv1a, head_probability, near_misses, replay, screening, systematic_sample
+from ruleweave.operators.explain import proof_steps
 from ruleweave.operators.wide import Wide
+from ruleweave.plans.generalise import shared_premises
 from ruleweave.queries import _FEATURES, _WORLDS, OBSERVABLES, _register, _t, _with_truth, customer_pack, customers
+from ruleweave.sources.rule_text import parse_program
 from ruleweave.streaming.screening import screen
 
 
@@ -81,3 +86,26 @@ def tier_audit_rate(spark, d):
     returned = F.col("l_returnflag") == "R"
     rate = first_match([(returned & (F.col("l_quantity") >= 40), 0.5), (returned, 0.2), (F.col("l_quantity") >= 25, 0.1)], 0.05)
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rate.alias("rate"))
+
+
+_STEPS = [("rule", "r1", "true", "f1 = 2"), ("rule", "r2", "false", "f2 = 2"), ("rule", "r4", "true", "true"), ("fact", "overdrawn", "null", "f1 = 2"), ("fact", "large_exposure", "null", "f1 = 2"), ("fact", "urgent_buyer", "null", "f2 = 2"), ("denied", "auto_segment", "null", "f2 = 2"), ("not_concluded", "mitigated", "null", "true")]
+
+
+@_register(_with_truth() + " " + " union all ".join(f"select c_custkey, '{kind}' as kind, '{name}' as name, {ok}::boolean as approved from p2 where decline = 2 and {when}" for kind, name, ok, when in _STEPS))
+def proof(spark, d):
+    """The rules and premises that decline each declined customer, where r2 lacks approval."""
+    return proof_steps(customer_pack(), customers(spark, d), "c_custkey", "decline", ("r2",))
+
+
+@_register(
+    "with "
+    + _FEATURES
+    + """, x as (select least(overdrawn, large_exposure, urgent_buyer) = 2 or least(overdrawn, large_exposure, 2 - auto_segment) = 2 as was,
+  least(overdrawn, large_exposure) = 2 as now, coalesce(c_acctbal < -500, false) as label from feats)
+ select count(*) filter (was and now) as keeps, count(*) filter (not was and now) as gains, count(*) filter (was and not now) as losses, count(*) filter (not was and now and not label) as conflicts from x"""
+)
+def generalise_replay(spark, d):
+    """What changes if two rules are replaced by their shared premises."""
+    rules, _ = parse_program("rule g1 refer(A) <- overdrawn(A), large_exposure(A), urgent_buyer(A). rule g2 refer(A) <- overdrawn(A), large_exposure(A), not auto_segment(A).")
+    general = dataclasses.replace(shared_premises(*rules), rule_id="g")
+    return replay(Wide(rules, OBSERVABLES), Wide([general], OBSERVABLES), customers(spark, d), "refer", F.col("c_acctbal") < -500)
