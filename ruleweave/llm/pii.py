@@ -8,8 +8,10 @@ and its check-sum remainder, an IBAN its country, and a person after a title get
 title's gender and the name's script. The surrogate is then written into the entity's own pattern of separators and
 capitals. So every mention of an entity in the corpus gets one surrogate (coreference).
 
-Collision checks run over all distinct cores: a surrogate that another core of its kind has drawn, or that is itself a
-core of the corpus, is drawn anew with the next attempt number until all are distinct.
+Collision checks run over all distinct cores, on what is written (a name without its gender mark, a phone number with
+its country code): a surrogate that another core of its kind has drawn, or that is itself a core of the corpus, is drawn
+anew with the next attempt number until all are distinct. Phone numbers and mail addresses can be too short for that;
+after `KEPT_ATTEMPTS` draws the former give up the country code and the latter get longer.
 
 Texts without an entity pass through untouched and are not shuffled. For the others, mentions join the table of
 surrogates and are put back by a grouping on their row. The table has one row per distinct entity, so a mention that a
@@ -28,6 +30,7 @@ from .common import saved, table
 
 KEY = "ruleweave"
 MOST_ATTEMPTS = 50
+KEPT_ATTEMPTS = 15
 
 #: Titles by gender, and given and family names by script.
 MALE_TITLES = "Mr Herr Monsieur Señor Sr Don г-н".split()
@@ -95,6 +98,17 @@ def core_of(entity: Column, kind: Column) -> Column:
     )
 
 
+def country_of(entity: Column, kind: Column) -> Column:
+    """Digits of a phone number's country code, 0 for all else."""
+    code = F.length(F.regexp_extract(entity, r"^\+(\d{1,3})(?=[ .(-])", 1))
+    return F.when(kind == "phone", code).otherwise(0).cast("int")
+
+
+def visible(kind: Column, core: Column) -> Column:
+    """What of a core is written: all but the gender mark of a name."""
+    return F.when(kind == "person", F.substring(core, 3, 1000)).otherwise(core)
+
+
 def _draw(kind: Column, core: Column, attempt: Column, key: str, block: Column) -> Column:
     """64 hexadecimal digits for a block of characters."""
     return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, core, attempt.cast("string"), block.cast("string")), 256)
@@ -109,7 +123,7 @@ def _pick(letters: str, number: Column) -> Column:
     return F.substring(F.lit(letters), number + 1, F.lit(1))
 
 
-def _shaped(kind: Column, core: Column, attempt: Column, key: str) -> Column:
+def _shaped(kind: Column, core: Column, attempt: Column, key: str, country: Column) -> Column:
     """Character by character: each letter or digit by one of its class."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(core) - 1) / 16).cast("int")), lambda b: _draw(kind, core, attempt, key, b))
     digests = F.array_join(blocks, "")
@@ -118,7 +132,7 @@ def _shaped(kind: Column, core: Column, attempt: Column, key: str) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         number = F.conv(F.substring(digests, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
-        fixed = ((kind == "email") & (i >= F.length(core) - tail)) | ((kind == "iban") & (i < 2)) | ((kind == "card") & (i == 0))
+        fixed = ((kind == "email") & (i >= F.length(core) - tail)) | ((kind == "iban") & (i < 2)) | ((kind == "card") & (i == 0)) | ((kind == "phone") & (attempt < KEPT_ATTEMPTS) & (i < country))
         return (
             F.when(fixed | ~c.rlike(r"[\p{L}\p{N}]"), c)
             .when(secret, _pick(_HEX, number % 16))
@@ -143,9 +157,11 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, "(?!^)(?!$)"), term), F.lit(0), lambda a, x: a + x) % 10
 
 
-def surrogate_core(kind: Column, core: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate_core(kind: Column, core: Column, attempt: Column, key: str = KEY, country: Column | None = None) -> Column:
+    """country: how many digits of a phone number are its country code."""
     digest = _draw(kind, core, attempt, key, F.lit("0"))
-    shaped = _shaped(kind, core, attempt, key)
+    shaped = _shaped(kind, core, attempt, key, F.lit(0) if country is None else country)
+    longer = F.when((kind == "email") & (attempt >= KEPT_ATTEMPTS), F.translate(F.substring(digest, 41, 6), _HEX, _LATIN[:16])).otherwise("")
     octets = F.concat_ws(".", *(_number(digest, F.lit(k), 223 if k == 0 else 256).cast("int") + (1 if k == 0 else 0) for k in range(4)))
     off = (_luhn(core) - _luhn(shaped) + 10) % 10  # the last digit counts once, so it can take the difference
     last = (F.substring(shaped, -1, 1).cast("int") + off) % 10
@@ -164,19 +180,17 @@ def surrogate_core(kind: Column, core: Column, attempt: Column, key: str = KEY)
         pattern = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}[script]
         name = F.coalesce(F.when(F.substring(core, 3, 100).rlike(rf"^{pattern}"), made), name)
     name = F.coalesce(name, F.concat(F.substring(core, 1, 2), F.substring(shaped, 3, 1000)))
-    return F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "person", name).otherwise(shaped)
+    return F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "person", name).otherwise(F.concat(longer, shaped))
 
 
 def written(entity: Column, kind: Column, surrogate: Column) -> Column:
     """The surrogate core in the entity's pattern of separators and capitals."""
-    country = F.length(F.regexp_replace(F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0), r"\D", ""))
 
     def step(acc: Column, c: Column) -> Column:
         mark = ~c.rlike(r"[\p{L}\p{N}]")
         new = surrogate.substr(acc["i"] + 1, F.lit(1))
         cased = F.when((c != F.lower(c)), F.upper(new)).otherwise(new)
-        keep = mark | ((kind == "phone") & (acc["i"] < country))
-        return F.struct((acc["i"] + F.when(mark, 0).otherwise(1)).cast("int").alias("i"), F.concat(acc["out"], F.when(keep, c).otherwise(cased)).alias("out"))
+        return F.struct((acc["i"] + F.when(mark, 0).otherwise(1)).cast("int").alias("i"), F.concat(acc["out"], F.when(mark, c).otherwise(cased)).alias("out"))
 
     start = F.struct(F.lit(0).cast("int").alias("i"), F.lit("").alias("out"))
     woven = F.aggregate(F.split(entity, "(?!^)(?!$)"), start, step, lambda a: a["out"])
@@ -197,20 +211,23 @@ def detect(documents: DataFrame, column: str = "text") -> DataFrame:
 
 
 def surrogates(mentions: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, core, surrogate: distinct for distinct cores of a kind, and none of them a core itself."""
-    cores = mentions.select("kind", "core").distinct()
-    drawn = saved(cores.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate_core(F.col("kind"), F.col("core"), F.col("attempt"), key)))
+    """kind, core, surrogate: written differently for distinct cores of a kind, and none of them as a core itself."""
+    country = country_of(F.col("entity"), F.col("kind"))  # of one number written in several ways, the longest code
+    cores = saved(mentions.groupBy("kind", "core").agg(F.max(country).alias("country")))
+    draw = surrogate_core(F.col("kind"), F.col("core"), F.col("attempt"), key, F.col("country"))
+    drawn = saved(cores.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw))
+    seen = visible(F.col("kind"), F.col("surrogate")).alias("seen")
+    real = cores.select("kind", visible(F.col("kind"), F.col("core")).alias("seen"), F.lit(True).alias("real")).distinct()
     for _ in range(MOST_ATTEMPTS):
-        first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "core"))["core"].alias("keeper"), F.count("*").alias("n"))
-        real = cores.select("kind", F.col("core").alias("surrogate"), F.lit(True).alias("real"))
-        checked = first.join(real, ["kind", "surrogate"], "left").where((F.col("n") > 1) | F.col("real"))
-        wrong = drawn.join(checked, ["kind", "surrogate"]).where(F.col("real") | (F.col("core") != F.col("keeper"))).select("kind", "core", F.lit(True).alias("wrong"))
+        first = drawn.groupBy("kind", seen).agg(F.min(F.struct("attempt", "core"))["core"].alias("keeper"), F.count("*").alias("n"))
+        checked = first.join(real, ["kind", "seen"], "left").where((F.col("n") > 1) | F.col("real"))
+        wrong = drawn.withColumn("seen", seen).join(checked, ["kind", "seen"]).where(F.col("real") | (F.col("core") != F.col("keeper"))).select("kind", "core", F.lit(True).alias("wrong"))
         wrong = saved(wrong)
         if wrong.isEmpty():
             return drawn.select("kind", "core", "surrogate")
         again = F.col("attempt") + F.when(F.col("wrong"), 1).otherwise(0)
         redrawn = drawn.join(wrong, ["kind", "core"], "left").withColumn("attempt", again)
-        redo = F.when(F.col("wrong"), surrogate_core(F.col("kind"), F.col("core"), F.col("attempt"), key)).otherwise(F.col("surrogate"))
+        redo = F.when(F.col("wrong"), draw).otherwise(F.col("surrogate"))
         drawn = saved(redrawn.withColumn("surrogate", redo).drop("wrong"))
     raise RuntimeError("no distinct surrogates were found")
 

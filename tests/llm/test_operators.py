@@ -170,6 +170,20 @@ def test_surrogates_are_distinct(spark):
     assert drawn.select("surrogate").distinct().count() == n
 
 
+def test_written_replacements_are_distinct(spark):
+    titles = ["Mr", "Dr", "Mrs"]
+    people = [f"{t} {a}{b} {c}son" for t in titles for a in ("Jo", "Al", "Ka") for b in "abcdefghij" for c in ("Wat", "Rob", "Ander", "Nel", "Jack")]
+    texts = people + [f"+{c} {i:02d} {k}7" for c in (49, 380) for i in range(0, 100, 3) for k in range(1, 9)] + ["Dr Adrian Bauer"]
+    mentions = pii.detect(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    found = mentions.join(pii.surrogates(mentions), ["kind", "core"]).select("entity", "kind", pii.written(pii.F.col("entity"), pii.F.col("kind"), pii.F.col("surrogate")).alias("new")).collect()
+    assert len(found) == len(texts)
+    for kind, bare in (("person", lambda x: x.split(" ", 1)[1]), ("phone", lambda x: x)):
+        own = [r for r in found if r.kind == kind]
+        names = {bare(r.entity) for r in own}
+        assert len({bare(r.new) for r in own}) == len(own) and not names & {bare(r.new) for r in own}
+    assert all(r.entity.split()[0] == r.new.split()[0] for r in found)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
