@@ -13,6 +13,11 @@ its country code): a surrogate that another core of its kind has drawn, or that
 anew with the next attempt number until all are distinct. Phone numbers and mail addresses can be too short for that;
 after `KEPT_ATTEMPTS` draws the former give up the country code and the latter get longer.
 
+A person is a title with all name words, initials and particles after it. Family names get surrogates of their own, so
+'Mr Smith' shares that of 'Mr John Smith'. Inside a document a full name without a title, or with one that tells no
+gender, is the person of that name whose title tells it, if there is just one. An untitled surname alone is not sought,
+as it can be a common word.
+
 Texts without an entity pass through untouched and are not shuffled. For the others, mentions join the table of
 surrogates and are put back by a grouping on their row. The table has one row per distinct entity, so a mention that a
 third of the documents share only makes the mentions' side of the join uneven, which adaptive execution splits.
@@ -55,7 +60,10 @@ NAMES = {
 }
 
 _TITLES = MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_TITLE = rf"(?:{'|'.join(_TITLES)})\.? (?:(?:{'|'.join(NEUTRAL_TITLES)})\.? )*"
+_PARTICLE = "(?:von|van|de|der|den|del|della|di|da|dos|du|la|ter|ten|zu|zum|zur|af|av|bin|ibn|al|el) "
+_WORD = rf"(?:{_PARTICLE})*(?:\p{{Lu}}[\p{{L}}'’-]+|\p{{Lu}}\.)"
+_NEXT = rf"(?: (?!(?:{'|'.join(x for x in _TITLES if x != 'Don')})\.? ){_WORD})*"
 #: Kinds in the order in which they are tried.
 KINDS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}",
@@ -65,11 +73,11 @@ KINDS = {
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5})(?![\p{L}\p{N}])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_TITLES)})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_WORD}{_NEXT}",
 }
 ENTITY = "|".join(KINDS.values())
-#: What every entity holds: a digit, an at sign or a title. Cheap to look for.
-_TRIGGER = r"[0-9@]|(?:" + "|".join(_TITLES) + r")\.? \p{Lu}"
+#: What every entity holds: a digit, an at sign, the beginning of a key or a title. Cheap to look for.
+_TRIGGER = r"[0-9@]|AKIA|gh[opsu]_|sk-|(?:" + "|".join(_TITLES) + rf")\.? (?:\p{{Lu}}|{_PARTICLE})"
 _HEX = "0123456789abcdef"
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
 _CYRILLIC = "абвгдежзиклмнопрстуфхцчшщэюя"
@@ -84,13 +92,23 @@ def kind_of(entity: Column) -> Column:
 
 
 def _without_title(entity: Column) -> Column:
-    return F.regexp_replace(entity, rf"^(?:{'|'.join(_TITLES)})\.? ", "")
+    return F.regexp_replace(entity, f"^{_TITLE}", "")
+
+
+def gender_of(entity: Column) -> Column:
+    """m, f or n by the title."""
+    return F.when(entity.rlike(rf"^(?:{'|'.join(MALE_TITLES)})\.? "), "m").when(entity.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\.? "), "f").otherwise("n")
 
 
-def core_of(entity: Column, kind: Column) -> Column:
+def _surname(core: Column) -> Column:
+    """Core of a person's family name: the last word and the particles before it."""
+    return F.concat(F.lit("n "), F.regexp_extract(F.substring(core, 3, 1000), rf"(?:^|(?<= ))(?:{_PARTICLE})*[^ ]+$", 0))
+
+
+def core_of(entity: Column, kind: Column, gender: Column | None = None) -> Column:
     """Letters and digits in lower case; dots stay in mail addresses and IPv4 addresses, blanks in names."""
     plain = F.lower(entity)
-    gender = F.when(entity.rlike(rf"^(?:{'|'.join(MALE_TITLES)})\.? "), "m").when(entity.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\.? "), "f").otherwise("n")
+    gender = gender_of(entity) if gender is None else gender
     return (
         F.when(kind == "person", F.concat(gender, F.lit(" "), F.lower(_without_title(entity))))
         .when(kind.isin("email", "ip"), plain)
@@ -106,7 +124,7 @@ def country_of(entity: Column, kind: Column) -> Column:
 
 def visible(kind: Column, core: Column) -> Column:
     """What of a core is written: all but the gender mark of a name."""
-    return F.when(kind == "person", F.substring(core, 3, 1000)).otherwise(core)
+    return F.when(kind.isin("person", "surname"), F.substring(core, 3, 1000)).otherwise(core)
 
 
 def _draw(kind: Column, core: Column, attempt: Column, key: str, block: Column) -> Column:
@@ -139,8 +157,8 @@ def _shaped(kind: Column, core: Column, attempt: Column, key: str, country: Colu
             .when(c.rlike(r"\d"), _pick("0123456789", number % 10))
             .when(c.rlike(r"\p{IsCyrillic}"), _pick(_CYRILLIC, number % len(_CYRILLIC)))
             .when(c.rlike(r"\p{IsGreek}"), _pick(_GREEK, number % len(_GREEK)))
-            .when(c.rlike(r"\p{IsLatin}"), _pick(_LATIN, number % len(_LATIN)))
-            .otherwise(c)
+            .when(c.rlike(r"\p{N}"), _pick("0123456789", number % 10))
+            .otherwise(_pick(_LATIN, number % len(_LATIN)))  # other scripts too, or they would stay in clear
         )
 
     return F.array_join(F.transform(F.split(core, "(?!^)(?!$)"), one), "")
@@ -157,8 +175,9 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, "(?!^)(?!$)"), term), F.lit(0), lambda a, x: a + x) % 10
 
 
-def surrogate_core(kind: Column, core: Column, attempt: Column, key: str = KEY, country: Column | None = None) -> Column:
-    """country: how many digits of a phone number are its country code."""
+def surrogate_core(kind: Column, core: Column, attempt: Column, key: str = KEY, country: Column | None = None, family: Column | None = None) -> Column:
+    """country: how many digits of a phone number are its country code; family: a person's family name, already drawn."""
+    family_name = F.lit(None).cast("string") if family is None else family
     digest = _draw(kind, core, attempt, key, F.lit("0"))
     shaped = _shaped(kind, core, attempt, key, F.lit(0) if country is None else country)
     longer = F.when((kind == "email") & (attempt >= KEPT_ATTEMPTS), F.translate(F.substring(digest, 41, 6), _HEX, _LATIN[:16])).otherwise("")
@@ -173,14 +192,15 @@ def surrogate_core(kind: Column, core: Column, attempt: Column, key: str = KEY,
         as_male = (gender == "m") | ((gender == "n") & (_number(digest, F.lit(2), 2) == 0))
         given = F.when(as_male, F.get(male, _number(digest, F.lit(0), len(lists["m"])))).otherwise(F.get(female, _number(digest, F.lit(0), len(lists["f"]))))
         own = F.get(family, _number(digest, F.lit(1), len(lists["family"])))
-        # lists are short: later attempts add syllables to the family name, so there is always another surrogate
+        # lists are short: later attempts add syllables, so there is always another surrogate
         extra = F.when(attempt > 0, F.translate(F.substring(digest, 33, 6), _HEX, {"latin": "aeiouaeiounrstlm", "cyrillic": "аеиоуаеиоунрстлм", "greek": "αειουαειουνρστλμ"}[script])).otherwise("")
-        double = F.size(F.split(core, " ")) > 2
-        made = F.lower(F.concat(gender, F.lit(" "), F.when(double, F.concat(given, F.lit(" "))).otherwise(""), own, extra))
+        made = F.lower(F.concat(gender, F.lit(" "), F.when(kind == "surname", F.concat(own, extra)).otherwise(F.concat(given, extra, F.lit(" "), F.coalesce(family_name, own)))))
         pattern = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}[script]
         name = F.coalesce(F.when(F.substring(core, 3, 100).rlike(rf"^{pattern}"), made), name)
-    name = F.coalesce(name, F.concat(F.substring(core, 1, 2), F.substring(shaped, 3, 1000)))
-    return F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "person", name).otherwise(F.concat(longer, shaped))
+    own_shape = F.substring(shaped, 3, 1000)
+    other = F.when(kind == "surname", own_shape).otherwise(F.concat(F.regexp_replace(own_shape, " [^ ]+$", ""), F.lit(" "), F.coalesce(family_name, F.regexp_extract(own_shape, "[^ ]+$", 0))))
+    name = F.coalesce(name, F.concat(F.substring(core, 1, 2), other))
+    return F.when(kind == "ip", octets).when(kind == "card", card).when(kind.isin("person", "surname"), name).otherwise(F.concat(longer, shaped))
 
 
 def written(entity: Column, kind: Column, surrogate: Column) -> Column:
@@ -195,26 +215,63 @@ def written(entity: Column, kind: Column, surrogate: Column) -> Column:
     start = F.struct(F.lit(0).cast("int").alias("i"), F.lit("").alias("out"))
     woven = F.aggregate(F.split(entity, "(?!^)(?!$)"), start, step, lambda a: a["out"])
     upper = entity == F.upper(entity)
-    title = F.regexp_extract(entity, rf"^(?:{'|'.join(_TITLES)})\.? ", 0)
+    title = F.regexp_extract(entity, f"^{_TITLE}", 0)
     name = F.substring(surrogate, 3, 1000)
     as_name = F.concat(title, F.when(_without_title(entity) == F.upper(_without_title(entity)), F.upper(name)).otherwise(F.initcap(name)))
     plain = F.when(upper, F.upper(surrogate)).otherwise(surrogate)
     return F.when(kind == "person", as_name).when(kind.isin("email", "ip"), plain).otherwise(woven)
 
 
+def _first_look(text: Column) -> Column:
+    return F.when(text.rlike(_TRIGGER), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
+
+
+def _whole_look(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with `found` (entity and gender of all mentions) and `pattern` (what finds them), from `found` of the first look."""
+    titled = lambda e: e.rlike(f"^{_TITLE}{_WORD}")
+    full = F.filter(F.transform(F.filter("found", titled), _without_title), lambda n: n.rlike(rf"^{_WORD} "))
+    rows = rows.withColumn("full", F.array_distinct(full))
+    forms = F.array_distinct(F.concat("full", F.transform("full", F.upper)))
+    quoted = F.transform(F.reverse(F.array_sort(forms)), lambda n: F.regexp_replace(n, r"\.", r"\\."))  # a longer name before its beginning
+    more = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    rows = rows.withColumn("pattern", F.when(F.size("full") > 0, more).otherwise(ENTITY))
+    rows = rows.withColumn("found", F.when(F.size("full") > 0, F.regexp_extract_all(text, F.col("pattern"), F.lit(0))).otherwise(F.col("found")))
+    name = lambda e: F.lower(_without_title(e))
+    known = F.filter("found", lambda e: titled(e) & (gender_of(e) != "n"))
+    rows = rows.withColumn("known", F.array_distinct(F.transform(known, lambda e: F.struct(name(e).alias("name"), gender_of(e).alias("gender")))))
+
+    def placed(e: Column) -> Column:
+        own = F.filter("known", lambda p: p["name"] == name(e))
+        gender = F.when((gender_of(e) == "n") & (F.size("known") > 0) & (F.size(own) == 1), F.get(own, F.lit(0))["gender"]).otherwise(gender_of(e))
+        return F.struct(e.alias("entity"), gender.alias("gender"))
+
+    return rows.withColumn("found", F.transform("found", placed)).drop("full", "known")
+
+
 def detect(documents: DataFrame, column: str = "text") -> DataFrame:
-    """entity, kind, core of all distinct mentions."""
-    text = F.col(column).cast("string")
-    mentions = documents.where(text.rlike(_TRIGGER)).select(F.explode(F.regexp_extract_all(text, F.lit(ENTITY), 0)).alias("entity"))
-    distinct = mentions.groupBy("entity").agg(F.count("*").alias("mentions"))
-    return distinct.withColumn("kind", kind_of(F.col("entity"))).withColumn("core", core_of(F.col("entity"), F.col("kind")))
+    """entity, gender, kind, core of all distinct mentions."""
+    text = F.col("text")
+    rows = documents.select(F.col(_quoted(column)).cast("string").alias("text")).withColumn("found", _first_look(text)).where(F.size("found") > 0)
+    distinct = _whole_look(rows, text).select(F.inline("found")).groupBy("entity", "gender").agg(F.count("*").alias("mentions"))
+    return distinct.withColumn("kind", kind_of(F.col("entity"))).withColumn("core", core_of(F.col("entity"), F.col("kind"), F.col("gender")))
 
 
 def surrogates(mentions: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, core, surrogate: written differently for distinct cores of a kind, and none of them as a core itself."""
+    """kind, core, surrogate: written differently for distinct cores of a kind (a family name alone is one for all genders), and none of them as a core itself."""
     country = country_of(F.col("entity"), F.col("kind"))  # of one number written in several ways, the longest code
-    cores = saved(mentions.groupBy("kind", "core").agg(F.max(country).alias("country")))
-    draw = surrogate_core(F.col("kind"), F.col("core"), F.col("attempt"), key, F.col("country"))
+    cores = saved(mentions.groupBy("kind", "core").agg(F.max(country).alias("country")).withColumn("surname", F.when(F.col("kind") == "person", _surname(F.col("core")))))
+    surnames = cores.where(F.col("kind") == "person").select(F.lit("surname").alias("kind"), F.col("surname").alias("core")).distinct()
+    families = _distinct(surnames.withColumn("country", F.lit(0)).withColumn("family", F.lit(None).cast("string")), key)
+    families = families.select(F.col("core").alias("surname"), F.substring("surrogate", 3, 1000).alias("family"))
+    cores = saved(cores.join(families, "surname", "left").withColumn("alone", F.substring("core", 3, 1000) == F.substring("surname", 3, 1000)).drop("surname"))
+    rest = _distinct(cores.where(~F.coalesce("alone", F.lit(False))).drop("alone"), key)
+    alone = cores.where("alone").select("kind", "core", F.concat(F.substring("core", 1, 2), "family").alias("surrogate"))
+    return rest.unionByName(alone)
+
+
+def _distinct(cores: DataFrame, key: str) -> DataFrame:
+    """kind, core, surrogate of the cores, drawn until all differ."""
+    draw = surrogate_core(F.col("kind"), F.col("core"), F.col("attempt"), key, F.col("country"), F.col("family"))
     drawn = saved(cores.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw))
     seen = visible(F.col("kind"), F.col("surrogate")).alias("seen")
     real = cores.select("kind", visible(F.col("kind"), F.col("core")).alias("seen"), F.lit(True).alias("real")).distinct()
@@ -237,19 +294,21 @@ def pseudonymise(documents: DataFrame, key: str = KEY, column: str = "text", cou
     names = documents.columns
     mentions = saved(detect(documents, column))
     drawn = surrogates(mentions, key)
-    written_as = mentions.join(drawn, ["kind", "core"]).select("entity", written(F.col("entity"), F.col("kind"), F.col("surrogate")).alias("replacement"))
+    written_as = mentions.join(drawn, ["kind", "core"]).select("entity", "gender", written(F.col("entity"), F.col("kind"), F.col("surrogate")).alias("replacement"))
     written_as = saved(written_as)
 
     text = F.col(f"doc.{_quoted(column)}").cast("string")
     packed = documents.select(F.struct(*(F.col(_quoted(c)) for c in names)).alias("doc"))
-    found = packed.withColumn("found", F.when(text.rlike(_TRIGGER), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>")))
+    found = packed.withColumn("found", _first_look(text))
     untouched = found.where(F.coalesce(F.size("found"), F.lit(0)) <= 0).select("doc.*", *([F.lit(0).cast("long").alias(count)] if count else []))
 
-    rows = found.where(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id())
-    each = rows.select("row", "doc", F.posexplode("found").alias("at", "entity")).withColumn("doc", F.when(F.col("at") == 0, F.col("doc")))
-    joined = each.join(written_as, "entity", "left")
-    grouped = joined.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), F.array_sort(F.collect_list(F.struct("at", "replacement"))).alias("parts"))
-    gaps = F.split(text, ENTITY, -1)
+    rows = _whole_look(found.where(F.size("found") > 0), text).withColumn("row", F.monotonically_increasing_id())
+    each = rows.select("row", "doc", "pattern", F.posexplode("found").alias("at", "mention"))
+    first = lambda c: F.when(F.col("at") == 0, F.col(c)).alias(c)
+    joined = each.select("row", first("doc"), first("pattern"), "at", "mention.*").join(written_as, ["entity", "gender"], "left")
+    kept = [F.first(c, ignorenulls=True).alias(c) for c in ("doc", "pattern")]
+    grouped = joined.groupBy("row").agg(*kept, F.array_sort(F.collect_list(F.struct("at", "replacement"))).alias("parts"))
+    gaps = F.split(text, F.col("pattern"), -1)
     woven = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("parts")), F.col("parts"), lambda g, p: F.concat(g, p["replacement"])), ""), F.element_at(gaps, -1))
     changed = grouped.select(
         *((woven if c == column else F.col(f"doc.{_quoted(c)}")).alias(c) for c in names), *([F.size("parts").cast("long").alias(count)] if count else [])

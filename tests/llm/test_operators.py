@@ -184,6 +184,19 @@ def test_written_replacements_are_distinct(spark):
     assert all(r.entity.split()[0] == r.new.split()[0] for r in found)
 
 
+def test_pii_leaves_no_entity_in_clear(spark):
+    texts = ["key sk-abcdefghijklmnopqrstuvwx", "Mr John Paul Smith, Frau Anna von Weber and Dr J. Keats met J. Keats", "Mr John Smith came. John Smith and Dr John Smith left, said Mr Smith", "Herr Dr Weber", "用户名@例子.com", "Dr Kim Lee, Mrs Kim Lee"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0] != texts[0] and got[0].startswith("key ")
+    assert not any(w in got[1].split() for w in ("John", "Paul", "Smith,", "Anna", "von", "Weber", "J.", "Keats"))
+    assert got[1].split(" met ")[0].endswith("Dr " + got[1].split(" met ")[1])
+    assert got[1].startswith("Mr ") and " met " in got[1] and ", Frau " in got[1] and " and Dr " in got[1]
+    name = got[2].split(" came")[0].removeprefix("Mr ")
+    assert got[2] == f"Mr {name} came. {name} and Dr {name} left, said Mr {name.split()[-1]}" and "Smith" not in got[2]
+    assert got[3].startswith("Herr Dr ") and "Weber" not in got[3] and "用" not in got[4] and got[4].endswith(".com")
+    assert got[5].removeprefix("Dr ").split(",")[0] == got[5].split("Mrs ")[1]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
