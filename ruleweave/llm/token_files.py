@@ -3,7 +3,7 @@
 Documents are range-partitioned and sorted by doc_id; each range is a shard. A shard is a run of blocks of about
 `BLOCK_IDS` ids that end at document ends. Each block is compressed by Re-Pair in rounds: all adjacent id pairs are
 counted, up to `PAIRS` of the most frequent become nonterminals, and their occurrences are replaced from the left,
-without overlaps; the next round sees the shortened sequence. The block stores the rules, the expansion length of
+without overlaps; the next round sees the shortened sequence, until no pair occurs `LEAST_COUNT` times. The block stores the rules, the expansion length of
 every nonterminal, and the sequence, so any id range is decoded without expanding the rest.
 
 File format: a Parquet table with the columns shard int, block int, offset long (ids of the shard before the block),
@@ -11,7 +11,8 @@ doc_ids array<long>, n_ids array<long>, base int (first nonterminal), rules bina
 lengths binary (uint32 for each rule), sequence binary (uint32).
 
 Encoding cuts a text at single blanks between two non-blanks, where the byte-level pre-tokenizer always cuts too, and
-encodes each distinct piece with the tokenizers library; a bounded table of pieces is kept by the Python worker.
+encodes each distinct piece with the tokenizers library; a bounded table of pieces is kept by the Python worker. A text
+that holds an added token, such as the end mark, is encoded whole.
 
 Cases: a null or empty text is the end id alone; null doc_ids sort first; equal doc_ids stand side by side, by a hash
 of the text; empty tables give empty files.
@@ -34,7 +35,6 @@ from .common import shared_dir, slices, table
 
 END_ID = 0
 BLOCK_IDS = 1 << 17
-ROUNDS = 3
 PAIRS = 2048
 #: A rule takes three words (its pair and its length), so a pair pays from four occurrences on.
 LEAST_COUNT = 4
@@ -73,7 +73,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # pieces hold no added token; texts with one go to self.whole
+        self.whole = Tokenizer.from_file(path)
+        self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab()
         self.vocabulary = max(names.values()) + 1
         self.opens = np.zeros(self.vocabulary, bool)
@@ -112,6 +114,12 @@ class Encoder:
         if len(self.known) > MOST_PIECES:
             self.clear()
         known = self.known
+        whole = [i for i, t in enumerate(texts) if t and any(x in t for x in self.added)]
+        if whole:
+            texts = list(texts)
+            marked = self.whole.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+            for i in whole:
+                texts[i] = None
         rows = [t.split(" ") if t else [] for t in texts]
         look = lambda: [np.fromiter(map(known.__getitem__, r[1:]), np.int64, max(len(r) - 1, 0)) for r in rows]
         at = look()
@@ -141,6 +149,9 @@ class Encoder:
             ends = np.cumsum(length)
             rest = self.ids[np.repeat(start - (ends - length), length) + np.arange(int(length.sum()))]
             out.append(np.r_[next(first), rest])
+        if whole:
+            for i, x in zip(whole, marked, strict=True):
+                out[i] = np.array(x.ids, np.uint32)
         return out
 
 
@@ -163,14 +174,12 @@ def _encoder(path: str | None) -> Encoder:
 # -- Re-Pair ---------------------------------------------------------------------------------------
 
 
-def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """rules (n x 2), expansion lengths, sequence. base: the first nonterminal, above all ids."""
     seq = ids.astype(np.uint32)
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
     slots = 1 << 16
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
         ordered = np.sort(key)
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])

@@ -90,6 +90,23 @@ def test_token_files(spark, docs, rows):
         at += r.n_tokens
 
 
+def test_added_tokens_are_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.default_tokenizer())
+    texts = ["a <|endoftext|> b", None, "plain text", "x<|endoftext|>y  z", "<|endoftext|>", "", "plain b"]
+    got = token_files.Encoder(token_files.default_tokenizer()).encode(texts)
+    assert [x.tolist() for x in got] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_repair_goes_on_until_no_pair_pays():
+    rnd = random.Random(3)
+    ids = np.array(sum((list(range(k, k + 90)) for k in rnd.choices(range(0, 3000, 100), k=400)), rnd.choices(range(40), k=20000)), np.uint32)
+    rules, lengths, seq = token_files.repair(ids, 4000)
+    pairs = Counter(zip(seq.tolist(), seq[1:].tolist(), strict=False))
+    assert max(pairs.values()) < token_files.LEAST_COUNT and (token_files.expand(rules, seq, 4000) == ids).all()
+
+
 def test_repair_random_access():
     ids = np.array(random.Random(2).choices(range(6), k=5000), np.uint32)
     rules, lengths, seq = token_files.repair(ids, 6)
