@@ -1,27 +1,29 @@
-"""Removal of byte strings that repeat across documents, by suffix arrays of content shards.
-
-Every 50-byte window of a document is owned by an anchor: of its 16-byte strings the one with the least hash, the
-leftmost of equals. Equal windows have equal anchors at equal places, so runs of windows with one anchor travel as one
-segment, and the shard that the anchor's hash falls into sees every copy of each of its windows.
-
-1. Documents are packed into slices of about 2 MB, saved once, compressed.
-2. Each slice sends the distinct hashes of its anchors, five bytes each, to the hashes' shards; a shard answers each
-   slice with a bit per hash: whether another document has it. Windows of other anchors can't repeat.
-3. Slices send the segments of repeated anchors. Inside a shard, a segment equal to one of a smaller doc_id goes whole.
-   Of the others, the windows' suffix array is built by
-   Larsson-Sadakane refinement: sort by the first eight bytes, then refine only the groups that are still unsorted by
-   the bytes further on. Common prefixes come from Kasai's recurrence, run over all segments side by side; neighbours
-   that share 50 bytes are one string. A window goes if its string's least doc_id is smaller than its own.
-4. Spans go back to their slices, which cut them out.
-
-Shards need no pairwise merging, which would be quadratic in their number: a binary search of the sorted table of hot
-anchors decides how a window is routed. An anchor is hot if it stands in at least `HOT_SHARE` of a bounded sample of
-documents. Windows of a hot anchor are routed one by one by a hash of their 50 bytes, after equal windows within a
-slice have been merged exactly, so a passage that a third of all documents hold spreads over all shards. The sample
-only decides the routing; results are the same for any hot table.
+"""Removal of byte strings that repeat across documents, by suffix arrays of shards and their merging.
+
+A shard is a slice of whole documents, about 2 MB of text, saved once, compressed. Every 50-byte window of a document is
+owned by an anchor: of its 16-byte strings the one with the least hash, the leftmost of equals. Equal windows have equal
+anchors at equal places.
+
+1. Each shard asks about the distinct hashes of its anchors, five bytes each; the answer is two bits per hash: whether
+   another shard has it, and whether at least `HOT_SHARDS` shards have it. Windows of an anchor that stands in a single
+   document can't repeat.
+2. A shard builds the suffix array of the passages that may repeat, by Larsson-Sadakane refinement: sort by the first
+   eight bytes, then sort the groups still unsorted by the ranks of the suffixes h bytes further on, doubling h. Common
+   prefixes come from Kasai's recurrence, run over chunks of windows side by side. Neighbours that share 50 bytes are
+   one string; of each string only the windows of the shard's least doc_id go on, the others are removed.
+3. Shards are merged: windows go on as runs with one anchor, to the part that the anchor's hash falls into, so a part
+   sees each of its strings from all shards. A part sorts keys of the windows that fit an array, keeps each string once
+   with its least doc_id, and merges the sorted tables of its arrays in pairs by binary search; equal keys are compared
+   byte by byte. A window goes if its string's least doc_id is smaller than its own.
+4. Spans go back to their shards, which cut them out.
+
+Windows of a hot anchor travel in runs of up to seven, by the hash of the 44 bytes that these share, and merge in rounds
+of `FAN` shards each, of which again only the least doc_id's windows go on: no part gets more than `FAN` shards' runs of
+one string, however many documents hold it.
 
 Cases: null texts are empty; a null doc_id counts as larger than all others; rows that repeat a doc_id are separate
-documents with that id; texts under 50 bytes keep all bytes; empty tables give empty results.
+documents with that id; texts under 50 bytes keep all bytes; empty tables give empty results; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -38,19 +40,24 @@ from .common import saved, slices, table
 
 WIDTH = 50
 GRAM = 16
-#: Text bytes handled at a time by a map task, text bytes a shard, windows of one suffix array.
+#: Text bytes of a shard, text bytes for each part of the merging, windows of one table before merging.
 SLICE = 2 << 20
-SHARD = 32 << 20
+PART = 16 << 20
 ARRAY = 1 << 20
-#: Documents looked at for hot anchors, and the share that makes an anchor hot.
-SAMPLE = 2000
-HOT_SHARE = 0.005
+#: An anchor found in so many shards is hot; shards merged in a round of hot anchors' windows; windows of their runs.
+HOT_SHARDS = 64
+FAN = 1024
+HOT_RUN = 7
+#: Windows of a chunk of Kasai's recurrence.
+CHUNK = 64
 LAST = (1 << 63) - 1
 
 _U = np.uint64
 _SLICE = "slice long, docs binary, sizes binary, body binary"
 _ASKED = "slice long, part int, hashes binary"
-_PACKED = "slice long, part int, docs binary, counts array<int>, body binary"
+_ANSWERED = "slice long, part int, bits binary"
+_PACKED = "slice long, part int, bucket int, docs binary, counts array<int>, body binary, spans binary"
+_OUT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
 
 
 def _words(data: np.ndarray, kind: str) -> np.ndarray:
@@ -65,8 +72,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def windows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """bytes; and of every window: start in them, index of its text, offset in the text, hash of its anchor; and which begin a run of one anchor."""
+def _hash(data: np.ndarray, at: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the strings of `width` bytes at `at`."""
+    x = _words(data, "<u8")
+    h = np.full(len(at), seed, _U)
+    for i in [*range(0, width - 8, 8), width - 8]:
+        h = _mix(h * _U(0x9E3779B97F4A7C15) + x[at + i])
+    return h
+
+
+def windows(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """bytes; and of every window: start in them, index of its text, offset in the text, start and hash of its anchor; and which begin a run of one anchor."""
     sizes = np.array([len(p) for p in parts], np.int64)
     data = np.frombuffer(b"".join(parts) + b"\0" * 8, np.uint8)
     starts = np.cumsum(sizes) - sizes
@@ -76,7 +92,7 @@ def windows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     offset = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
     at = starts[doc] + offset
     if not total:
-        return data, at, doc, offset, np.empty(0, np.uint64), np.empty(0, bool)
+        return data, at, doc, offset, at, np.empty(0, _U), np.empty(0, bool)
     x = _words(data, "<u8")
     h = _mix(x[:-8].astype(_U) * _U(0x9E3779B97F4A7C15) + x[8:].astype(_U))
     best = h & _U(0xFFFFFFFF00000000) | np.arange(len(h), dtype=_U)  # hash and place: the leftmost least one wins
@@ -87,105 +103,92 @@ def windows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         span += step
     anchor = (best[at] & _U(0xFFFFFFFF)).astype(np.int64)
     begins = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]
-    return data, at, doc, offset, h[anchor], begins
-
-
-def _part(key: np.ndarray, n_parts: int) -> np.ndarray:
-    return ((key >> _U(11)) % _U(n_parts)).astype(np.int64)
+    return data, at, doc, offset, anchor, h[anchor], begins
 
 
 # -- suffix array of a shard -------------------------------------------------------------------------
 
 
 def suffix_array(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Order of the windows at `at` by their 50 bytes."""
-    words = _words(data, ">u8")
-    key = words[at].astype(_U)
-    sa = np.argsort(key)
-    key = key[sa]
+    """Order of the windows that start at `at` (ascending) by their 50 bytes, by Larsson-Sadakane refinement.
+
+    All suffixes that lie in a window take part, as their ranks refine those before them: after a step at distance h,
+    rank[i] orders the suffixes by their first 2 h bytes. Only groups of equal rank are sorted again. The last step
+    overlaps, so that exactly 50 bytes count.
+    """
+    cover = np.zeros(len(data) + WIDTH, np.int32)
+    cover[at] += 1
+    cover[at + WIDTH] -= 1
+    sa = np.flatnonzero(np.cumsum(cover)[: len(data) - 7])
+    key = _words(data, ">u8")[sa].astype(_U)
+    order = np.argsort(key)
+    sa, key = sa[order], key[order]
+    rank = np.zeros(len(data) + WIDTH, np.int64)
     new = np.r_[True, key[1:] != key[:-1]]
-    for h in (8, 16, 24, 32, 40, WIDTH - 8):
-        alone = new & np.r_[new[1:], True]
-        open_ = np.flatnonzero(~alone)
-        if not len(open_):
+    rank[sa] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    for h in (8, 16, WIDTH - 32):
+        if h == WIDTH - 32:  # from here on only the windows themselves
+            own = np.zeros(len(data), bool)
+            own[at] = True
+            own = own[sa]
+            sa, group = sa[own], rank[sa[own]]
+            new = np.r_[True, group[1:] != group[:-1]]
+        unsorted = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        if not len(unsorted):
+            continue
+        i = sa[unsorted]
+        key = rank[i].astype(_U) << _U(32) | rank[i + h].astype(_U)
+        order = np.argsort(key)
+        key = key[order]
+        sa[unsorted] = i[order]
+        new[unsorted] = np.r_[True, key[1:] != key[:-1]]
+        head = unsorted[np.maximum.accumulate(np.where(new[unsorted], np.arange(len(unsorted)), 0))]
+        if h == WIDTH - 32:
             break
-        group = np.cumsum(new[open_])
-        key = words[at[sa[open_]] + h].astype(_U)
-        order = np.lexsort((key, group))
-        sa[open_] = sa[open_[order]]
-        key, group = key[order], group[order]
-        new[open_] = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])]
-    return sa
+        rank[sa[unsorted]] = head
+    where = np.zeros(len(data), np.int64)
+    where[at] = np.arange(len(at))
+    return where[sa]
 
 
-def common_prefixes(data: np.ndarray, at: np.ndarray, sa: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Kasai: for each window, bytes (50 at most) shared with the window before it in sa. first, n: the segments' windows.
+def common_prefixes(data: np.ndarray, at: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Kasai: for each window, bytes (50 at most) shared with the window before it in sa.
 
-    The windows of a segment start at consecutive bytes, so a window shares at least one byte less than the one before
-    it, if the successor of that one's neighbour is in the array and sorted before the window. All segments advance
-    together, one window at a time.
+    A window shares at least one byte less than the window one byte before it does, if the successor of that one's
+    neighbour is in the array and sorted before it. Chunks of `CHUNK` windows advance together, a window at a time.
     """
-    before = np.full(len(at), -1, np.int64)
+    n = len(at)
+    before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    rank = np.empty(len(at), np.int64)
-    rank[sa] = np.arange(len(at))
-    follows = np.ones(len(at) + 1, bool)  # whether window i continues the segment of window i - 1
-    follows[first] = follows[-1] = False
-    out = np.zeros(len(at), np.int64)
-    segment = np.argsort(-n, kind="stable")
-    shared = np.zeros(len(segment), np.int64)
-    for step in range(int(n.max(initial=0))):
-        live = segment[: np.searchsorted(-n[segment], -step, "left")]  # segments with more than `step` windows
-        i = first[live] + step
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.arange(n)
+    follows = np.r_[False, at[1:] == at[:-1] + 1, False]  # whether window i starts one byte after window i - 1
+    x = _words(data, "<u8")
+    out = np.zeros(n, np.int64)
+    shared = np.zeros(-(-n // CHUNK), np.int64)
+    for step in range(min(CHUNK, n)):
+        i = np.arange(step, n, CHUNK)
         j = before[i]
-        h = np.maximum(shared[: len(live)] - 1, 0)
-        if step:
-            near = before[i - 1] + 1
-            h[~(follows[near] & (near > 0) & (rank[np.minimum(near, len(at) - 1)] < rank[i]))] = 0
-        h[j < 0] = 0
+        h = np.maximum(shared[: len(i)] - 1, 0)
+        near = before[i - 1] + 1 if step else np.zeros(len(i), np.int64)
+        h[~(follows[i] & follows[near] & (rank[np.minimum(near, n - 1)] < rank[i])) | (near == 0)] = 0
         todo = np.flatnonzero(j >= 0)
         while len(todo):
-            todo = todo[h[todo] < WIDTH]
-            todo = todo[data[at[i[todo]] + h[todo]] == data[at[j[todo]] + h[todo]]]
-            h[todo] += 1
-        out[i] = h
-        shared[: len(live)] = h
-    return out
-
-
-def copied(data: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of byte segments, which equal one of a smaller doc: compared byte by byte with the least doc's one of equal hash."""
-    x = _words(data, "<u8")
-
-    def word(at: int, which: np.ndarray | slice = slice(None)) -> np.ndarray:
-        rest = np.clip(size[which] - at, 0, 8)
-        mask = np.where(rest == 8, _U(0xFFFFFFFFFFFFFFFF), (_U(1) << (8 * np.minimum(rest, 7)).astype(_U)) - _U(1))
-        return x[np.minimum(start[which] + at, len(x) - 1)] & mask
-
-    widths = range(0, int(size.max(initial=0)), 8)
-    key = size.astype(_U)
-    for at in widths:
-        key = _mix(key * _U(31) + word(at))
-    order = np.lexsort((doc, key))
-    new = np.r_[True, key[order][1:] != key[order][:-1]]
-    first = np.empty(len(order), np.int64)
-    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    rest = np.flatnonzero(doc > doc[first])
-    same = size[rest] == size[first[rest]]
-    for at in widths:
-        same &= word(at, rest) == word(at, first[rest])
-    out = np.zeros(len(order), bool)
-    out[rest[same]] = True
+            p, q = at[i[todo]] + h[todo], at[j[todo]] + h[todo]
+            diff = x[p] ^ x[q]
+            low = diff & (~diff + _U(1))  # the lowest bit that differs lies in the first byte that differs
+            h[todo] += np.where(diff == 0, 8, np.log2(np.maximum(low, _U(1)).astype(np.float64)).astype(np.int64) >> 3)
+            todo = todo[(diff == 0) & (h[todo] < WIDTH)]
+        h[j < 0] = 0
+        out[i] = h = np.minimum(h, WIDTH)
+        shared[: len(i)] = h
     return out
 
 
-def repeated(data: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of segments with n windows from `start` on and an owner `doc`: which windows also start in a smaller doc."""
-    first = np.cumsum(n) - n
-    at = np.repeat(start - first, n) + np.arange(int(n.sum()))
-    owner = np.repeat(doc, n)
+def repeated(data: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which of a shard's windows also start in a document with a smaller owner id."""
     sa = suffix_array(data, at)
-    same = common_prefixes(data, at, sa, first, n)[sa] >= WIDTH
+    same = common_prefixes(data, at, sa)[sa] >= WIDTH
     begin = np.flatnonzero(~same)
     least = np.minimum.reduceat(owner[sa], begin)
     out = np.zeros(len(at), bool)
@@ -193,6 +196,67 @@ def repeated(data: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray
     return out
 
 
+# -- merging of shards ---------------------------------------------------------------------------------
+
+
+class Collision(Exception):
+    """Two strings have one key; the part starts anew with other keys."""
+
+
+def _verify(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    x = _words(data, "<u8")
+    for i in (0, 8, 16, 24, 32, 40, WIDTH - 8):
+        if (x[a + i] != x[b + i]).any():
+            raise Collision
+
+
+def merge(data: np.ndarray, a: tuple, b: tuple) -> tuple:
+    """Merge two sorted tables (key, start, least owner) of distinct strings: b's keys are searched in a."""
+    i = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    hit = a[0][i] == b[0]
+    _verify(data, a[1][i[hit]], b[1][hit])
+    least = a[2].copy()
+    least[i[hit]] = np.minimum(least[i[hit]], b[2][hit])
+    key, at, least = (np.r_[x, y[~hit]] for x, y in zip((a[0], a[1], least), b, strict=True))
+    order = np.argsort(key, kind="stable")
+    return key[order], at[order], least[order]
+
+
+def least_owners(data: np.ndarray, start: np.ndarray, n: np.ndarray, owner: np.ndarray, array: int = ARRAY) -> np.ndarray:
+    """Of runs of n windows from `start` on: for each window the least owner of its string, over all runs."""
+    for seed in range(8):
+        try:
+            return _least_owners(data, start, n, owner, array, seed)
+        except Collision:
+            continue
+    raise RuntimeError("keys of eight seeds collide")
+
+
+def _least_owners(data, start, n, owner, array, seed):
+    ends = np.cumsum(n)
+    first, tables, inverses = 0, [], []
+    while first < len(n):
+        stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + array, "right")))
+        own = slice(first, stop)
+        size = n[own]
+        at = np.repeat(start[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        key = _hash(data, at, WIDTH, seed)
+        order = np.argsort(key)
+        key, at = key[order], at[order]
+        same = key[1:] == key[:-1]
+        _verify(data, at[1:][same], at[:-1][same])
+        begin = np.flatnonzero(np.r_[True, ~same])
+        tables.append((key[begin], at[begin], np.minimum.reduceat(np.repeat(owner[own], size)[order], begin)))
+        inverse = np.empty(len(order), np.int32)
+        inverse[order] = np.cumsum(np.r_[True, ~same]) - 1
+        inverses.append((key[begin], inverse))
+        first = stop
+    while len(tables) > 1:
+        tables = [merge(data, *tables[i : i + 2]) if i + 1 < len(tables) else tables[i] for i in range(0, len(tables), 2)]
+    key, _, least = tables[0]
+    return np.concatenate([least[np.searchsorted(key, k)][inverse] for k, inverse in inverses])
+
+
 # -- the job -----------------------------------------------------------------------------------------
 
 
@@ -215,107 +279,102 @@ def _texts(row: dict) -> tuple[np.ndarray, list[bytes]]:
     return np.frombuffer(row["docs"], np.int64), [data[b - n : b] for n, b in zip(sizes, ends, strict=True)]
 
 
-def _distinct(doc: np.ndarray, key: np.ndarray, begins: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct anchor hashes of a slice by shard and hash, their shards, and which stand in two of its documents."""
-    k, d = key[begins], doc[begins]
-    order = np.lexsort((d, k))
-    k, d = k[order], d[order]
-    new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    several = d[np.r_[new[1:], len(k)] - 1] != d[new]
-    k = k[new]
+def _part(key: np.ndarray, n_parts: int) -> np.ndarray:
+    return ((key >> _U(11)) % _U(n_parts)).astype(np.int64)
+
+
+def _distinct(key: np.ndarray, begins: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchor hashes of a slice by part and hash, and their parts."""
+    k = np.unique(key[begins])
     part = _part(k, n_parts)
     order = np.argsort(part, kind="stable")
-    return k[order], part[order], several[order]
+    return k[order], part[order]
 
 
 def _ask(row: dict, n_parts: int):
-    """For each shard the hashes of a slice: low 32 bits, 7 bits more and the several bit."""
-    _, _, doc, _, key, begins = windows(_texts(row)[1])
+    """For each part the hashes of a slice: 40 bits of each."""
+    *_, key, begins = windows(_texts(row)[1])
     if not len(key):
         return
-    k, part, several = _distinct(doc, key, begins, n_parts)
+    k, part = _distinct(key, begins, n_parts)
     bounds = np.searchsorted(part, np.arange(n_parts + 1))
     for p in np.flatnonzero(np.diff(bounds)):
-        own = slice(bounds[p], bounds[p + 1])
-        high = (k[own] >> _U(32) & _U(127)).astype(np.uint8) << 1 | several[own]
-        yield {"slice": row["slice"], "part": int(p), "hashes": (k[own] & _U(0xFFFFFFFF)).astype("<u4").tobytes() + high.tobytes()}
+        own = k[bounds[p] : bounds[p + 1]]
+        yield {"slice": row["slice"], "part": int(p), "hashes": (own & _U(0xFFFFFFFF)).astype("<u4").tobytes() + (own >> _U(32) & _U(255)).astype(np.uint8).tobytes()}
 
 
-def _answer(asked: list[dict]):
-    """A bit for each hash that another document has, for each slice that asked a shard."""
+def _answer(asked: list[dict], hot_shards: int):
+    """Two bits for each hash of each slice that asked: another slice has it, `hot_shards` slices have it."""
     sizes = [len(x["hashes"]) // 5 for x in asked]
     low = np.concatenate([np.frombuffer(x["hashes"], "<u4", n) for x, n in zip(asked, sizes, strict=True)]).astype(_U)
     high = np.concatenate([np.frombuffer(x["hashes"], "u1", n, 4 * n) for x, n in zip(asked, sizes, strict=True)])
-    key = low | (high >> 1).astype(_U) << _U(32)
+    key = low | high.astype(_U) << _U(32)
     order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    again = np.zeros(len(key), bool)
-    again[order[1:][same]] = again[order[:-1][same]] = True
-    again |= (high & 1).astype(bool)
-    for x, bits in zip(asked, np.split(again, np.cumsum(sizes)[:-1]), strict=True):
-        yield {"slice": x["slice"], "part": x["part"], "bits": np.packbits(bits).tobytes()}
+    begin = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    count = np.diff(np.r_[begin, len(key)])
+    found = np.empty(len(key), np.int32)
+    found[order] = np.repeat(np.minimum(count, hot_shards), count)
+    for x, own in zip(asked, np.split(found, np.cumsum(sizes)[:-1]), strict=True):
+        yield {"slice": x["slice"], "part": x["part"], "bits": np.packbits(np.r_[own > 1, own >= hot_shards]).tobytes()}
 
 
-def _route(row: dict, answers: list[dict], hot: np.ndarray, n_parts: int):
-    """Packed segments of a slice, one row for each shard that gets something."""
+def _route(row: dict, answers: list[dict], n_parts: int, fan: int, buckets: int):
+    """Windows of a slice that go on, packed in runs, one row for each part (hot ones apart) that gets something; and spans removed here."""
     docs, texts = _texts(row)
-    data, at, doc, offset, key, begins = windows(texts)
+    data, at, doc, offset, anchor, key, begins = windows(texts)
     if not len(at):
         return
-    k, part, _ = _distinct(doc, key, begins, n_parts)
-    count = np.bincount(part, minlength=n_parts)
-    again = np.zeros(len(k), bool)
-    first_of = np.cumsum(count) - count
+    k, part = _distinct(key, begins, n_parts)
+    first_of = np.searchsorted(part, np.arange(n_parts + 1))
+    elsewhere, hot = np.zeros(len(k), bool), np.zeros(len(k), bool)
     for x in answers:
-        p = x["part"]
-        again[first_of[p] : first_of[p] + count[p]] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=count[p]).astype(bool)
-    wanted = np.sort(k[again])
-    if not len(wanted):
+        a, b = first_of[x["part"]], first_of[x["part"] + 1]
+        elsewhere[a:b], hot[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=2 * (b - a)).astype(bool).reshape(2, -1)
+    order = np.argsort(k)
+    run = np.flatnonzero(begins)
+    size = np.diff(np.r_[run, len(at)])
+    which = np.searchsorted(k[order], key[run])  # of each run its hash
+    low, high = np.full(len(k), len(docs)), np.full(len(k), -1)
+    np.minimum.at(low, which, doc[run])
+    np.maximum.at(high, which, doc[run])
+    which_w = np.repeat(which, size)
+    elsewhere, hot = elsewhere[order], hot[order]
+    live = np.flatnonzero((elsewhere | (low < high))[which_w])
+    if not len(live):
         return
-    run_first = np.flatnonzero(begins)
-    run_size = np.diff(np.r_[run_first, len(at)])
-    run_key = key[run_first]
-    live = wanted[np.minimum(np.searchsorted(wanted, run_key), len(wanted) - 1)] == run_key
-    is_hot = live & (hot[np.minimum(np.searchsorted(hot, run_key), len(hot) - 1)] == run_key) if len(hot) else np.zeros(len(run_key), bool)
-    gone_doc, gone_offset = (np.empty(0, np.int64),) * 2
-    home = -1
-    lone = np.flatnonzero(np.repeat(is_hot, run_size))
-    lone_key = np.empty(0, np.uint64)
-    if len(lone):  # equal windows meet here already: all but those of the least doc_id go, one row each of that doc's
-        order = lone[suffix_array(data, at[lone])]
-        square = np.lib.stride_tricks.sliding_window_view(data, WIDTH)[at[order]]
-        new = np.r_[True, (square[1:] != square[:-1]).any(axis=1)]
-        group = np.cumsum(new) - 1
-        least = np.minimum.reduceat(docs[doc[order]], np.flatnonzero(new))
-        stays = docs[doc[order]] == least[group]
-        gone_doc, gone_offset = doc[order[~stays]], offset[order[~stays]]
-        lone = order[stays]
-        lone_key = np.zeros(len(lone), _U)
-        for i in (0, 8, 16, 24, 32, 40, 42):
-            lone_key = _mix(lone_key * _U(31) + _words(data, "<u8")[at[lone] + i].astype(_U))
-        home = row["slice"] % n_parts if len(gone_doc) else -1  # any shard passes them on
-    runs = live & ~is_hot
-    first = run_first[runs]
-    start = np.r_[at[first], at[lone]]
-    n = np.r_[run_size[runs], np.ones(len(lone), np.int64)]
-    owner, place = np.r_[doc[first], doc[lone]], np.r_[offset[first], offset[lone]]
-    part = np.r_[_part(key[first], n_parts), _part(lone_key, n_parts)]
-    order = np.lexsort((place, owner, part))
-    start, n, owner, place, part = start[order], n[order], owner[order], place[order], part[order]
-    size = n + WIDTH - 1
-    ends = np.cumsum(size)
-    flat = data[np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))].tobytes()
-    bounds = np.searchsorted(part, np.arange(n_parts + 1))
-    at_byte = np.r_[0, ends][bounds]
-    nothing = np.empty(0, np.int64)
-    for p in range(n_parts):
-        a, b = bounds[p], bounds[p + 1]
-        if a < b or p == home:
-            gone = (gone_doc, gone_offset) if p == home else (nothing, nothing)
-            used, ordinal = np.unique(owner[a:b], return_inverse=True)
-            arrays = (used.astype("<u4"), ordinal.astype("<u4"), place[a:b].astype("<u4"), n[a:b].astype("u1"), *(x.astype("<u4") for x in gone))
-            counts = [len(used), b - a, len(gone[0])]
-            yield {"slice": row["slice"], "part": p, "docs": docs[used].tobytes(), "counts": counts, "body": _zip(*arrays, tail=flat[at_byte[p] : at_byte[p + 1]])}
+    gone = repeated(data, at[live], docs[doc[live]])
+    spans = b""
+    if gone.any():
+        spans = _zip(*(x.astype("<i8") for x in _spans(doc[live[gone]], offset[live[gone]])))
+    sent = live[~gone]
+    sent = sent[elsewhere[which_w[sent]]]
+    is_hot = hot[which_w[sent]]
+    sub = np.where(is_hot, (anchor[sent] - at[sent]) // HOT_RUN, -1)
+    new = np.r_[True, (sent[1:] != sent[:-1] + 1) | begins[sent[1:]] | (sub[1:] != sub[:-1])] if len(sent) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    n = np.diff(np.r_[first, len(sent)])
+    sub, is_hot, lead = sub[first], is_hot[first], sent[first]
+    bucket = row["slice"] % buckets
+    to = _part(key[lead], n_parts)
+    to[is_hot] = (_part(_hash(data, anchor[lead[is_hot]] - HOT_RUN * sub[is_hot], WIDTH - HOT_RUN + 1), n_parts) + bucket) % n_parts
+    yield from _pack(row["slice"], bucket, docs, data, doc[lead], offset[lead], at[lead], n, to, is_hot, spans, n_parts)
+
+
+def _pack(slice_: int, bucket: int, docs, data, doc, place, start, n, to, is_hot, spans: bytes, n_parts: int):
+    """Rows for the parts `to` of runs of n windows; hot runs have their bucket, others -1. spans go with any row."""
+    code = 2 * to + is_hot
+    order = np.lexsort((place, doc, code))
+    code, doc, place, start, n = code[order], doc[order], place[order], start[order], n[order]
+    begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
+    for a, b in zip(begin, np.r_[begin[1:], len(code)], strict=True):
+        size = n[a:b] + WIDTH - 1
+        text = data[np.repeat(start[a:b] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        used, ordinal = np.unique(doc[a:b], return_inverse=True)
+        arrays = (used.astype("<u4"), ordinal.astype("<u4"), place[a:b].astype("<u4"), n[a:b].astype("u1"))
+        yield {"slice": slice_, "part": int(code[a]) >> 1, "bucket": bucket if code[a] & 1 else -1, "docs": docs[used].tobytes(), "counts": [len(used), int(b - a)], "body": _zip(*arrays, tail=text.tobytes()), "spans": spans}
+        spans = b""
+    if spans:
+        yield {"slice": slice_, "part": slice_ % n_parts, "bucket": -1, "docs": b"", "counts": [0, 0], "body": b"", "spans": spans}
 
 
 def _spans(ordinal: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,70 +388,44 @@ def _spans(ordinal: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndar
     return d[new], o[new], o[last] + WIDTH
 
 
-def _judge(packed: list[dict]):
-    """Removed spans of one shard, for each slice that sent something."""
-    slice_, used, ordinal, offset, n, texts, gone = [], [], [], [], [], [], []
-    docs, base = [], 0
-    for i, x in enumerate(packed):
-        body, at, got = _unzip(x["body"]), 0, []
-        u, k, g = x["counts"]
-        for kind, size in (("<u4", u), ("<u4", k), ("<u4", k), ("u1", k), ("<u4", g), ("<u4", g)):
-            got.append(np.frombuffer(body, kind, size, at).astype(np.int64))
+def _judge(packed: list[dict], n_parts: int, fan: int, last: bool):
+    """Removed spans of one part for each slice that sent something; before the last round also the hot runs that go on."""
+    spans = [(x["slice"], x["spans"]) for x in packed if x["spans"]]
+    packed = [x for x in packed if x["counts"][1]]
+    got, texts, base = [], [], 0
+    for x in packed:
+        body, at, own = _unzip(x["body"]), 0, []
+        u, k = x["counts"]
+        for kind, size in (("<u4", u), ("<u4", k), ("<u4", k), ("u1", k)):
+            own.append(np.frombuffer(body, kind, size, at).astype(np.int64))
             at += size * np.dtype(kind).itemsize
-        used.append(got[0])
-        slice_.append(np.full(u, i))
-        docs.append(np.frombuffer(x["docs"], np.int64))
-        ordinal.append(got[1] + base)
-        offset.append(got[2])
-        n.append(got[3])
-        gone.append((i, got[4], got[5]))
+        docs = np.frombuffer(x["docs"], np.int64)
+        size = own[3] + WIDTH - 1
+        got.append((own[0][own[1]], docs[own[1]], own[2], own[3], base + np.cumsum(size) - size))
         texts.append(body[at:])
-        base += u
-    slice_, used, docs, ordinal, offset, n = map(np.concatenate, (slice_, used, docs, ordinal, offset, n))
-    data = np.frombuffer(b"".join(texts) + b"\0" * 8, np.uint8)
-    del texts
-    found: list[tuple] = [(np.full(len(d), i), d, o) for i, d, o in gone]
-    size = n + WIDTH - 1
-    start = np.cumsum(size) - size
-    if len(n):
-        again = copied(data, start, size, docs[ordinal])  # all windows of these go; the least doc's copy stands for them
-        for at in (np.zeros(int(again.sum()), np.int64), n[again] - 1):  # the first and the last one span the others
-            found.append((slice_[ordinal[again]], used[ordinal[again]], offset[again] + at))
-        ordinal, offset, n, start = (x[~again] for x in (ordinal, offset, n, start))
-    if len(n):
-        key = anchors_of(data, start)
-        k = max(1, -(-int(n.sum()) // ARRAY))
-        bucket = (key >> _U(40)) % _U(k)
-        for b in range(k):  # segments of one anchor stay together, and so do equal lone windows
-            own = np.flatnonzero(bucket == b)
-            if len(own):
-                hit = repeated(data, start[own], n[own], docs[ordinal[own]])
-                segment = np.repeat(own, n[own])[hit]
-                within = (np.arange(len(hit)) - np.repeat(np.cumsum(n[own]) - n[own], n[own]))[hit]
-                found.append((slice_[ordinal[segment]], used[ordinal[segment]], offset[segment] + within))
-    s, d, o = (np.concatenate([x[i] for x in found]) for i in range(3))
-    order = np.argsort(s, kind="stable")
-    bounds = np.searchsorted(s[order], np.arange(len(packed) + 1))
-    for i, x in enumerate(packed):
-        own = order[bounds[i] : bounds[i + 1]]
-        if len(own):
-            doc, a, b = _spans(d[own], o[own])
-            yield {"slice": x["slice"], "spans": _zip(doc.astype("<i8"), a.astype("<i8"), b.astype("<i8"))}
-
-
-def anchors_of(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Hash of the anchor of each segment: of the grams of its first window, by upper half and place."""
-    x = _words(data, "<u8")
-    best = key = None
-    for i in range(WIDTH - GRAM + 1):
-        h = _mix(x[start + i].astype(_U) * _U(0x9E3779B97F4A7C15) + x[start + i + 8].astype(_U))
-        rank = h & _U(0xFFFFFFFF00000000)
-        if best is None:
-            best, key = rank, h
-        else:
-            key = np.where(rank < best, h, key)
-            best = np.minimum(best, rank)
-    return key
+        base += int(size.sum())
+    if packed:
+        data = np.frombuffer(b"".join(texts) + b"\0" * 8, np.uint8)
+        del texts
+        _, owner, _, n, start = (np.concatenate(x) for x in zip(*got, strict=True))
+        gone = np.repeat(owner, n) > least_owners(data, start, n, owner)
+        bounds = np.cumsum([int(x[3].sum()) for x in got])
+        for x, (doc, owner, place, n, start), out in zip(packed, got, np.split(gone, bounds[:-1]), strict=True):
+            run = np.repeat(np.arange(len(n)), n)
+            within = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+            if out.any():
+                spans.append((x["slice"], _zip(*(y.astype("<i8") for y in _spans(doc[run[out]], place[run[out]] + within[out])))))
+            if x["bucket"] >= 0 and not last and not out.all():
+                run, within = run[~out], within[~out]
+                first = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (within[1:] != within[:-1] + 1)])
+                run, within, n = run[first], within[first], np.diff(np.r_[first, len(run)])
+                ids = np.zeros(int(doc.max()) + 1, np.int64)
+                ids[doc] = owner
+                bucket = x["bucket"] // fan
+                to = np.full(len(run), (x["part"] - x["bucket"] + bucket) % n_parts)
+                yield from _pack(x["slice"], bucket, ids, data, doc[run], place[run] + within, start[run] + within, n, to, np.ones(len(run), bool), b"", n_parts)
+    for slice_, found in spans:
+        yield {"slice": slice_, "part": None, "bucket": None, "docs": None, "counts": None, "body": None, "spans": found}
 
 
 def _inputs(documents: DataFrame) -> DataFrame:
@@ -400,22 +433,6 @@ def _inputs(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
 
 
-def hot_anchors(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Sorted hashes of the anchors in at least HOT_SHARE of a sample; at most its anchors by its least count."""
-    share = min(1.0, SAMPLE / max(n_docs, 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < int(1_000_000 * share))
-
-    def look(batches):
-        for part in slices(batches, most=SLICE):
-            _, _, doc, _, key, begins = windows([t.encode() for t in part.column("text").to_pylist()])
-            pairs = np.unique(np.c_[doc[begins].astype(_U), key[begins]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy().view(np.int64) if len(pairs) else np.empty(0, np.int64))], names=["key"])
-
-    least = max(8, int(min(SAMPLE, n_docs) * HOT_SHARE))
-    found = sample.select("text").mapInArrow(look, "key long").groupBy("key").count().where(F.col("count") >= least).select("key").collect()
-    return np.sort(np.array([r.key for r in found], np.int64).view(_U))
-
-
 def _by_group(f, schema, column: str = "part"):
     """mapInArrow function: f(rows of one value of a sorted column) -> rows."""
 
@@ -424,12 +441,12 @@ def _by_group(f, schema, column: str = "part"):
         for batch in batches:
             for row in batch.to_pylist():
                 if held and row[column] != at:
-                    yield pa.RecordBatch.from_pylist(list(f(held)), schema=schema)
+                    yield from _batches(f(held), schema)
                     held = []
                 at = row[column]
                 held.append(row)
         if held:
-            yield pa.RecordBatch.from_pylist(list(f(held)), schema=schema)
+            yield from _batches(f(held), schema)
 
     return run
 
@@ -438,11 +455,22 @@ def _by_row(f, schema):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_pylist(list(f(batch.slice(i, 1).to_pylist()[0])), schema=schema)
+                yield from _batches(f(batch.slice(i, 1).to_pylist()[0]), schema)
 
     return run
 
 
+def _batches(rows, schema, most: int = 256):
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def _schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -450,50 +478,58 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def remove_repeats(documents: DataFrame, shard_bytes: int = SHARD, hot: np.ndarray | None = None) -> DataFrame:
+def _cut(row: dict):
+    docs, texts = _texts(row)
+    found = [np.frombuffer(_unzip(x), "<i8").reshape(3, -1) for x in row["spans"] or ()]
+    doc, a, b = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order], b[order]
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for i, data in enumerate(texts):
+        begin, end = a[bounds[i] : bounds[i + 1]], np.maximum.accumulate(b[bounds[i] : bounds[i + 1]])
+        if len(begin):
+            new = np.r_[True, begin[1:] > end[:-1]]
+            begin, end = begin[new], end[np.r_[np.flatnonzero(new)[1:], len(end)] - 1]
+        kept = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True))
+        doc_id = int(docs[i])
+        yield {"doc_id": None if doc_id == LAST else doc_id, "kept": kept, "n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(begin)}
+
+
+def remove_repeats(documents: DataFrame, slice_bytes: int = SLICE, part_bytes: int = PART, hot_shards: int = HOT_SHARDS, fan: int = FAN) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, n_spans of every document."""
     docs = _inputs(documents)
-    spark = docs.sparkSession
-    n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    hot = hot_anchors(docs, n_docs) if hot is None else np.sort(hot)
-    n_parts = max(1, -(-total // shard_bytes))
-    table_ = spark.sparkContext.broadcast(hot)
 
     def pack(batches):
         task = TaskContext.get().partitionId()
-        for i, part in enumerate(slices(batches, most=SLICE)):
+        for i, part in enumerate(slices(batches, most=slice_bytes)):
             texts = [t.encode() for t in part.column("text").to_pylist()]
             row = [[task << 32 | i], [part.column("doc").to_numpy().tobytes()], [np.array(list(map(len, texts)), np.int64).tobytes()], [_zip(tail=b"".join(texts))]]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, sliced.types, strict=True)], names=sliced.names)
 
-    sliced, asked, answered, routed, judged = map(_schema, (_SLICE, _ASKED, "slice long, part int, bits binary", _PACKED, "slice long, spans binary"))
-    slices_ = saved(docs.mapInArrow(pack, _SLICE), "none")
-    asks = slices_.mapInArrow(_by_row(lambda row: _ask(row, n_parts), asked), _ASKED)
-    answers = asks.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_by_group(_answer, answered), "slice long, part int, bits binary")
-    by_slice = answers.groupBy("slice").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))  # one for each shard at most
-    sent = slices_.join(by_slice, "slice").select("slice", "docs", "sizes", "body", "answers")
-    packed = sent.mapInArrow(_by_row(lambda row: _route(row, row["answers"], table_.value, n_parts), routed), _PACKED)
-    spans = packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_by_group(_judge, judged), "slice long, spans binary")
-    spans = saved(spans.groupBy("slice").agg(F.collect_list("spans").alias("spans")), "none")
-
-    def cut(row):
-        docs, texts = _texts(row)
-        found = [np.frombuffer(_unzip(x), "<i8").reshape(3, -1) for x in row["spans"] or ()]
-        doc, a, b = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
-        order = np.lexsort((a, doc))
-        doc, a, b = doc[order], a[order], b[order]
-        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-        for i, data in enumerate(texts):
-            begin, end = a[bounds[i] : bounds[i + 1]], np.maximum.accumulate(b[bounds[i] : bounds[i + 1]])
-            if len(begin):
-                new = np.r_[True, begin[1:] > end[:-1]]
-                begin, end = begin[new], end[np.r_[np.flatnonzero(new)[1:], len(end)] - 1]
-            kept = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True))
-            doc_id = int(docs[i])
-            yield {"doc_id": None if doc_id == LAST else doc_id, "kept": kept, "n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(begin)}
-
-    out = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
-    return slices_.join(spans, "slice", "left").select("docs", "sizes", "body", "spans").mapInArrow(_by_row(cut, _schema(out)), out)
+    sliced = _schema(_SLICE)
+    shards = saved(docs.mapInArrow(pack, _SLICE), "none")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_parts = max(1, -(-total // part_bytes))
+    buckets = max(1, -(-(total // slice_bytes) // fan))
+    asks = shards.mapInArrow(_by_row(lambda row: _ask(row, n_parts), _schema(_ASKED)), _ASKED)
+    answers = asks.repartitionById(n_parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_by_group(lambda rows: _answer(rows, hot_shards), _schema(_ANSWERED)), _ANSWERED)
+    by_shard = answers.groupBy("slice").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))  # one for each part at most
+    sent = shards.join(by_shard, "slice").select("slice", "docs", "sizes", "body", "answers")
+    packed = sent.mapInArrow(_by_row(lambda row: _route(row, row["answers"], n_parts, fan, buckets), _schema(_PACKED)), _PACKED)
+    spans = []
+    while True:  # a single round up to `fan` shards; each further one takes only what is left of hot runs
+        last = buckets == 1
+        dealt = packed.repartitionById(n_parts, F.col("part")).sortWithinPartitions("part")
+        judged = saved(dealt.mapInArrow(_by_group(lambda rows, last=last: _judge(rows, n_parts, fan, last), _schema(_PACKED)), _PACKED), "none")
+        spans.append(judged.where("part is null").select("slice", "spans"))
+        if last:
+            break
+        packed, buckets = judged.where("part is not null"), -(-buckets // fan)
+    found = spans[0]
+    for more in spans[1:]:
+        found = found.union(more)
+    found = found.groupBy("slice").agg(F.collect_list("spans").alias("spans"))
+    return shards.join(found, "slice", "left").select("docs", "sizes", "body", "spans").mapInArrow(_by_row(_cut, _schema(_OUT)), _OUT)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

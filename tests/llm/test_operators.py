@@ -36,11 +36,46 @@ def same(df, want):
 
 def test_substrings(docs, rows):
     want = substrings.brute([r[:2] for r in rows])
-    for hot in (np.empty(0, np.uint64), None):
-        found = substrings.remove_repeats(docs, shard_bytes=2000, hot=hot)
+    for size, hot, fan in ((1 << 20, 64, 1024), (2000, 64, 1024), (1500, 3, 2), (600, 2, 3)):
+        found = substrings.remove_repeats(docs, slice_bytes=size, part_bytes=2000, hot_shards=hot, fan=fan)
         same(found.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)"), want)
 
 
+def test_suffix_array_and_common_prefixes():
+    rnd = random.Random(4)
+    parts = ["".join(rnd.choices("ab", k=60)).encode() for _ in range(6)]
+    texts = [b"".join(rnd.choices(parts, k=rnd.randint(0, 5))) + b"z" * rnd.randint(0, 120) for _ in range(40)]
+    data, at, *_ = substrings.windows(texts)
+    for own in (at, at[np.array([rnd.random() < 0.9 for _ in at])]):
+        sa = substrings.suffix_array(data, own)
+        w = [data[i : i + 50].tobytes() for i in own]
+        assert sorted(sa.tolist()) == list(range(len(w))) and [w[i] for i in sa] == sorted(w)
+        shared = substrings.common_prefixes(data, own, sa)
+        for a, b in zip(sa, sa[1:], strict=False):
+            assert shared[b] == next((k for k in range(50) if w[a][k] != w[b][k]), 50)
+        assert shared[sa[0]] == 0
+
+
+def test_merging_survives_equal_keys(monkeypatch):
+    data, at, doc, *_ = substrings.windows([b"x" * 30 + bytes(range(65, 91)) * 4, bytes(range(65, 91)) * 4, b"q" * 70])
+    want = [min(d for d, j in zip(doc, at, strict=True) if data[j : j + 50].tobytes() == data[i : i + 50].tobytes()) for i in at]
+    real = substrings._hash
+    monkeypatch.setattr(substrings, "_hash", lambda data, at, width, seed: real(data, at, width, seed) % np.uint64(7 if seed < 2 else 1 << 63))
+    for array in (1, 10, 1000):
+        assert substrings.least_owners(data, at, np.ones(len(at), np.int64), doc, array).tolist() == want
+
+
+def test_substrings_of_many_copies(spark):
+    rnd = random.Random(6)
+    page = " ".join(str(rnd.randint(0, 999)) for _ in range(60))
+    texts = [page if i % 3 == 0 else page[: i % 200] + str(i) + page[i % 200 :] if i % 3 == 1 else str(rnd.random()) * 9 for i in range(150)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    for hot, fan in ((64, 1024), (2, 2)):
+        found = substrings.remove_repeats(docs, slice_bytes=1000, part_bytes=5000, hot_shards=hot, fan=fan)
+        same(found.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)"), substrings.brute(rows))
+
+
 def test_decontamination(spark, docs, rows):
     items = [(1, rows[0][1]), (2, "one two"), (3, None), (None, rows[1][1]), (4, ""), (5, rows[2][1]), (5, "x the"), (12, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
