@@ -185,13 +185,58 @@ def test_language(spark, small, docs):
 
 def test_html(spark):
     body = "<nav><a>Home</a></nav><article><h1>A &amp; B</h1><p>one <b>two<br>three</p><aside>x</aside><div class='user comments'><p>bad</p></div><p>end&nbsp;</p></article><footer>f</footer>"
-    assert html.host_texts([html.blocks(body)]) == ["A & B\none two three\nend"]
+    assert html.page_text(html.blocks(body)) == "A & B\none two three\nend"
     plain = ["<div>Read our long standing terms of use before anything else here</div><p>own %d text</p>" % i for i in range(4)]
     pages = spark.createDataFrame([*((i, "http://h/%d" % i, p) for i, p in enumerate(plain)), (9, None, None), (10, "http://h/q", "<p>unclosed <script>x")], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
     assert got == {0: "own 0 text", 1: "own 1 text", 2: "own 2 text", 3: "own 3 text", 9: "", 10: "unclosed"}
 
 
+def _texts_by_definition(rows):
+    """Texts of (host, html) rows: runs of eight tokens on three contents of the host, by plain counting."""
+    pages = [(h, x, html.blocks(x)) for h, x in rows]
+    on = {}
+    for h, x, page in pages:
+        tokens, *_ = html.streams(page)
+        for k in range(len(tokens) - 7):
+            on.setdefault((h, tuple(tokens[k : k + 8])), set()).add(x)
+    out = []
+    for h, x, page in pages:
+        tokens, block, judged = html.streams(page)
+        often = [k for k in range(len(tokens) - 7) if len(on[h, tuple(tokens[k : k + 8])]) >= 3]
+        mark = {k + i for k in often for i in range(8)}
+        inner = {k + i for k in often if block[k] == block[k + 7] for i in range(8)}
+        lines = []
+        for i, (text, kind) in enumerate(page):
+            own = [k for k in range(len(tokens)) if block[k] == i]
+            if kind == html.ARTICLE:
+                lines.append(text)
+            elif own and judged[own[0]]:
+                rest = [] if mark.issuperset(own) else [tokens[k] for k in own if k not in inner]
+                lines += [" ".join(rest)] * bool(rest)
+        out.append("\n".join(lines))
+    return out
+
+
+def test_host_suffix_array(spark):
+    rnd = random.Random(8)
+    notes = [" ".join(rnd.choices("abcdefghij", k=rnd.randint(3, 14))) for _ in range(6)]
+
+    def page(i):
+        own = lambda: " ".join(rnd.choices("klmnopqrstuvwxyz", k=rnd.randint(1, 12)))
+        parts = [rnd.choice([f"<div>{rnd.choice(notes)}</div>", f"<p>{own()} {rnd.choice(notes)}</p>", f"<p>{own()}</p>", f"<li>{rnd.choice(notes)}", f"<div class='share'>{rnd.choice(notes)} {own()}</div>"]) for _ in range(6)]
+        return f"<nav>{notes[0]}</nav>" + (f"<article>{''.join(parts)}</article>" if i % 2 else "".join(parts)) + f"<footer>{notes[1]}</footer>"
+
+    rows = [(i, f"http://h{i % 3 if i % 5 else 0}/{i}", page(i)) for i in range(90)]
+    rows += [(100 + i, "http://h7/x", "<div>" + " ".join("copy%d" % k for k in range(20)) + "</div>") for i in range(4)]  # one content
+    want = dict(zip([r[0] for r in rows], _texts_by_definition([(r[1][:9], r[2]) for r in rows]), strict=True))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 7):
+        assert {r.page_id: r.text for r in html.extract(df.repartition(n)).collect()} == want
+    changed = sum(html.page_text(html.blocks(r[2])) != want[r[0]] for r in rows)
+    assert changed > 30 and want[100].startswith("copy0 copy1")
+
+
 def test_warc(spark, small, tmp_path):
     assert not compare.mismatch(warc.op9_warc(spark, small), compare.connect(small), warc.OP9_SQL)
     long = "y" * 1500
