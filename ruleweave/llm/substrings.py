@@ -4,8 +4,8 @@ A shard is a slice of whole documents, about 2 MB of text, saved once, compresse
 owned by an anchor: of its 16-byte strings the one with the least hash, the leftmost of equals. Equal windows have equal
 anchors at equal places.
 
-1. Each shard asks about the distinct hashes of its anchors, five bytes each; the answer is two bits per hash: whether
-   another shard has it, and whether at least `HOT_SHARDS` shards have it. Windows of an anchor that stands in a single
+1. Each shard asks about the distinct hashes of its anchors, four bytes each, which is enough inside a part; the answer
+   is two bits per hash: whether another shard has it, and whether at least `HOT_SHARDS` shards have it. Windows of an anchor that stands in a single
    document can't repeat.
 2. A shard builds the suffix array of the passages that may repeat, by Larsson-Sadakane refinement: sort by the first
    eight bytes, then sort the groups still unsorted by the ranks of the suffixes h bytes further on, doubling h. Common
@@ -88,9 +88,9 @@ def windows(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     starts = np.cumsum(sizes) - sizes
     n = np.maximum(sizes - WIDTH + 1, 0)
     total = int(n.sum())
-    doc = np.repeat(np.arange(len(parts)), n)
-    offset = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-    at = starts[doc] + offset
+    doc = np.repeat(np.arange(len(parts), dtype=np.int32), n)
+    offset = np.arange(total, dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
+    at = starts.astype(np.int32)[doc] + offset
     if not total:
         return data, at, doc, offset, at, np.empty(0, _U), np.empty(0, bool)
     x = _words(data, "<u8")
@@ -101,7 +101,8 @@ def windows(parts: list[bytes]) -> tuple[np.ndarray, ...]:
         step = min(span, width - span)
         best = np.minimum(best[:-step], best[step:])
         span += step
-    anchor = (best[at] & _U(0xFFFFFFFF)).astype(np.int64)
+    anchor = (best & _U(0xFFFFFFFF)).astype(np.int32)[at]
+    del best
     begins = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]
     return data, at, doc, offset, anchor, h[anchor], begins
 
@@ -123,9 +124,10 @@ def suffix_array(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     key = _words(data, ">u8")[sa].astype(_U)
     order = np.argsort(key)
     sa, key = sa[order], key[order]
-    rank = np.zeros(len(data) + WIDTH, np.int64)
     new = np.r_[True, key[1:] != key[:-1]]
-    rank[sa] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    del order, key, cover
+    rank = np.zeros(len(data) + WIDTH, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(len(sa), dtype=np.int32), 0))
     for h in (8, 16, WIDTH - 32):
         if h == WIDTH - 32:  # from here on only the windows themselves
             own = np.zeros(len(data), bool)
@@ -146,7 +148,7 @@ def suffix_array(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         if h == WIDTH - 32:
             break
         rank[sa[unsorted]] = head
-    where = np.zeros(len(data), np.int64)
+    where = np.zeros(len(data), np.int32)
     where[at] = np.arange(len(at))
     return where[sa]
 
@@ -158,19 +160,19 @@ def common_prefixes(data: np.ndarray, at: np.ndarray, sa: np.ndarray) -> np.ndar
     neighbour is in the array and sorted before it. Chunks of `CHUNK` windows advance together, a window at a time.
     """
     n = len(at)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[sa] = np.arange(n)
     follows = np.r_[False, at[1:] == at[:-1] + 1, False]  # whether window i starts one byte after window i - 1
     x = _words(data, "<u8")
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int8)
     shared = np.zeros(-(-n // CHUNK), np.int64)
     for step in range(min(CHUNK, n)):
         i = np.arange(step, n, CHUNK)
         j = before[i]
         h = np.maximum(shared[: len(i)] - 1, 0)
-        near = before[i - 1] + 1 if step else np.zeros(len(i), np.int64)
+        near = before[i - 1] + 1 if step else np.zeros(len(i), np.int32)
         h[~(follows[i] & follows[near] & (rank[np.minimum(near, n - 1)] < rank[i])) | (near == 0)] = 0
         todo = np.flatnonzero(j >= 0)
         while len(todo):
@@ -222,17 +224,17 @@ def merge(data: np.ndarray, a: tuple, b: tuple) -> tuple:
     return key[order], at[order], least[order]
 
 
-def least_owners(data: np.ndarray, start: np.ndarray, n: np.ndarray, owner: np.ndarray, array: int = ARRAY) -> np.ndarray:
-    """Of runs of n windows from `start` on: for each window the least owner of its string, over all runs."""
+def outranked(data: np.ndarray, start: np.ndarray, n: np.ndarray, owner: np.ndarray, array: int = ARRAY) -> np.ndarray:
+    """Of runs of n windows from `start` on: which windows have a smaller owner's string, over all runs."""
     for seed in range(8):
         try:
-            return _least_owners(data, start, n, owner, array, seed)
+            return _outranked(data, start, n, owner, array, seed)
         except Collision:
             continue
     raise RuntimeError("keys of eight seeds collide")
 
 
-def _least_owners(data, start, n, owner, array, seed):
+def _outranked(data, start, n, owner, array, seed):
     ends = np.cumsum(n)
     first, tables, inverses = 0, [], []
     while first < len(n):
@@ -249,12 +251,12 @@ def _least_owners(data, start, n, owner, array, seed):
         tables.append((key[begin], at[begin], np.minimum.reduceat(np.repeat(owner[own], size)[order], begin)))
         inverse = np.empty(len(order), np.int32)
         inverse[order] = np.cumsum(np.r_[True, ~same]) - 1
-        inverses.append((key[begin], inverse))
+        inverses.append((own, key[begin], inverse))
         first = stop
     while len(tables) > 1:
         tables = [merge(data, *tables[i : i + 2]) if i + 1 < len(tables) else tables[i] for i in range(0, len(tables), 2)]
     key, _, least = tables[0]
-    return np.concatenate([least[np.searchsorted(key, k)][inverse] for k, inverse in inverses])
+    return np.concatenate([np.repeat(owner[own], n[own]) > least[np.searchsorted(key, k)][inverse] for own, k, inverse in inverses])
 
 
 # -- the job -----------------------------------------------------------------------------------------
@@ -280,7 +282,7 @@ def _texts(row: dict) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _part(key: np.ndarray, n_parts: int) -> np.ndarray:
-    return ((key >> _U(11)) % _U(n_parts)).astype(np.int64)
+    return ((_mix(key) >> _U(11)) % _U(n_parts)).astype(np.int32)
 
 
 def _distinct(key: np.ndarray, begins: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +294,7 @@ def _distinct(key: np.ndarray, begins: np.ndarray, n_parts: int) -> tuple[np.nda
 
 
 def _ask(row: dict, n_parts: int):
-    """For each part the hashes of a slice: 40 bits of each."""
+    """For each part the hashes of a slice: 32 bits of each; others that share them only bring more windows in."""
     *_, key, begins = windows(_texts(row)[1])
     if not len(key):
         return
@@ -300,15 +302,13 @@ def _ask(row: dict, n_parts: int):
     bounds = np.searchsorted(part, np.arange(n_parts + 1))
     for p in np.flatnonzero(np.diff(bounds)):
         own = k[bounds[p] : bounds[p + 1]]
-        yield {"slice": row["slice"], "part": int(p), "hashes": (own & _U(0xFFFFFFFF)).astype("<u4").tobytes() + (own >> _U(32) & _U(255)).astype(np.uint8).tobytes()}
+        yield {"slice": row["slice"], "part": int(p), "hashes": (own & _U(0xFFFFFFFF)).astype("<u4").tobytes()}
 
 
 def _answer(asked: list[dict], hot_shards: int):
     """Two bits for each hash of each slice that asked: another slice has it, `hot_shards` slices have it."""
-    sizes = [len(x["hashes"]) // 5 for x in asked]
-    low = np.concatenate([np.frombuffer(x["hashes"], "<u4", n) for x, n in zip(asked, sizes, strict=True)]).astype(_U)
-    high = np.concatenate([np.frombuffer(x["hashes"], "u1", n, 4 * n) for x, n in zip(asked, sizes, strict=True)])
-    key = low | high.astype(_U) << _U(32)
+    sizes = [len(x["hashes"]) // 4 for x in asked]
+    key = np.concatenate([np.frombuffer(x["hashes"], "<u4") for x in asked])
     order = np.argsort(key)
     begin = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     count = np.diff(np.r_[begin, len(key)])
@@ -370,7 +370,7 @@ def _pack(slice_: int, bucket: int, docs, data, doc, place, start, n, to, is_hot
         size = n[a:b] + WIDTH - 1
         text = data[np.repeat(start[a:b] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         used, ordinal = np.unique(doc[a:b], return_inverse=True)
-        arrays = (used.astype("<u4"), ordinal.astype("<u4"), place[a:b].astype("<u4"), n[a:b].astype("u1"))
+        arrays = (used.astype("<i4"), *(np.diff(x, prepend=0).astype("<i4") for x in (ordinal, place[a:b])), n[a:b].astype("u1"))  # differences take less space
         yield {"slice": slice_, "part": int(code[a]) >> 1, "bucket": bucket if code[a] & 1 else -1, "docs": docs[used].tobytes(), "counts": [len(used), int(b - a)], "body": _zip(*arrays, tail=text.tobytes()), "spans": spans}
         spans = b""
     if spans:
@@ -396,9 +396,11 @@ def _judge(packed: list[dict], n_parts: int, fan: int, last: bool):
     for x in packed:
         body, at, own = _unzip(x["body"]), 0, []
         u, k = x["counts"]
-        for kind, size in (("<u4", u), ("<u4", k), ("<u4", k), ("u1", k)):
+        for kind, size in (("<i4", u), ("<i4", k), ("<i4", k), ("u1", k)):
             own.append(np.frombuffer(body, kind, size, at).astype(np.int64))
             at += size * np.dtype(kind).itemsize
+        own[1:3] = map(np.cumsum, own[1:3])
+        x["body"] = b""
         docs = np.frombuffer(x["docs"], np.int64)
         size = own[3] + WIDTH - 1
         got.append((own[0][own[1]], docs[own[1]], own[2], own[3], base + np.cumsum(size) - size))
@@ -408,7 +410,7 @@ def _judge(packed: list[dict], n_parts: int, fan: int, last: bool):
         data = np.frombuffer(b"".join(texts) + b"\0" * 8, np.uint8)
         del texts
         _, owner, _, n, start = (np.concatenate(x) for x in zip(*got, strict=True))
-        gone = np.repeat(owner, n) > least_owners(data, start, n, owner)
+        gone = outranked(data, start, n, owner)
         bounds = np.cumsum([int(x[3].sum()) for x in got])
         for x, (doc, owner, place, n, start), out in zip(packed, got, np.split(gone, bounds[:-1]), strict=True):
             run = np.repeat(np.arange(len(n)), n)
