@@ -1,56 +1,235 @@
 """Programs over relations: rule bodies as joins within a case, recursion as delta iteration.
 
-A relation is a DataFrame case_id, a0, a1, ..., t. Facts of two cases never join.
+A relation is a DataFrame case_id, a0, a1, ..., t, where t is 0 (false), 1 (unknown) or 2 (true). Facts of two cases never
+join. An atom that no row records is unknown if its predicate is askable and else false. As long as a literal's variables
+aren't all bound it only ranges over recorded atoms, in the order in which the body is written; once they are bound, an
+unrecorded askable atom counts as unknown.
+
+With open_world, only true atoms match positive literals, unknown ones don't block, and an unrecorded atom in a negated
+literal is unknown unless some rule concludes its predicate.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.plans.rules import Atom, Rule, Var, strata
+from ruleweave.functions.truth import noisy_or_of
+from ruleweave.plans.rules import Atom, Literal, Rule, Var, strata
 from ruleweave.sources.tables import saved
 
 
-def _leg(relation: DataFrame, atom: Atom, truth: str) -> DataFrame:
-    """A relation under an atom's variables: constants and repeated variables become filters."""
+class Program:
+    """Rules with what is needed to read their bodies: askable predicates, all cases and the reading of unknowns."""
+
+    def __init__(self, rules: list[Rule], askable: set[str] = frozenset(), open_world: bool = False, cases: DataFrame | None = None):
+        self.rules, self.askable, self.open_world, self._cases = rules, frozenset(askable), open_world, cases
+        self.heads = {r.head.signature for r in rules}
+
+    def cases(self, relations: dict[str, DataFrame]) -> DataFrame:
+        """case_id of all cases: those given, or those with a row in any relation."""
+        if self._cases is not None:
+            return self._cases.select("case_id").distinct()
+        if not relations:
+            raise ValueError("a program without relations needs its cases")
+        return reduce(DataFrame.unionByName, (r.select("case_id") for r in relations.values())).distinct()
+
+    def absent(self, signature: str) -> int:
+        """Truth of an atom that isn't recorded."""
+        if self.open_world:
+            return 0 if signature in self.heads else 1
+        return 1 if signature in self.askable else 0
+
+    # -- one rule ----------------------------------------------------------------------------------------
+
+    def bindings(self, rule: Rule, relations: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, str]]:
+        """Instances that aren't false: case_id, a column for each variable, t, and t of premise i as __i; and the variables' columns."""
+        column: dict[str, str] = {}
+        premises = [x for x in rule.body if not x.negated] + [x for x in rule.body if x.negated]
+        df = None
+        for i, x in enumerate(premises):
+            names = sorted(x.atom.variables())
+            bound = all(v in column for v in names)
+            default = self.absent(x.atom.signature)
+            outer = x.negated or (bound and default > 0 and not self.open_world)
+            relation = relations.get(x.atom.signature)
+            if df is None and (outer or bound):
+                df = self.cases(relations)
+            if relation is None:
+                if not outer:  # nothing to range over
+                    df = df if df is not None else self.cases(relations)
+                    for v in names:
+                        column.setdefault(v, f"v{len(column)}")
+                    made = {c: F.lit(None).cast("string") for c in column.values() if c not in df.columns}
+                    df = df.withColumns(made | {f"__{i}": F.lit(0)}).where(F.lit(False))
+                    continue
+                df = df.withColumn(f"__{i}", F.lit(default))
+            else:
+                if not outer:
+                    relation = relation.where("t = 2" if self.open_world else "t > 0")
+                keys = ["case_id", *(column[v] for v in names if v in column)]
+                for v in names:
+                    column.setdefault(v, f"v{len(column)}")
+                leg = _leg(relation, x.atom, column, f"__{i}")
+                df = leg if df is None else df.join(leg, keys, "left" if outer else "inner")
+                if outer:
+                    df = df.withColumn(f"__{i}", F.coalesce(f"__{i}", F.lit(default)))
+            if x.negated:
+                df = df.withColumn(f"__{i}", 2 - F.col(f"__{i}"))
+        t = reduce(F.least, (F.col(f"__{i}") for i in range(len(premises)))) if len(premises) > 1 else F.col("__0")
+        return df.withColumn("t", t.cast("int")).where("t > 0"), column
+
+    def _heads(self, rule: Rule, relations: dict[str, DataFrame]) -> DataFrame:
+        found, column = self.bindings(rule, relations)
+        return found.select("case_id", *(_value(t, column).alias(f"a{i}") for i, t in enumerate(rule.head.terms)), "t")
+
+    def supports(self, relations: dict[str, DataFrame]) -> DataFrame:
+        """case_id, head, rule_id, strength, t, premises of every instance over evaluated relations, each once.
+
+        t is 2 for supports and 1 for blocked instances. premises are structs of atom, negated and t, positive ones first.
+        """
+        parts = []
+        for rule in self.rules:
+            found, column = self.bindings(rule, relations)
+            body = [x for x in rule.body if not x.negated] + [x for x in rule.body if x.negated]
+            premises = [
+                F.struct(_text(x.atom, column).alias("atom"), F.lit(x.negated).alias("negated"), F.col(f"__{i}").cast("int").alias("t")) for i, x in enumerate(body)
+            ]
+            parts.append(found.select("case_id", _text(rule.head, column).alias("head"), F.lit(rule.rule_id).alias("rule_id"), F.lit(float(rule.strength)).alias("strength"), "t", F.array(*premises).alias("premises")))
+        return reduce(DataFrame.unionByName, parts).dropDuplicates(["case_id", "head", "rule_id", "premises"])
+
+    # -- all rules -----------------------------------------------------------------------------------------
+
+    def evaluate(self, relations: dict[str, DataFrame], most_rounds: int = 200) -> dict[str, DataFrame]:
+        """All relations with the derived ones added to what is recorded of them; a stratum without recursion is one pass."""
+        relations = dict(relations)
+        for stratum in strata(self.rules):
+            todo = list(stratum)
+            while todo:
+                waiting = {r.head.signature for r in todo}
+                ready = [s for s in sorted(waiting) if not any(x.atom.signature in waiting for r in todo if r.head.signature == s for x in r.body)]
+                if ready:
+                    for s in ready:
+                        given = [relations[s].select("case_id", *(c for c in relations[s].columns if c[0] == "a"), "t")] if s in relations else []
+                        relations[s] = _merged(given + [self._heads(r, relations) for r in todo if r.head.signature == s])
+                    todo = [r for r in todo if r.head.signature not in ready]
+                else:
+                    relations |= self._fixpoint(todo, relations, most_rounds)
+                    todo = []
+        return relations
+
+    def _fixpoint(self, rules: list[Rule], relations: dict[str, DataFrame], most_rounds: int) -> dict[str, DataFrame]:
+        """Semi-naive iteration: each round joins the last round's new or raised atoms with all others."""
+        own = {r.head.signature for r in rules}
+        known: dict[str, DataFrame] = {}
+        for s in own:
+            starts = [self._heads(r, relations) for r in rules if r.head.signature == s and not any(x.atom.signature in own for x in r.body)]
+            starts += [relations[s]] if s in relations else []
+            if starts:
+                known[s] = saved(_merged(starts))
+        outer = {k: v for k, v in relations.items() if k not in own}
+        delta = dict(known)
+        for _ in range(most_rounds):
+            found: dict[str, list[DataFrame]] = {}
+            for r in rules:
+                for i, x in enumerate(r.body):
+                    if x.atom.signature in delta and not x.negated:
+                        marked = Literal(Atom(f"{x.atom.predicate}__delta", x.atom.terms))
+                        changed = Rule(r.head, (*r.body[:i], marked, *r.body[i + 1 :]), r.strength, r.rule_id)
+                        seen = outer | known | {marked.atom.signature: delta[x.atom.signature]}
+                        found.setdefault(r.head.signature, []).append(self._heads(changed, seen))
+            fresh = {}
+            for s, parts in found.items():
+                merged = _merged(parts)
+                if s in known:
+                    keys = [c for c in merged.columns if c != "t"]
+                    merged = merged.join(known[s].withColumnRenamed("t", "__old"), keys, "left").where("__old is null or t > __old").drop("__old")
+                fresh[s] = saved(merged)
+            delta = {s: d for s, d in fresh.items() if not d.isEmpty()}
+            if not delta:  # a head without any start stays empty
+                return known | {s: _merged([self._heads(r, outer | known) for r in rules if r.head.signature == s]) for s in own - known.keys()}
+            known |= {s: saved(_merged([known[s], d])) if s in known else d for s, d in delta.items()}
+        raise RuntimeError(f"no fixpoint within {most_rounds} rounds")
+
+    def probabilities(self, relations: dict[str, DataFrame], most_rounds: int = 50, tolerance: float = 1e-9) -> dict[str, DataFrame]:
+        """case_id, a0, ..., p of every true atom of evaluated relations.
+
+        A recorded fact has its column p, or 1; a derived atom is the noisy-OR over its supports of strength times the
+        premises' probabilities. Recursive predicates start from 0 and are raised until nothing moves: exact where no
+        atom supports itself, and the least solution where one does.
+        """
+        out: dict[str, DataFrame] = {}
+        for s, r in relations.items():
+            if s not in self.heads:
+                p = F.coalesce(F.col("p").cast("double"), F.lit(1.0)) if "p" in r.columns else F.lit(1.0)
+                out[s] = r.where("t = 2").select("case_id", *_args(r), p.alias("p"))
+        for stratum in strata(self.rules):
+            todo = list(stratum)
+            while todo:
+                waiting = {r.head.signature for r in todo}
+                ready = [s for s in sorted(waiting) if not any(x.atom.signature in waiting for r in todo if r.head.signature == s for x in r.body)]
+                group = [r for r in todo if r.head.signature in ready] if ready else todo
+                for k in range(1 if ready else most_rounds):
+                    made = {s: self._probability([r for r in group if r.head.signature == s], relations, out) for s in {r.head.signature for r in group}}
+                    if not ready:
+                        made = {s: saved(d) for s, d in made.items()}
+                        if k and not any(self._moved(out[s], d, tolerance) for s, d in made.items()):
+                            break
+                    out |= made
+                todo = [r for r in todo if r not in group]
+        return out
+
+    @staticmethod
+    def _moved(old: DataFrame, new: DataFrame, tolerance: float) -> bool:
+        keys = [c for c in new.columns if c != "p"]
+        both = new.join(old.withColumnRenamed("p", "__p"), keys, "left")
+        return not both.where(F.abs(F.col("p") - F.coalesce("__p", F.lit(0.0))) > tolerance).isEmpty()
+
+    def _probability(self, rules: list[Rule], relations: dict[str, DataFrame], known: dict[str, DataFrame]) -> DataFrame:
+        parts = []
+        for rule in rules:
+            found, column = self.bindings(rule, relations)
+            df, p = found.where("t = 2"), F.lit(float(rule.strength))
+            for i, x in enumerate(y for y in rule.body if not y.negated):
+                if x.atom.signature in known:
+                    names = sorted(x.atom.variables())
+                    df = df.join(_leg(known[x.atom.signature], x.atom, column, f"__p{i}", "p"), ["case_id", *(column[v] for v in names)], "left")
+                    p = p * F.coalesce(f"__p{i}", F.lit(0.0))
+                else:
+                    p = F.lit(0.0)
+            parts.append(df.select("case_id", *(_value(t, column).alias(f"a{i}") for i, t in enumerate(rule.head.terms)), p.alias("p")))
+        all_ = reduce(DataFrame.unionByName, parts)
+        return all_.groupBy(*(c for c in all_.columns if c != "p")).agg(noisy_or_of(F.col("p")).alias("p"))
+
+
+def _args(relation: DataFrame) -> list[str]:
+    return [c for c in relation.columns if c[0] == "a" and c[1:].isdigit()]
+
+
+def _leg(relation: DataFrame, atom: Atom, column: dict[str, str], name: str, value: str = "t") -> DataFrame:
+    """A relation under the columns of an atom's variables: constants and repeated variables become filters."""
     seen: dict[str, str] = {}
-    columns = [F.col("case_id")]
     for i, t in enumerate(atom.terms):
-        if isinstance(t, Var):
-            if t.name in seen:
-                relation = relation.where(F.col(f"a{i}") == F.col(seen[t.name]))
-            else:
-                seen[t.name] = f"a{i}"
-                columns.append(F.col(f"a{i}").alias(t.name))
-        else:
+        if not isinstance(t, Var):
             relation = relation.where(F.col(f"a{i}") == F.lit(t))
-    return relation.select(*columns, F.col("t").alias(truth))
+        elif t.name in seen:
+            relation = relation.where(F.col(f"a{i}") == F.col(seen[t.name]))
+        else:
+            seen[t.name] = f"a{i}"
+    return relation.select("case_id", *(F.col(a).alias(column[v]) for v, a in seen.items()), F.col(value).alias(name))
 
 
-def instances(rule: Rule, relations: dict[str, DataFrame], askable: set[str] = frozenset()) -> DataFrame:
-    """case_id, the rule's variables, and t of each instance: true premises and unknown ones; false ones are left out."""
-    positive = [x for x in rule.body if not x.negated]
-    df = None
-    truths = []
-    for i, x in enumerate(positive):
-        leg = _leg(relations[x.atom.signature].where("t > 0"), x.atom, f"__t{i}")
-        truths.append(F.col(f"__t{i}"))
-        df = leg if df is None else df.join(leg, ["case_id", *sorted(x.atom.variables() & set(df.columns))])
-    for i, x in enumerate(y for y in rule.body if y.negated):
-        leg = _leg(relations[x.atom.signature], x.atom, f"__n{i}")
-        default = 1 if x.atom.signature in askable else 0
-        df = df.join(leg, ["case_id", *sorted(x.atom.variables())], "left")
-        truths.append(2 - F.coalesce(F.col(f"__n{i}"), F.lit(default)))
-    names = sorted({v for x in positive for v in x.atom.variables()})
-    t = reduce(lambda a, b: F.least(a, b), truths)
-    return df.select("case_id", *names, t.cast("int").alias("t")).where("t > 0")
+def _value(term: object, column: dict[str, str]) -> Column:
+    return F.col(column[term.name]) if isinstance(term, Var) else F.lit(term)
 
 
-def _heads(rule: Rule, found: DataFrame) -> DataFrame:
-    return found.select("case_id", *((F.col(t.name) if isinstance(t, Var) else F.lit(t)).alias(f"a{i}") for i, t in enumerate(rule.head.terms)), "t")
+def _text(atom: Atom, column: dict[str, str]) -> Column:
+    """A ground atom as text."""
+    if not atom.terms:
+        return F.lit(atom.predicate)
+    return F.concat(F.lit(atom.predicate + "("), F.concat_ws(", ", *(_value(t, column).cast("string") for t in atom.terms)), F.lit(")"))
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
@@ -58,50 +237,35 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.max("t").alias("t"))
 
 
-def evaluate(rules: list[Rule], relations: dict[str, DataFrame], askable: set[str] = frozenset(), most_rounds: int = 200) -> dict[str, DataFrame]:
-    """All relations with the derived ones added; a stratum without recursion is one pass."""
-    relations = dict(relations)
-    for stratum in strata(rules):
-        todo = list(stratum)
-        while todo:
-            waiting = {r.head.signature for r in todo}
-            ready = [s for s in sorted(waiting) if not any(x.atom.signature in waiting for r in todo if r.head.signature == s for x in r.body)]
-            if ready:
-                for s in ready:
-                    relations[s] = _merged([_heads(r, instances(r, relations, askable)) for r in todo if r.head.signature == s])
-                todo = [r for r in todo if r.head.signature not in ready]
-            else:
-                relations |= _fixpoint(todo, relations, askable, most_rounds)
-                todo = []
-    return relations
-
-
-def _fixpoint(rules: list[Rule], relations: dict[str, DataFrame], askable: set[str], most_rounds: int) -> dict[str, DataFrame]:
-    """Semi-naive iteration: each round joins the last round's new or raised atoms with all others."""
-    own = {r.head.signature for r in rules}
-    base = [r for r in rules if not any(x.atom.signature in own for x in r.body)]
-    known = {s: saved(_merged([_heads(r, instances(r, relations, askable)) for r in base if r.head.signature == s])) for s in own if any(r.head.signature == s for r in base)}
-    for s in own - known.keys():
-        raise ValueError(f"{s} has no rule to start from")
-    delta = dict(known)
+def evaluate(rules: list[Rule], relations: dict[str, DataFrame], askable: set[str] = frozenset(), most_rounds: int = 200, open_world: bool = False) -> dict[str, DataFrame]:
+    """All relations with the derived ones added."""
+    return Program(rules, askable, open_world).evaluate(relations, most_rounds)
+
+
+def truth_of(program: Program, relations: dict[str, DataFrame], atom: Atom) -> DataFrame:
+    """case_id, t of a ground atom in each case."""
+    column: dict[str, str] = {}
+    cases = program.cases(relations)
+    if atom.signature not in relations:
+        return cases.withColumn("t", F.lit(program.absent(atom.signature)))
+    found = _leg(relations[atom.signature], atom, column, "t")
+    return cases.join(found, "case_id", "left").select("case_id", F.coalesce("t", F.lit(program.absent(atom.signature))).alias("t"))
+
+
+def unknowns_blocking(supports: DataFrame, goals: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """case_id, goal, unknown: the unknown atoms below each goal (case_id, goal) that no rule instance concludes.
+
+    Walks the instances from a goal to their premises, round by round, until nothing new is reached.
+    """
+    edges = saved(supports.select("case_id", "head", F.explode("premises").alias("x")).select("case_id", "head", F.col("x.atom").alias("atom"), (F.col("x.t") == 1).alias("unknown")).groupBy("case_id", "head", "atom").agg(F.max("unknown").alias("unknown")))
+    start = goals.select("case_id", "goal", F.col("goal").alias("atom")).distinct()
+    reached = saved(start.withColumn("unknown", F.lit(False)))
+    delta = reached
     for _ in range(most_rounds):
-        found: dict[str, list[DataFrame]] = {s: [] for s in own}
-        for r in rules:
-            for i, x in enumerate(r.body):
-                if x.atom.signature in own and not x.negated:
-                    body = list(r.body)
-                    marked = Atom(f"{x.atom.predicate}__delta", x.atom.terms)
-                    body[i] = type(x)(marked, False)
-                    changed = Rule(r.head, tuple(body), r.strength, r.rule_id)
-                    found[r.head.signature].append(_heads(r, instances(changed, relations | known | {marked.signature: delta[x.atom.signature]}, askable)))
-        fresh = {}
-        for s, parts in found.items():
-            if parts:
-                keys = [c for c in known[s].columns if c != "t"]
-                old = known[s].withColumnRenamed("t", "__old")
-                fresh[s] = saved(_merged(parts).join(old, keys, "left").where("__old is null or t > __old").drop("__old"))
-        if all(d.isEmpty() for d in fresh.values()):
-            return known
-        delta = {s: fresh.get(s, known[s].limit(0)) for s in own}
-        known = {s: saved(_merged([known[s], fresh[s]])) if s in fresh else known[s] for s in own}
-    raise RuntimeError(f"no fixpoint within {most_rounds} rounds")
+        step = delta.select("case_id", "goal", F.col("atom").alias("head")).join(edges, ["case_id", "head"]).groupBy("case_id", "goal", "atom").agg(F.max("unknown").alias("unknown"))
+        delta = saved(step.join(reached.select("case_id", "goal", "atom"), ["case_id", "goal", "atom"], "left_anti"))
+        if delta.isEmpty():
+            concluded = supports.select("case_id", F.col("head").alias("atom")).distinct()
+            return reached.where("unknown").join(concluded, ["case_id", "atom"], "left_anti").select("case_id", "goal", F.col("atom").alias("unknown"))
+        reached = saved(reached.unionByName(delta))
+    raise RuntimeError(f"not walked within {most_rounds} rounds")
