@@ -6,11 +6,10 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from ruleweave.functions.truth import first_match
-from ruleweave.operators.decisions import blocking_rules, facts_long, fnv1a, head_probability, near_misses, replay, screening, systematic_sample
+from ruleweave.operators.decisions import blocking_rules, caution, facts_long, fnv1a, head_probability, near_misses, replay, screening, screening_status, systematic_sample
 from ruleweave.operators.explain import proof_steps
 from ruleweave.operators.wide import Wide
-from ruleweave.plans.generalise import shared_premises
+from ruleweave.plans.generalise import candidates
 from ruleweave.queries import _FEATURES, _WORLDS, OBSERVABLES, _register, _t, _with_truth, customer_pack, customers
 from ruleweave.sources.rule_text import parse_program
 from ruleweave.streaming.screening import screen
@@ -30,25 +29,29 @@ def commit_rule(spark, d):
     return screen(customer_pack(), customers(spark, d), "c_custkey", ["decline", "approve"]).select("c_custkey", "decision")
 
 
-_PREMISES = [("r1", "overdrawn = 2", "large_exposure = 2"), ("r2", "urgent_buyer = 2", "auto_segment = 0"), ("r3", "auto_segment = 2"), ("r4", "elevated_risk = 2", "mitigated = 0"), ("r5", "mitigated = 2", "elevated_risk = 0")]
-_NEAR = " union all ".join(f"select c_custkey, '{i}' as rule_id, {' + '.join(f'({x})::int' for x in held)} as satisfied, {len(held)} as n from p2" for i, *held in _PREMISES)
-
-
-@_register(_with_truth() + f", m as ({_NEAR}) select c_custkey, rule_id, satisfied::int as satisfied, (n - satisfied)::int as missing from m where satisfied >= 1 and n - satisfied between 1 and 2")
-def near_miss(spark, d):
-    return near_misses(customer_pack(), customers(spark, d), "c_custkey")
+_PREMISES = [("r1", "elevated_risk", "overdrawn = 2", "large_exposure = 2"), ("r2", "elevated_risk", "urgent_buyer = 2", "auto_segment = 0"), ("r3", "mitigated", "auto_segment = 2"), ("r4", "decline", "elevated_risk = 2", "mitigated = 0"), ("r5", "approve", "mitigated = 2", "elevated_risk = 0")]
+_NEAR = " union all ".join(f"select c_custkey, '{i}' as rule_id, '{head}' as head, {' + '.join(f'({x})::int' for x in held)} as satisfied, {len(held)} as n from p2 where {head} <> 2" for i, head, *held in _PREMISES)
 
 
 @_register(
     _with_truth()
-    + """, x as (select decline = 2 as was, least(f1, 2 - mitigated) = 2 as now, coalesce(c_acctbal < -500, false) as label from p2)
- select count(*) filter (was and now) as keeps, count(*) filter (not was and now) as gains, count(*) filter (was and not now) as losses, count(*) filter (not was and now and not label) as conflicts from x"""
+    + f""", m as ({_NEAR}) select c_custkey, rule_id, head, satisfied::int as satisfied, (n - satisfied)::int as missing,
+ row_number() over (partition by c_custkey order by n - satisfied, -satisfied, head, rule_id)::int as place from m where satisfied >= 1 and n - satisfied between 1 and 2"""
 )
+def near_miss(spark, d):
+    return near_misses(customer_pack(), customers(spark, d), "c_custkey").drop("open")
+
+
+_REPLAYED = """select count(*) as evidence, count(*) filter (was and now) as keeps, count(*) filter (not was and now and not against) as gains,
+ count(*) filter (was and not now) as losses, count(*) filter (not was and now and against) as conflicts"""
+
+
+@_register(_with_truth() + ", x as (select decline = 2 as was, least(f2, 2 - mitigated) = 2 as now, c_acctbal < -500 as against from p2) " + _REPLAYED + " from x")
 def rule_replay(spark, d):
-    """Decisions without r2 against those with it."""
+    """Decisions without r1 against those with all rules, where an approval is recorded for the deeply overdrawn."""
     pack = customer_pack()
-    without = Wide([r for r in pack.rules if r.rule_id != "r2"], OBSERVABLES)
-    return replay(pack, without, customers(spark, d), "decline", F.col("c_acctbal") < -500)
+    without = Wide([r for r in pack.rules if r.rule_id != "r1"], OBSERVABLES)
+    return replay(pack, without, customers(spark, d), "decline", F.when(F.col("c_acctbal") < -500, "approve"))
 
 
 @_register(_with_truth() + " select c_custkey, 'r2' as rule_id from p2 where f2 = 2 union all select c_custkey, 'r5' from p2 where approve = 2")
@@ -73,19 +76,12 @@ def fnv_hash(spark, d):
     return _t(spark, d, "customer").select("c_custkey", fnv1a(F.col("c_name")).alias("bucket_hash"))
 
 
-@_register("""select l_orderkey, l_linenumber, case when l_shipdate < o_orderdate then 'conflict' when l_discount = 0 then 'missing' when l_quantity < 10 or l_tax > 0.06 then 'mismatch' else 'match' end as status
- from lineitem join orders on l_orderkey = o_orderkey""")
+@_register("""select l_orderkey, l_linenumber, case when l_shipdate < o_orderdate then 'conflict' when l_discount = 0 then 'missing' when l_quantity < 10 or l_tax > 0.06 then 'mismatch' else 'match' end as reason,
+ case when not (l_shipdate < o_orderdate) and l_discount <> 0 and (l_quantity < 10 or l_tax > 0.06) then 'rejected' else 'review' end as status from lineitem join orders on l_orderkey = o_orderkey""")
 def screening_assessment(spark, d):
     lines = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     checks = {"quantity": F.col("l_quantity") >= 10, "tax": F.col("l_tax") <= 0.06}
-    return lines.select("l_orderkey", "l_linenumber", screening(checks, F.col("l_shipdate") < F.col("o_orderdate"), F.col("l_discount") == 0).alias("status"))
-
-
-@_register("""select l_orderkey, l_linenumber, case when l_returnflag = 'R' and l_quantity >= 40 then 0.5 when l_returnflag = 'R' then 0.2 when l_quantity >= 25 then 0.1 else 0.05 end::double as rate from lineitem""")
-def tier_audit_rate(spark, d):
-    returned = F.col("l_returnflag") == "R"
-    rate = first_match([(returned & (F.col("l_quantity") >= 40), 0.5), (returned, 0.2), (F.col("l_quantity") >= 25, 0.1)], 0.05)
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rate.alias("rate"))
+    return lines.select("l_orderkey", "l_linenumber", screening(checks, F.col("l_shipdate") < F.col("o_orderdate"), F.col("l_discount") == 0).alias("reason")).withColumn("status", screening_status(F.col("reason")))
 
 
 _STEPS = [("rule", "r1", "true", "f1 = 2"), ("rule", "r2", "false", "f2 = 2"), ("rule", "r4", "true", "true"), ("fact", "overdrawn", "null", "f1 = 2"), ("fact", "large_exposure", "null", "f1 = 2"), ("fact", "urgent_buyer", "null", "f2 = 2"), ("denied", "auto_segment", "null", "f2 = 2"), ("not_concluded", "mitigated", "null", "true")]
@@ -101,11 +97,14 @@ def proof(spark, d):
     "with "
     + _FEATURES
     + """, x as (select least(overdrawn, large_exposure, urgent_buyer) = 2 or least(overdrawn, large_exposure, 2 - auto_segment) = 2 as was,
-  least(overdrawn, large_exposure) = 2 as now, coalesce(c_acctbal < -500, false) as label from feats)
- select count(*) filter (was and now) as keeps, count(*) filter (not was and now) as gains, count(*) filter (was and not now) as losses, count(*) filter (not was and now and not label) as conflicts from x"""
+  least(overdrawn, large_exposure) = 2 as now, c_acctbal < -900 as against from feats), y as ("""
+    + _REPLAYED
+    + """ from x) select *, 1 / 3.0::double as reach, case when conflicts > 0 then 'contradicts ' || conflicts || ' recorded decisions' when evidence < 10 then 'only ' || evidence || ' cases to test against' else 'no conflict' end as caution from y"""
 )
 def generalise_replay(spark, d):
     """What changes if two rules are replaced by their shared premises."""
     rules, _ = parse_program("rule g1 refer(A) <- overdrawn(A), large_exposure(A), urgent_buyer(A). rule g2 refer(A) <- overdrawn(A), large_exposure(A), not auto_segment(A).")
-    general = dataclasses.replace(shared_premises(*rules), rule_id="g")
-    return replay(Wide(rules, OBSERVABLES), Wide([general], OBSERVABLES), customers(spark, d), "refer", F.col("c_acctbal") < -500)
+    found = candidates(spark, rules)[0]
+    general = dataclasses.replace(found.rule, rule_id="g")
+    done = replay(Wide(rules, OBSERVABLES), Wide([general], OBSERVABLES), customers(spark, d), "refer", F.when(F.col("c_acctbal") < -900, "release"))
+    return caution(done, found.dropped, found.narrowest)

@@ -7,15 +7,19 @@ recognised by its canonical key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+import uuid
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.plans.rules import Rule, canonical_key, strata
-from ruleweave.sources.rule_text import format_rule, parse_rule
+from ruleweave.operators.governance import APPROVED, PENDING, PROVISIONAL, REJECTED, RETIRED, Record
+from ruleweave.plans.rules import NotStratified, Rule, canonical_key, strata
+from ruleweave.plans.vocabulary import Vocabulary
+from ruleweave.sources.rule_text import format_rule, parse_program, parse_rule
 
-EVENTS = "seq long, rule_id string, key string, status string, text string, actor string, note string"
-#: The statuses of a rule.
-PROVISIONAL, PENDING, APPROVED, REJECTED, RETIRED = "provisional", "pending_online", "approved", "rejected", "retired"
+EVENTS = "seq long, event_id string, rule_id string, key string, status string, text string, actor string, note string, at timestamp"
 _ALREADY = {APPROVED: "already_approved", REJECTED: "already_rejected", RETIRED: "already_rejected"}
 
 
@@ -42,9 +46,21 @@ class RuleStore:
 
     def rules(self) -> DataFrame:
         """rule_id, key, status, text of each rule, by its latest event."""
-        last = self.events().groupBy("rule_id").agg(F.max_by(F.struct("key", "status", "text"), "seq").alias("x"))
+        last = self.events().groupBy("rule_id").agg(F.max_by(F.struct("key", "status", "text"), F.struct("seq", "event_id")).alias("x"))
         return last.select("rule_id", "x.*")
 
+    def records(self) -> list[Record]:
+        """The rules by id, read from their text; raises if a text no longer has the key under which it was settled."""
+        out = []
+        for r in self.rules().orderBy("rule_id").collect():
+            rule = replace(parse_rule(r.text), rule_id=r.rule_id)
+            if canonical_key(rule) != r.key:
+                raise ValueError(f"{r.rule_id} is stored under {r.key}, but its text has the key {canonical_key(rule)}")
+            meta = dict(rule.meta)
+            out.append(Record(rule, r.status, str(meta.get("origin", "human")), str(meta.get("by", "")), str(meta.get("cites", ""))))
+        strata([r.rule for r in out if r.status not in (REJECTED, RETIRED)])
+        return out
+
     def active(self, critical: bool) -> list[Rule]:
         """Rules that may decide a case: on critical ones approved rules only."""
         wanted = [APPROVED] if critical else [APPROVED, PROVISIONAL]
@@ -52,11 +68,15 @@ class RuleStore:
 
     def _append(self, rows: list[tuple]) -> None:
         first = (self.events().agg(F.max("seq")).first()[0] or 0) + 1
-        numbered = [(first + i, *r) for i, r in enumerate(rows)]
+        now = datetime.datetime.now(datetime.UTC)
+        numbered = [(first + i, uuid.uuid4().hex, *r, now) for i, r in enumerate(rows)]  # of two writers' events with one number the id decides
         self.spark.createDataFrame(numbered, EVENTS).coalesce(1).write.mode("append").parquet(self.path)
 
-    def propose(self, rules: list[Rule], critical: bool, actor: str = "") -> list[str]:
-        """Outcome of each proposal: new rules wait for a person if critical and apply provisionally if not."""
+    def propose(self, rules: list[Rule], critical: bool, actor: str = "", vocabulary: Vocabulary | None = None) -> list[str]:
+        """Outcome of each proposal: new rules wait for a person if critical and apply provisionally if not.
+
+        A new rule outside the vocabulary, or one that would make negation run in a circle, is rejected_invalid and isn't stored.
+        """
         known = {r.key: r for r in self.rules().collect()}
         standing = [parse_rule(r.text) for r in known.values() if r.status not in (REJECTED, RETIRED)]
         rows, out = [], []
@@ -64,7 +84,9 @@ class RuleStore:
             key = canonical_key(rule)
             old = known.get(key)
             if old is None:
-                strata([*standing, rule])  # raises where negation would run in a circle
+                if invalid(rule, standing, vocabulary):
+                    out.append("rejected_invalid")
+                    continue
                 standing.append(rule)
                 status = PENDING if critical else PROVISIONAL
                 rule_id = rule.rule_id or key
@@ -104,8 +126,11 @@ class RuleStore:
         online = F.col("status") == PENDING
         return found.orderBy(online.desc(), F.when(online, F.col("since")), F.col("reuse").desc(), "rule_id").drop("since")
 
-    def impact(self, log: DataFrame, rule_id: str) -> DataFrame:
-        """Logged decisions that used the rule."""
+    def reject_with_impact(self, rule_id: str, actor: str, note: str, log: DataFrame) -> DataFrame:
+        """Reject a rule; the logged decisions that it had a part in. A person and a reason must be named."""
+        if not actor.strip() or not note.strip():
+            raise ValueError("a rejection needs a person and a reason")
+        self.reject(rule_id, actor, note)
         return log.where(F.col("rule_id") == rule_id)
 
     def invariant_violations(self, log: DataFrame) -> DataFrame:
@@ -113,17 +138,49 @@ class RuleStore:
         return log.where("critical").join(F.broadcast(self.rules().where(F.col("status") == APPROVED).select("rule_id")), "rule_id", "left_anti")
 
     def export_text(self) -> str:
-        return "\n".join(r.text for r in self.rules().orderBy("rule_id").collect())
+        """All rules as text that import_text reads; their status is part of it."""
+        lines = []
+        for r in self.rules().orderBy("rule_id").collect():
+            rule = parse_rule(r.text)
+            meta = dict(rule.meta) | {"p": rule.strength, "status": r.status}
+            lines.append(format_rule(replace(rule, rule_id=r.rule_id, meta=tuple(sorted(meta.items())))))
+        return "\n".join(lines)
+
+    def import_text(self, text: str, actor: str = "import", vocabulary: Vocabulary | None = None) -> list[str]:
+        """Ids of the rules that were added: those whose key isn't settled yet. Raises on a rule that is invalid."""
+        known = {r.key: r for r in self.rules().collect()}
+        standing = [parse_rule(r.text) for r in known.values() if r.status not in (REJECTED, RETIRED)]
+        taken, rows, added = {r.rule_id for r in known.values()}, [], []
+        for rule in parse_program(text)[0]:
+            key = canonical_key(rule)
+            if key in known:
+                continue
+            if found := invalid(rule, standing, vocabulary):
+                raise ValueError(f"{rule}: {found}")
+            known[key] = rule
+            standing.append(rule)
+            rule_id = rule.rule_id if rule.rule_id and rule.rule_id not in taken else key
+            taken.add(rule_id)
+            status = str(dict(rule.meta).get("status", "proposed"))
+            rows.append((rule_id, key, status, format_rule(replace(rule, rule_id=rule_id)), actor, "imported"))
+            added.append(rule_id)
+        if rows:
+            self._append(rows)
+        return added
+
 
+def invalid(rule: Rule, standing: list[Rule], vocabulary: Vocabulary | None) -> str:
+    """What stands against a rule beside the standing ones, or nothing."""
+    found = vocabulary.problems(rule) if vocabulary else []
+    try:
+        strata([*standing, rule])
+    except NotStratified as e:
+        found.append(str(e))
+    return "; ".join(found)
 
-def policy_rules(documents: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """key, heading, rule, strength of the rules annotated in policy documents as <!-- rule: head <- body. | p=0.9 -->."""
-    text = F.col(column).cast("string")
-    note = r"<!--\s*rule:\s*([^|>]*?(?:<-)?[^|>]*?)\s*(?:\|\s*p\s*=\s*([0-9.]+)\s*)?-->"
-    lines = documents.where(text.contains("<!--")).select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    from pyspark.sql import Window
 
-    heading = F.last(F.when(F.col("line").rlike(r"^#+ "), F.regexp_replace("line", r"^#+\s*", "")), ignorenulls=True)
-    placed = lines.withColumn("heading", heading.over(Window.partitionBy(key).orderBy("at")))
-    rule = F.regexp_extract("line", note, 1)
-    return placed.where(F.col("line").rlike(note)).select(key, "heading", rule.alias("rule"), F.coalesce(F.expr("try_cast(nullif(regexp_extract(line, '\\\\|\\\\s*p\\\\s*=\\\\s*([0-9.]+)', 1), '') as double)"), F.lit(0.9)).alias("strength"))
+def route(status: Column, critical: Column, valid: Column | None = None) -> Column:
+    """Outcome of proposals joined with the rule of their key: status is null where there is none."""
+    wrong = F.lit(False) if valid is None else ~F.coalesce(valid, F.lit(False))
+    known = F.when(status == APPROVED, "already_approved").when(status.isin(REJECTED, RETIRED), "already_rejected").when((status == PROVISIONAL) & critical, "queued_online").otherwise("already_pending")
+    return F.when(status.isNotNull(), known).when(wrong, "rejected_invalid").when(critical, "queued_online").otherwise("applied_provisionally")

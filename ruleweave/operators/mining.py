@@ -1,33 +1,100 @@
-"""Level-wise mining of rules from labelled cases."""
+"""Level-wise mining of rules from labelled cases, and what becomes of the candidates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ruleweave.plans.rules import Atom, Literal, Rule, Var, canonical_key
+
+#: The longest body, the least support, precision and gain over the base rate, and the most proposals.
+MOST_BODY, SUPPORT, PRECISION, LIFT, MOST_PROPOSALS = 3, 20, 0.70, 0.10, 8
+
+
+@dataclass(frozen=True)
+class Candidate:
+    """Literals (observable, negated) that hold together on `support` cases, `hits` of them with the label."""
+
+    body: tuple[tuple[str, bool], ...]
+    support: int
+    hits: int
+
+    @property
+    def precision(self) -> float:
+        return self.hits / self.support
+
+    def __str__(self) -> str:
+        return ", ".join(f"not {o}" if negated else o for o, negated in self.body)
+
+    def holds(self) -> Column:
+        return reduce(and_, (F.col(o) == (0 if negated else 2) for o, negated in self.body))
+
+    def rule(self, head: str, rule_id: str = "") -> Rule:
+        x = Var("X")
+        return Rule(Atom(head, (x,)), tuple(Literal(Atom(o, (x,)), negated) for o, negated in self.body), round(self.precision, 3), rule_id)
 
-def mine(cases: DataFrame, key: str, observables: list[str], label: str, most_body: int = 2, support: int = 20, precision: float = 0.7, lift: float = 0.1) -> DataFrame:
-    """body, support, hits, precision of literal sets that hold often and predict the label.
 
-    Each level counts only extensions of the frequent sets of the level before, in one aggregation over the cases: the
-    sets are schema-sized, the cases are read where they lie and combined before the shuffle.
+def candidates(cases: DataFrame, observables: list[str], label: str, most_body: int = MOST_BODY, support: int = SUPPORT, precision: float = PRECISION, lift: float = LIFT) -> list[Candidate]:
+    """Literal sets that hold often and predict the label; by precision, then support, then length.
+
+    An observable counts if it is true in some cases but not in all. Unknown observables make neither literal hold. Each
+    level only counts extensions of the last level's frequent sets, in one aggregation over the cases: the sets are as
+    many as the schema allows, the cases are read where they lie and combined before the shuffle.
     """
-    literals = [(o, neg) for o in sorted(observables) for neg in (False, True)]
-    holds = lambda lit: F.col(lit[0]) == (0 if lit[1] else 2)
-    name = lambda lit: f"not {lit[0]}" if lit[1] else lit[0]
-    total, hit = cases.agg(F.count("*"), F.sum(F.col(label).cast("long"))).first()
-    base = (hit or 0) / max(total, 1)
-    level, found = [(x,) for x in literals], []
+    total, hit, *true = cases.agg(F.count("*"), F.count_if(F.col(label)), *(F.count_if(F.col(o) == 2) for o in observables)).first()
+    usable = sorted(o for o, n in zip(observables, true, strict=True) if 0 < n < total)
+    literals = [(o, negated) for o in usable for negated in (False, True)]
+    level: list[tuple] = [(x,) for x in literals]
+    found: list[Candidate] = []
     while level and len(level[0]) <= most_body:
-        sums = []
-        for i, body in enumerate(level):
-            all_hold = holds(body[0])
-            for x in body[1:]:
-                all_hold = all_hold & holds(x)
-            sums += [F.count_if(all_hold).alias(f"s{i}"), F.count_if(all_hold & F.col(label)).alias(f"h{i}")]
-        row = cases.agg(*sums).first()
-        often = [(b, row[f"s{i}"], row[f"h{i}"]) for i, b in enumerate(level) if row[f"s{i}"] >= support]
-        found += [(", ".join(map(name, b)), s, h, h / s) for b, s, h in often if h / s >= precision and h / s - base >= lift]
-        frequent = {b for b, _, _ in often}
-        level = [(*b, x) for b in sorted(frequent, key=lambda b: [literals.index(y) for y in b]) for x in literals if literals.index(x) > literals.index(b[-1]) and x[0] not in {y[0] for y in b}]
-    return cases.sparkSession.createDataFrame(found, "body string, support long, hits long, precision double")
+        frequent = []
+        for start in range(0, len(level), 500):  # a plan of bounded size
+            part = level[start : start + 500]
+            sums = [c for b in part for hold in [Candidate(b, 0, 0).holds()] for c in (F.count_if(hold), F.count_if(hold & F.col(label)))]
+            row = cases.agg(*sums).first()
+            frequent += [Candidate(b, row[2 * i], row[2 * i + 1]) for i, b in enumerate(part) if row[2 * i] >= support]
+        found += [c for c in frequent if c.precision >= precision and c.precision - hit / total >= lift]
+        level = [(*c.body, x) for c in frequent for x in literals[literals.index(c.body[-1]) + 1 :] if x[0] != c.body[-1][0]]
+    return sorted(found, key=lambda c: (-c.precision, -c.support, len(c.body)))
+
+
+def unsubsumed(ranked: list[Candidate]) -> list[Candidate]:
+    """Candidates none of whose literal subsets ranks before them."""
+    kept: list[Candidate] = []
+    for c in ranked:
+        if not any(set(k.body) <= set(c.body) for k in kept):
+            kept.append(c)
+    return kept
+
+
+def proposals(ranked: list[Candidate], head: str, known: set[str] = frozenset(), most: int = MOST_PROPOSALS) -> list[tuple[Candidate, Rule]]:
+    """Rules to propose: unsubsumed, with a premise that must hold, and not known by canonical key."""
+    out = []
+    for c in unsubsumed(ranked):
+        if len(out) < most and not all(negated for _, negated in c.body):
+            rule = c.rule(head)
+            if canonical_key(rule) not in known:
+                out.append((c, rule))
+    return out
+
+
+def examples(cases: DataFrame, key: str, label: str, chosen: list[Candidate], most: int = 5) -> DataFrame:
+    """body, key, example: the first `most` cases by key with the label, and without it, on which each body holds."""
+    parts = [
+        cases.where(c.holds() & (F.col(label) if good else ~F.coalesce(F.col(label), F.lit(False)))).select(F.lit(str(c)).alias("body"), key, F.lit(good).alias("example")).orderBy(key).limit(most)
+        for c in chosen
+        for good in (True, False)
+    ]
+    empty = cases.select(F.lit("").alias("body"), key, F.lit(True).alias("example")).limit(0)
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
+def mine(cases: DataFrame, observables: list[str], label: str, pruned: bool = False, **limits) -> DataFrame:
+    """body, support, hits, precision, place of the candidates, all or only the unsubsumed ones."""
+    ranked = candidates(cases, observables, label, **limits)
+    rows = [(str(c), c.support, c.hits, c.precision, i + 1) for i, c in enumerate(unsubsumed(ranked) if pruned else ranked)]
+    return cases.sparkSession.createDataFrame(rows, "body string, support long, hits long, precision double, place int")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ruleweave.functions.truth import beta_doubt, draw, feature, first_match, posterior
+from ruleweave.functions.truth import draw, feature, first_match, posterior
+from ruleweave.operators.decisions import running_total
 from ruleweave.operators.mining import mine
 from ruleweave.operators.relational import evaluate
 from ruleweave.operators.wide import Wide, check
@@ -42,6 +44,7 @@ def customers(spark: SparkSession, d: str) -> DataFrame:
         "c_mktsegment",
         "c_acctbal",
         "exposure",
+        "urgent",
         feature(F.col("c_acctbal"), "lt", 0.0).alias("overdrawn"),
         feature(F.col("exposure"), "gte", float(LARGE)).alias("large_exposure"),
         feature(F.col("urgent"), "truthy").alias("urgent_buyer"),
@@ -50,7 +53,7 @@ def customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FEATURES = f"""
-feats as (select c_custkey, c_mktsegment, c_acctbal, exposure,
+feats as (select c_custkey, c_mktsegment, c_acctbal, exposure, urgent,
   case when c_acctbal is null then 1 when c_acctbal < 0 then 2 else 0 end::int as overdrawn,
   case when exposure is null then 1 when exposure >= {LARGE} then 2 else 0 end::int as large_exposure,
   case when urgent is null then 1 when urgent then 2 else 0 end::int as urgent_buyer,
@@ -115,9 +118,9 @@ def kleene_evaluation(spark, d):
 
 @_register(_with_truth() + " select c_custkey, round(p_risk, 6) as p_risk, round(p_decline, 6) as p_decline from p2")
 def noisy_or_chain(spark, d):
-    t = customer_pack().truth(customers(spark, d).select("c_custkey", *OBSERVABLES))  # an unknown premise supports nothing
-    p_risk = 1 - (1 - F.when(F.col("fired_r1") == 2, 0.8).otherwise(0.0)) * (1 - F.when(F.col("fired_r2") == 2, 0.7).otherwise(0.0))
-    return t.select("c_custkey", F.round(p_risk, 6).alias("p_risk"), F.round(F.when(F.col("decline") == 2, p_risk * 0.88).otherwise(0.0), 6).alias("p_decline"))
+    """An unknown premise supports nothing."""
+    t = customer_pack().probability(customers(spark, d))
+    return t.select("c_custkey", F.round("p_elevated_risk", 6).alias("p_risk"), F.round("p_decline", 6).alias("p_decline"))
 
 
 @_register(_WORLDS + " select c_custkey, round(lower, 6) as lower, round(upper, 6) as upper from b")
@@ -192,15 +195,15 @@ def rule_join(spark, d):
     return found.groupBy(F.col("a2").alias("nation")).agg(F.count("*").alias("pairs"))
 
 
-@_register("""with e as (select n_regionkey as c, n_nationkey as a, lead(n_nationkey) over (partition by n_regionkey order by n_nationkey) as b from nation)
-select x.n_regionkey as region, x.n_nationkey as nation, y.n_nationkey as reached from nation x join nation y on x.n_regionkey = y.n_regionkey and x.n_nationkey < y.n_nationkey""")
+@_register("""select x.conv_id, x.turn, y.turn as reached from (select distinct conv_id, turn from conversations) x join (select distinct conv_id, turn from conversations) y on x.conv_id = y.conv_id and x.turn < y.turn""")
 def closure(spark, d):
-    """Recursive rules over the chain of nations of each region; the region is the case."""
-    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    edges = _t(spark, d, "nation").select(F.col("n_regionkey").alias("case_id"), F.col("n_nationkey").alias("a0"), F.lead("n_nationkey").over(w).alias("a1"), F.lit(2).alias("t")).where("a1 is not null")
-    rules, _ = parse_program("reach(X, Y) <- next(X, Y). reach(X, Z) <- reach(X, Y), next(Y, Z).")
+    """Recursive rules over the chain of turns of each conversation; the conversation is the case."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = _t(spark, d, "conversations").select("conv_id", "turn").distinct()
+    edges = turns.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("a0"), F.lead("turn").over(w).alias("a1"), F.lit(2).alias("t")).where("a1 is not null")
+    rules, _ = parse_program("reach(X, Y) <- next(X, Y). reach(X, Z) <- reach(X, Y), reach(Y, Z).")
     found = evaluate(rules, {"next/2": edges})["reach/2"]
-    return found.select(F.col("case_id").alias("region"), F.col("a0").alias("nation"), F.col("a1").alias("reached"))
+    return found.select(F.col("case_id").alias("conv_id"), F.col("a0").alias("turn"), F.col("a1").alias("reached"))
 
 
 @_register("""with l as (select d.doc_id, case when quality is null then 1 when quality = 1 then 2 else 0 end as good, case when toxic is null then 1 when toxic = 1 then 2 else 0 end as toxic from documents d left join labels l on d.doc_id = l.doc_id)
@@ -216,7 +219,12 @@ def negation_three_valued(spark, d):
 
 @_register("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 def negation_two_valued(spark, d):
-    return _t(spark, d, "customer").join(_t(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """idle(C) <- customer(C), not pending(C), where nothing is unknown."""
+    case, t = F.lit(0).alias("case_id"), F.lit(2).alias("t")
+    all_ = _t(spark, d, "customer").select(case, F.col("c_custkey").alias("a0"), t)
+    pending = _t(spark, d, "orders").where("o_orderstatus = 'P'").select(case, F.col("o_custkey").alias("a0"), t).distinct()
+    rules, _ = parse_program("idle(C) <- customer(C), not pending(C).")
+    return evaluate(rules, {"customer/1": all_, "pending/1": pending})["idle/1"].select(F.col("a0").alias("c_custkey"))
 
 
 #: A governance log derived from the orders: each order is a query answered by rule r<custkey mod 8>.
@@ -257,55 +265,35 @@ def rereview(spark, d):
     return s.where((F.col("successes") + F.col("failures") >= 8) & (0.8 - posterior(F.col("successes"), F.col("failures")) >= 0.2)).select("rule_id")
 
 
-@_register(f"with {_LOG} select rule_id, count(*) as violations from log where critical and provisional group by 1")
-def invariant(spark, d):
-    return governance_log(spark, d).where("critical and provisional").groupBy("rule_id").agg(F.count("*").alias("violations"))
-
-
-@_register(f"with {_LOG} select query_id from log where provisional and rule_id = 'r7'")
-def impact(spark, d):
-    rejected = spark.createDataFrame([("r7",)], "rule_id string")
-    return governance_log(spark, d).where("provisional").join(rejected, "rule_id", "left_semi").select("query_id")
-
-
-@_register(_STATS + " select count(*) filter (rule_id < 'r6') as approved, sum(reuse)::bigint as reuses, round(sum(reuse) / count(*) filter (rule_id < 'r6'), 6) as reuse_per_approval from s")
-def amortisation(spark, d):
-    s = rule_stats(governance_log(spark, d))
-    approved = F.count_if(F.col("rule_id") < "r6")
-    return s.agg(approved.alias("approved"), F.sum("reuse").alias("reuses"), F.round(F.when(approved > 0, F.sum("reuse") / approved).otherwise(0.0), 6).alias("reuse_per_approval"))
-
-
 @_register("""select o_orderkey, (('0x' || substr(sha256('audit-v1:' || o_orderkey::varchar), 1, 16))::ubigint::double / 18446744073709551616.0) < 0.1 as sampled from orders""")
 def audit_sample(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", (draw("audit-v1", F.col("o_orderkey")) < 0.1).alias("sampled"))
 
 
-@_register()
-def audit_rate(spark, d):
-    """Floor plus the doubt that a rule is as accurate as its target; compared with exact sums in the tests."""
-    s = rule_stats(governance_log(spark, d))
-    return s.select("rule_id", F.round(0.02 + 0.98 * beta_doubt(F.col("successes"), F.col("failures"), 0.8), 6).alias("rate"))
+def _mine_ctes() -> str:
+    """All bodies of up to three literals over observables that vary, in the order of mining."""
+    lits = [(o, n) for o in sorted(OBSERVABLES) for n in (False, True)]
+    name, cond = (lambda x: f"not {x[0]}" if x[1] else x[0]), (lambda x: f"{x[0]} = {0 if x[1] else 2}")
+    bodies = [b for k in (1, 2, 3) for b in combinations(lits, k) if len({x[0] for x in b}) == k]
+    varies = lambda o: f"(select count(*) filter ({o} = 2) between 1 and count(*) - 1 from feats)"
+    each = " union all ".join(
+        f"select {i} as n, {len(b)} as k, {[name(x) for x in b]} as lits, count(*) filter ({' and '.join(map(cond, b))}) as support, count(*) filter ({' and '.join(map(cond, b))} and c_acctbal > 5000) as hits from feats where {' and '.join(varies(o) for o, _ in b)}" for i, b in enumerate(bodies)
+    )
+    return "with " + _FEATURES + f", c as ({each}), base as (select avg((c_acctbal > 5000)::int) as b from feats), r as (select *, hits / support as p, row_number() over (order by hits / support desc, support desc, k, n)::int as place from c, base where support >= 20 and hits / support >= 0.5 and hits / support - b >= 0.02)"
 
 
-@_register("""select l_orderkey, l_linenumber, case when l_returnflag = 'R' and l_quantity >= 40 then 'human_only' when l_returnflag = 'R' or l_discount >= 0.09 then 'human_approval'
- when l_quantity >= 25 then 'ai_with_oversight' else 'ai_recommends' end as mode from lineitem""")
-def ladder(spark, d):
-    returned = F.col("l_returnflag") == "R"
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", first_match([(returned & (F.col("l_quantity") >= 40), "human_only"), (returned | (F.col("l_discount") >= 0.09), "human_approval"), (F.col("l_quantity") >= 25, "ai_with_oversight")], "ai_recommends").alias("mode"))
+def _mining_cases(spark: SparkSession, d: str) -> DataFrame:
+    return customers(spark, d).withColumn("rich", F.col("c_acctbal") > 5000)
 
 
-def _mine_sql() -> str:
-    lits = [(o, n) for o in sorted(OBSERVABLES) for n in (False, True)]
-    name, cond = (lambda x: f"not {x[0]}" if x[1] else x[0]), (lambda x: f"{x[0]} = {0 if x[1] else 2}")
-    bodies = [(a,) for a in lits] + [(a, b) for i, a in enumerate(lits) for b in lits[i + 1 :] if a[0] != b[0]]
-    each = " union all ".join(f"select '{', '.join(map(name, b))}' as body, count(*) filter ({' and '.join(map(cond, b))}) as support, count(*) filter ({' and '.join(map(cond, b))} and c_acctbal > 5000) as hits from feats" for b in bodies)
-    return "with " + _FEATURES + f", c as ({each}), base as (select avg((c_acctbal > 5000)::int) as b from feats) select body, support, hits, round(hits / support, 6) as precision from c, base where support >= 20 and hits / support >= 0.5 and hits / support - b >= 0.02"
+@_register(_mine_ctes() + " select array_to_string(lits, ', ') as body, support, hits, round(p, 6) as precision, place from r")
+def mined_rules(spark, d):
+    return mine(_mining_cases(spark, d), OBSERVABLES, "rich", precision=0.5, lift=0.02).withColumn("precision", F.round("precision", 6))
 
 
-@_register(_mine_sql())
-def mined_rules(spark, d):
-    found = mine(customers(spark, d).withColumn("rich", F.col("c_acctbal") > 5000), "c_custkey", OBSERVABLES, "rich", precision=0.5, lift=0.02)
-    return found.withColumn("precision", F.round("precision", 6))
+@_register(_mine_ctes() + " select array_to_string(lits, ', ') as body, support, hits, round(p, 6) as precision, row_number() over (order by place)::int as place from r where not exists (select 1 from r q where q.place < r.place and list_has_all(r.lits, q.lits))")
+def mined_rules_unsubsumed(spark, d):
+    return mine(_mining_cases(spark, d), OBSERVABLES, "rich", pruned=True, precision=0.5, lift=0.02).withColumn("precision", F.round("precision", 6))
 
 
 @_register(_with_truth() + " select c_mktsegment, round(avg((decline = 2)::int), 6) as decline_rate, count(*) as cases from p2 group by 1")
@@ -316,22 +304,10 @@ def subgroup_disparity(spark, d):
 
 @_register(f"with {_LOG} select rule_id, query_id, sum(provisional::int) over (partition by rule_id order by query_id rows unbounded preceding)::bigint as reviews from log")
 def running_cost(spark, d):
-    w = Window.partitionBy("rule_id").orderBy("query_id").rowsBetween(Window.unboundedPreceding, 0)
-    return governance_log(spark, d).select("rule_id", "query_id", F.sum(F.col("provisional").cast("long")).over(w).alias("reviews"))
-
-
-@_register("""with p as (select c_custkey as id, 'r' || (c_custkey % 12) as rule_id, c_acctbal < 0 as critical from customer),
-s as (select 'r' || i as rule_id, ['approved', 'rejected', 'pending_online', 'provisional'][i % 4 + 1] as status from range(8) t(i))
-select id, case when status is null then case when critical then 'queued_online' else 'applied_provisionally' end when status = 'approved' then 'already_approved'
- when status = 'rejected' then 'already_rejected' when status = 'provisional' and critical then 'queued_online' else 'already_pending' end as outcome from p left join s using (rule_id)""")
-def propose_route(spark, d):
-    """Proposals against a rule table of eight rules."""
-    status = F.element_at(F.array(*map(F.lit, ["approved", "rejected", "pending_online", "provisional"])), (F.col("id") % 4 + 1).cast("int"))
-    rules = spark.range(8).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("rule_id"), status.alias("status"))
-    p = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("r"), (F.col("c_custkey") % 12).cast("string")).alias("rule_id"), (F.col("c_acctbal") < 0).alias("critical"))
-    s, c = F.col("status"), F.col("critical")
-    route = first_match([(s.isNull() & c, "queued_online"), (s.isNull(), "applied_provisionally"), (s == "approved", "already_approved"), (s == "rejected", "already_rejected"), ((s == "provisional") & c, "queued_online")], "already_pending")
-    return p.join(F.broadcast(rules), "rule_id", "left").select("id", route.alias("outcome"))
+    log = governance_log(spark, d)
+    return running_total(log, "rule_id", "query_id", F.col("provisional").cast("long"), "reviews").select("rule_id", "query_id", "reviews")
 
 
 from ruleweave import decision_queries as _more  # noqa: E402, F401  registers its queries here
+from ruleweave import governance_queries as _governance  # noqa: E402, F401
+from ruleweave import relation_queries as _relations  # noqa: E402, F401

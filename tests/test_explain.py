@@ -2,7 +2,7 @@ import pytest
 from compare import connect, mismatch
 
 from ruleweave.operators.explain import proof_steps, proof_text
-from ruleweave.plans.generalise import candidates, least_general, shared_premises
+from ruleweave.plans.generalise import candidates
 from ruleweave.queries import QUERIES, SQL, customer_pack
 from ruleweave.sources.rule_text import parse_rule
 
@@ -23,12 +23,12 @@ def test_proof(spark):
         proof_steps(customer_pack(), cases, "id", "overdrawn")
 
 
-def test_generalise():
+def test_generalise(spark):
     a, b = parse_rule("h(X) <- p(X), q(X), r(X)."), parse_rule("h(X) <- p(X), q(X), not s(X).")
-    assert str(shared_premises(a, b)) == "h(X) <- p(X), q(X)."
-    assert shared_premises(a, parse_rule("h(X) <- p(X).")) is None
-    assert shared_premises(parse_rule("h(X) <- p(X), not q(X)."), parse_rule("h(X) <- r(X), not q(X).")) is None  # unsafe
     c, d = parse_rule("likes(X, tea) <- buys(X, tea)."), parse_rule("likes(X, milk) <- buys(X, milk).")
-    assert str(least_general(c, d)) == "likes(X, G0) <- buys(X, G0)."
-    assert least_general(c, c) is None and least_general(a, c) is None
-    assert [str(r) for r in candidates([a, b, c, d])] == ["h(X) <- p(X), q(X).", "likes(X, G0) <- buys(X, G0)."]
+    found = candidates(spark, [a, b, c, d])
+    assert [(str(x.rule), x.how, x.dropped, x.narrowest) for x in found] == [("h(X) <- p(X), q(X).", "dropped-literals", 1, 3), ("likes(X, G0) <- buys(X, G0).", "variabilised", 0, 1)]
+    assert not candidates(spark, [a, parse_rule("h(X) <- p(X)."), c])
+    assert not candidates(spark, [parse_rule("h(X) <- p(X), not q(X)."), parse_rule("h(X) <- r(X), not q(X).")])  # unsafe
+    e, f = parse_rule("g(X) <- e(X, 1), e(1, 2)."), parse_rule("g(X) <- e(X, 3), e(3, 2).")
+    assert [str(x.rule) for x in candidates(spark, [e, f])] == ["g(X) <- e(G0, 2), e(X, G0)."]

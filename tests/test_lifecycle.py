@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ruleweave.operators.lifecycle import ForbiddenTransition, RuleStore, policy_rules
+from ruleweave.operators.lifecycle import ForbiddenTransition, RuleStore
 from ruleweave.queries import OBSERVABLES, customer_pack, customers, governance_log
+from ruleweave.sources.drafts import policy_rules
 from ruleweave.sources.rule_text import parse_rule
 from ruleweave.streaming.screening import start_screening
 

@@ -55,7 +55,8 @@ def test_bounds_with_both_polarities(spark):
         m = u == 2 and v == 2
         return 1 - (1 - 0.6 * (v == 2 and not m)) * (1 - 0.5 * (u == 2 and w == 2))
 
-    for r in wide.bounds(df, "g").collect():
+    for r in wide.bounds(df, "g", exact="exact").collect():
+        assert r.exact
         worlds = [p(*x) for x in product(*((0, 2) if t == 1 else (t,) for t in (r.u, r.v, r.w)))]
         assert r.lower == pytest.approx(min(worlds)) and r.upper == pytest.approx(max(worlds))
 
