@@ -8,6 +8,25 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with underscores after it until no taken one equals it."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name for use in an expression, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sampled(df: DataFrame, column: str, share: float) -> DataFrame:
+    """The rows whose hash of a column is below a share of all 64-bit hashes: fine enough for a table of any size."""
+    return df if share >= 1 else df.where(F.xxhash64(column) < F.lit(int(share * 2.0**64) - 2**63))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a temporary one, but only if all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ruleweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -68,7 +89,8 @@ def slices(batches, column: str = "text", most: int = SLICE_BYTES):
 def map_texts(df: DataFrame, make, fields: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """Append columns computed in Arrow batches from one text column, which is dropped; the others pass as they are.
 
-    make() is called once a task and returns f(list of texts) -> {name: list or array}, for the names in `fields`.
+    make() is called once a task and returns f(list of texts) -> {name: list or array}, for the names in `fields`. Where the
+    table has a column of such a name already, the new one's name gets underscores until it is free.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -77,11 +99,15 @@ def map_texts(df: DataFrame, make, fields: str, column: str = "text", most: int
     keys = [c for c in df.columns if c != column]
     added = StructType.fromDDL(fields)
     kinds = to_arrow_schema(added)
+    for field in added.fields:
+        field.name = free_name(keys, field.name)
 
     def run(batches):
         f = make()
-        for part in slices(batches, column, most):
-            got = f(part.column(column).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(k) for k in keys] + [got[x.name] if isinstance(got[x.name], pa.Array) else pa.array(got[x.name], type=x.type) for x in kinds], names=[*keys, *kinds.names])
+        for part in slices(batches, "__text", most):
+            got = f(part.column("__text").to_pylist())
+            made = [got[x.name] if isinstance(got[x.name], pa.Array) else pa.array(got[x.name], type=x.type) for x in kinds]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keys, *(x.name for x in added.fields)])
 
-    return df.select(*keys, column).mapInArrow(run, StructType([*df.select(*keys).schema.fields, *added.fields]))
+    plain = df.select(*map(quoted, keys))
+    return df.select(*map(quoted, keys), F.col(quoted(column)).alias("__text")).mapInArrow(run, StructType([*plain.schema.fields, *added.fields]))

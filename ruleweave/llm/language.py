@@ -56,8 +56,7 @@ def train(documents: DataFrame, max_train: int = 20_000) -> tuple[list[str], np.
     usable = documents.where(F.coalesce(~held_out(), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = usable.count()
     usable = usable.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    if n > max_train:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
+    usable = sampled(usable, "doc_id", max_train / max(n, 1))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -94,7 +93,7 @@ def _em(p: np.ndarray, count: np.ndarray, doc: np.ndarray, first: np.ndarray, n:
     return weight, np.add.reduceat(count * np.log(np.maximum(s, 1e-30)), first)
 
 
-def proportions(texts: list[str | None], p: np.ndarray, most_languages: int = 3, rounds: int = 8) -> np.ndarray:
+def proportions(texts: list[str | None], p: np.ndarray, rounds: int = 8) -> np.ndarray:
     """Language proportions of each text over the chosen set; zeros for texts without trigrams."""
     out = np.zeros((len(texts), p.shape[1]), dtype=np.float32)
     doc, bin_, count = grams(texts)
@@ -114,12 +113,14 @@ def proportions(texts: list[str | None], p: np.ndarray, most_languages: int = 3,
     best[np.arange(len(first)), top] = 1
     penalty = 0.5 * np.log(np.maximum(n, 2))
     value = single[np.arange(len(first)), top] / 3 - penalty
-    for k in range(2, min(most_languages, languages) + 1):
+    for k in range(2, languages + 1):  # nested sets, until no text gains by one more
         keep = np.zeros_like(weight)
         np.put_along_axis(keep, order[:, :k], 1, axis=1)
         start = keep * np.maximum(weight, 1e-3)
         refit, fit = _em(q, count, dense, first, n, start / start.sum(axis=1, keepdims=True), max(2, rounds // 2))
         better = fit / 3 - k * penalty > value
+        if not better.any():
+            break
         best[better], value[better] = refit[better], (fit / 3 - k * penalty)[better]
     out[which] = best
     return out

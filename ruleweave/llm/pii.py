@@ -4,7 +4,7 @@ An entity's core is its letters and digits in lower case; together with its kind
 account however it is written. The core is replaced by another of the same shape, drawn from a keyed SHA-256 of kind
 and core: digits become digits, letters letters of their script, hexadecimal digits hexadecimal digits. A mail address
 keeps its last label, a phone number its country code, an IPv4 address stays one, a card number keeps its first digit
-and its check-sum remainder, an IBAN its country, and a person after a title gets given and family names of the
+and its check-sum remainder, an IBAN its country and valid check digits, and a person after a title gets given and family names of the
 title's gender and the name's script. The surrogate is then written into the entity's own pattern of separators and
 capitals. So every mention of an entity in the corpus gets one surrogate (coreference).
 
@@ -18,7 +18,8 @@ A person is a title with all name words, initials and particles after it. Family
 gender, is the person of that name whose title tells it, if there is just one. An untitled surname alone is not sought,
 as it can be a common word.
 
-Texts without an entity pass through untouched and are not shuffled. For the others, mentions join the table of
+The texts are searched once and written with what was found. Those without an entity pass through untouched and are not
+shuffled. For the others, mentions join the table of
 surrogates and are put back by a grouping on their row. The table has one row per distinct entity, so a mention that a
 third of the documents share only makes the mentions' side of the join uneven, which adaptive execution splits.
 
@@ -31,9 +32,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import free_name, saved, table
 
-KEY = "ruleweave"
+#: Setting that holds the secret key, and the published key of runs that name none, which keeps nothing secret.
+KEY_SETTING = "ruleweave.pii.key"
+OPEN_KEY = "published"
 MOST_ATTEMPTS = 50
 KEPT_ATTEMPTS = 15
 
@@ -175,7 +178,19 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, "(?!^)(?!$)"), term), F.lit(0), lambda a, x: a + x) % 10
 
 
-def surrogate_core(kind: Column, core: Column, attempt: Column, key: str = KEY, country: Column | None = None, family: Column | None = None) -> Column:
+def _with_check_digits(iban: Column) -> Column:
+    """An IBAN core with the two digits after its country that make it valid: remainder 1 by 97, letters read as 10 to 35."""
+
+    def step(acc: Column, c: Column) -> Column:
+        value = F.when(c.rlike(r"\d"), c.cast("int")).otherwise(F.ascii(c) - 87)
+        return (F.when(value > 9, acc * 100 + value).otherwise(acc * 10 + value) % 97).cast("int")
+
+    turned = F.concat(F.substring(iban, 5, 40), F.substring(iban, 1, 2), F.lit("00"))
+    check = 98 - F.aggregate(F.split(turned, "(?!^)(?!$)"), F.lit(0), step)
+    return F.concat(F.substring(iban, 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substring(iban, 5, 40))
+
+
+def surrogate_core(kind: Column, core: Column, attempt: Column, key: str, country: Column | None = None, family: Column | None = None) -> Column:
     """country: how many digits of a phone number are its country code; family: a person's family name, already drawn."""
     family_name = F.lit(None).cast("string") if family is None else family
     digest = _draw(kind, core, attempt, key, F.lit("0"))
@@ -200,7 +215,7 @@ def surrogate_core(kind: Column, core: Column, attempt: Column, key: str = KEY,
     own_shape = F.substring(shaped, 3, 1000)
     other = F.when(kind == "surname", own_shape).otherwise(F.concat(F.regexp_replace(own_shape, " [^ ]+$", ""), F.lit(" "), F.coalesce(family_name, F.regexp_extract(own_shape, "[^ ]+$", 0))))
     name = F.coalesce(name, F.concat(F.substring(core, 1, 2), other))
-    return F.when(kind == "ip", octets).when(kind == "card", card).when(kind.isin("person", "surname"), name).otherwise(F.concat(longer, shaped))
+    return F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "iban", _with_check_digits(shaped)).when(kind.isin("person", "surname"), name).otherwise(F.concat(longer, shaped))
 
 
 def written(entity: Column, kind: Column, surrogate: Column) -> Column:
@@ -248,15 +263,25 @@ def _whole_look(rows: DataFrame, text: Column) -> DataFrame:
     return rows.withColumn("found", F.transform("found", placed)).drop("full", "known")
 
 
+def _looked(documents: DataFrame, column: str) -> DataFrame:
+    """doc (a struct of all columns), found (entity and gender of its mentions), pattern (what finds them); written once."""
+    text = F.col(f"doc.{_quoted(column)}").cast("string")
+    packed = documents.select(F.struct(*(F.col(_quoted(c)) for c in documents.columns)).alias("doc"))
+    found = packed.withColumn("found", F.coalesce(_first_look(text), F.array().cast("array<string>")))
+    return saved(_whole_look(found, text))
+
+
+def _mentions(looked: DataFrame) -> DataFrame:
+    distinct = looked.select(F.inline("found")).groupBy("entity", "gender").agg(F.count("*").alias("mentions"))
+    return distinct.withColumn("kind", kind_of(F.col("entity"))).withColumn("core", core_of(F.col("entity"), F.col("kind"), F.col("gender")))
+
+
 def detect(documents: DataFrame, column: str = "text") -> DataFrame:
     """entity, gender, kind, core of all distinct mentions."""
-    text = F.col("text")
-    rows = documents.select(F.col(_quoted(column)).cast("string").alias("text")).withColumn("found", _first_look(text)).where(F.size("found") > 0)
-    distinct = _whole_look(rows, text).select(F.inline("found")).groupBy("entity", "gender").agg(F.count("*").alias("mentions"))
-    return distinct.withColumn("kind", kind_of(F.col("entity"))).withColumn("core", core_of(F.col("entity"), F.col("kind"), F.col("gender")))
+    return _mentions(_looked(documents.select(_quoted(column)), column))
 
 
-def surrogates(mentions: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(mentions: DataFrame, key: str) -> DataFrame:
     """kind, core, surrogate: written differently for distinct cores of a kind (a family name alone is one for all genders), and none of them as a core itself."""
     country = country_of(F.col("entity"), F.col("kind"))  # of one number written in several ways, the longest code
     cores = saved(mentions.groupBy("kind", "core").agg(F.max(country).alias("country")).withColumn("surname", F.when(F.col("kind") == "person", _surname(F.col("core")))))
@@ -289,20 +314,22 @@ def _distinct(cores: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("no distinct surrogates were found")
 
 
-def pseudonymise(documents: DataFrame, key: str = KEY, column: str = "text", count: str | None = "n_entities") -> DataFrame:
-    """The same rows and columns with every entity in `column` replaced, and, if `count` names one, a column with their number."""
+def pseudonymise(documents: DataFrame, key: str, column: str = "text", count: str | None = "n_entities") -> DataFrame:
+    """The same rows and columns with every entity in `column` replaced, and, if `count` names one, a column with their number.
+
+    If the table has a column of that name already, the number's name gets underscores until it is free.
+    """
     names = documents.columns
-    mentions = saved(detect(documents, column))
+    count = free_name(names, count) if count else None
+    looked = _looked(documents, column)
+    mentions = saved(_mentions(looked))
     drawn = surrogates(mentions, key)
     written_as = mentions.join(drawn, ["kind", "core"]).select("entity", "gender", written(F.col("entity"), F.col("kind"), F.col("surrogate")).alias("replacement"))
     written_as = saved(written_as)
 
     text = F.col(f"doc.{_quoted(column)}").cast("string")
-    packed = documents.select(F.struct(*(F.col(_quoted(c)) for c in names)).alias("doc"))
-    found = packed.withColumn("found", _first_look(text))
-    untouched = found.where(F.coalesce(F.size("found"), F.lit(0)) <= 0).select("doc.*", *([F.lit(0).cast("long").alias(count)] if count else []))
-
-    rows = _whole_look(found.where(F.size("found") > 0), text).withColumn("row", F.monotonically_increasing_id())
+    untouched = looked.where(F.size("found") == 0).select("doc.*", *([F.lit(0).cast("long").alias(count)] if count else []))
+    rows = looked.where(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id())
     each = rows.select("row", "doc", "pattern", F.posexplode("found").alias("at", "mention"))
     first = lambda c: F.when(F.col("at") == 0, F.col(c)).alias(c)
     joined = each.select("row", first("doc"), first("pattern"), "at", "mention.*").join(written_as, ["entity", "gender"], "left")
@@ -320,6 +347,11 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def run_key(spark: SparkSession) -> str:
+    """The key that the session's settings name, else the published one."""
+    return spark.conf.get(KEY_SETTING, OPEN_KEY)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for personal data: doc_id, text, n_entities."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), run_key(spark))

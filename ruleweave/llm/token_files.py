@@ -39,7 +39,7 @@ PAIRS = 2048
 #: A rule takes three words (its pair and its length), so a pair pays from four occurrences on.
 LEAST_COUNT = 4
 #: Pieces that a Python worker keeps; beyond it the table starts anew.
-MOST_PIECES = 400_000
+MOST_PIECES = 2_000_000
 FORMAT = "shard int, block int, offset long, doc_ids array<long>, n_ids array<long>, base int, rules binary, lengths binary, sequence binary"
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")

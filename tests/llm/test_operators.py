@@ -249,21 +249,21 @@ def test_warc(spark, small, tmp_path):
 
 def test_pii(spark, docs):
     texts = ["a.b@mail.example.com and A.B@MAIL.EXAMPLE.COM", "a.b@mail.example.com", "call +1 (017) 555-7713", "4111 1111 1111 1111", "on 2024-01-02 at 10:30, 1,000 of 12345", "Mrs Jane Doe and Mr. John Smith", "10.1.2.3", None, ""]
-    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "ruleweave").orderBy("doc_id").collect()]
     mail = got[1]
     assert got[0] == f"{mail} and {mail.upper()}" and mail != texts[1] and mail.endswith(".com")
     assert got[2].startswith("call +1 (") and got[2] != texts[2] and got[4] == texts[4] and got[7:] == [None, ""]
     digits = [int(c) for c in got[3] if c.isdigit()]
     assert sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0 and got[3][4] == " "
     assert got[5].split()[1] in pii.NAMES["latin"]["f"] and "Mr. " in got[5] and got[6] != texts[6]
-    same_rows = pii.pseudonymise(docs, count=None)
+    same_rows = pii.pseudonymise(docs, "k", count=None)
     assert same_rows.columns == docs.columns and same_rows.count() == docs.count()
 
 
 def test_surrogates_are_distinct(spark):
     n = 3000  # more people than pairs of names
     mentions = spark.range(n).selectExpr("'person' as kind", "concat('m john', id, ' smith', id) as core", "'x' as entity")
-    drawn = pii.surrogates(mentions)
+    drawn = pii.surrogates(mentions, "k")
     assert drawn.select("surrogate").distinct().count() == n
 
 
@@ -272,7 +272,7 @@ def test_written_replacements_are_distinct(spark):
     people = [f"{t} {a}{b} {c}son" for t in titles for a in ("Jo", "Al", "Ka") for b in "abcdefghij" for c in ("Wat", "Rob", "Ander", "Nel", "Jack")]
     texts = people + [f"+{c} {i:02d} {k}7" for c in (49, 380) for i in range(0, 100, 3) for k in range(1, 9)] + ["Dr Adrian Bauer"]
     mentions = pii.detect(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
-    found = mentions.join(pii.surrogates(mentions), ["kind", "core"]).select("entity", "kind", pii.written(pii.F.col("entity"), pii.F.col("kind"), pii.F.col("surrogate")).alias("new")).collect()
+    found = mentions.join(pii.surrogates(mentions, "k"), ["kind", "core"]).select("entity", "kind", pii.written(pii.F.col("entity"), pii.F.col("kind"), pii.F.col("surrogate")).alias("new")).collect()
     assert len(found) == len(texts)
     for kind, bare in (("person", lambda x: x.split(" ", 1)[1]), ("phone", lambda x: x)):
         own = [r for r in found if r.kind == kind]
@@ -283,7 +283,7 @@ def test_written_replacements_are_distinct(spark):
 
 def test_pii_leaves_no_entity_in_clear(spark):
     texts = ["key sk-abcdefghijklmnopqrstuvwx", "Mr John Paul Smith, Frau Anna von Weber and Dr J. Keats met J. Keats", "Mr John Smith came. John Smith and Dr John Smith left, said Mr Smith", "Herr Dr Weber", "用户名@例子.com", "Dr Kim Lee, Mrs Kim Lee"]
-    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "ruleweave").orderBy("doc_id").collect()]
     assert got[0] != texts[0] and got[0].startswith("key ")
     assert not any(w in got[1].split() for w in ("John", "Paul", "Smith,", "Anna", "von", "Weber", "J.", "Keats"))
     assert got[1].split(" met ")[0].endswith("Dr " + got[1].split(" met ")[1])
@@ -299,7 +299,7 @@ def test_empty_tables(spark, docs):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html.extract(pages).count() == 0 and warc.read_headers(spark, warc.write_archive(pages)).count() == 0
     assert substrings.remove_repeats(none).count() == 0 and simhash.near_duplicates(none).count() == 0
-    assert token_files.read_tokens(spark, token_files.write_tokens(none)).count() == 0 and pii.pseudonymise(none, count=None).count() == 0
+    assert token_files.read_tokens(spark, token_files.write_tokens(none)).count() == 0 and pii.pseudonymise(none, "k", count=None).count() == 0
     assert language.train(none) is None and pieces.encode(none.select("doc_id", "text")).count() == 0
 
 
