@@ -94,20 +94,22 @@ def map_texts(df: DataFrame, make, fields: str, column: str = "text", most: int
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     keys = [c for c in df.columns if c != column]
     added = StructType.fromDDL(fields)
     kinds = to_arrow_schema(added)
+    names = list(keys)
     for field in added.fields:
-        field.name = free_name(keys, field.name)
+        names.append(free_name(names, field.name))
 
     def run(batches):
         f = make()
         for part in slices(batches, "__text", most):
             got = f(part.column("__text").to_pylist())
             made = [got[x.name] if isinstance(got[x.name], pa.Array) else pa.array(got[x.name], type=x.type) for x in kinds]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keys, *(x.name for x in added.fields)])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[f"c{i}" for i in range(len(names))])
 
-    plain = df.select(*map(quoted, keys))
-    return df.select(*map(quoted, keys), F.col(quoted(column)).alias("__text")).mapInArrow(run, StructType([*plain.schema.fields, *added.fields]))
+    plain = df.select(*(F.col(quoted(k)).alias(f"c{i}") for i, k in enumerate(keys)), F.col(quoted(column)).alias("__text"))
+    schema = StructType([*plain.schema.fields[:-1], *(StructField(f"c{len(keys) + i}", x.dataType) for i, x in enumerate(added.fields))])
+    return plain.mapInArrow(run, schema).toDF(*names)  # names inside are plain, as any may hold dots

@@ -145,6 +145,19 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+#: Every window of every text as a row: for small tables.
+OP2_SQL = r"""with low as (select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+d as (select doc_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w, row_number() over () as r from low),
+i as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+v as (select distinct item_id, k, array_to_string(w[a:a + k - 1], ' ') as s from (select item_id, w, least(13, len(w)) as k, unnest(range(1, len(w) - least(13, len(w)) + 2)) as a from i where len(w) > 0)),
+x as (select r, k, a, array_to_string(w[a:a + k - 1], ' ') as s from (select r, w, k, unnest(range(1, len(w) - k + 2)) as a from d, (select distinct k from v) where len(w) >= k)),
+h as (select r, item_id, x.k, a from x join v on x.k = v.k and x.s = v.s),
+c as (select r, count(distinct p) as n_hit from (select r, unnest(range(a, a + k)) as p from (select distinct r, a, k from h)) group by r),
+e as (select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items from (select distinct r, item_id from h) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+ coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join c using (r) left join e using (r)"""
+
+
 def brute(texts: list[str | None], items: list[tuple]) -> list[tuple]:
     """By definition, for tests: n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = [(w, str(i)) for i, t in items if i is not None for w in windows_of(words_of(t))]

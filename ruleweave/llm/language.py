@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, table
+from .common import map_texts, sampled, slices, table
 
 BITS = 16
 UNKNOWN = "und"

@@ -80,6 +80,7 @@ class Model:
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.pieces = sorted(self.id_of, key=lambda n: self.id_of[n])
         self.width = max(map(len, self.pieces))
+        self.bits = self.width.bit_length()
         self.clear()
 
     def clear(self) -> None:
@@ -90,7 +91,7 @@ class Model:
     # -- suffix array and edges ---------------------------------------------------------------------
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start << 5 | length, id) of all occurrences of pieces in an array of code points, by position."""
+        """(start << bits | length, id) of all occurrences of pieces in an array of code points, by position."""
         length = np.array([len(p) for p in self.pieces])
         codes = np.frombuffer("".join(self.pieces).encode("utf-32-le"), "<u4")
         letters = np.unique(np.r_[codes, 0])  # the letters of pieces are numbered; all others are no part of any piece
@@ -133,7 +134,7 @@ class Model:
             low[live], high[live] = a, b
         count = np.maximum(high - low, 0)
         at = sa[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-        key = at.astype(np.int64) << 5 | np.repeat(length, count)
+        key = at.astype(np.int64) << self.bits | np.repeat(length, count)
         order = np.argsort(key)
         ids = np.array([self.id_of[p] for p in self.pieces], np.int64)
         return key[order], np.repeat(ids, count)[order]
@@ -150,7 +151,7 @@ class Model:
         def edge(start: np.ndarray, end: np.ndarray) -> np.ndarray:
             """id of the edge, -1 where there is none."""
             width = end - start
-            want = start << 5 | np.minimum(width, 31)
+            want = start << self.bits | np.minimum(width, (1 << self.bits) - 1)
             at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
             return np.where((width <= self.width) & (key[at] == want), piece[at], -1) if len(key) else np.full(len(start), -1)
 
@@ -178,7 +179,7 @@ class Model:
             keep[left + 1] = False
             start, end, owner = start[keep], end[keep], owner[keep]
         for c in np.flatnonzero(long):
-            done.append(_heap(int(begin[c]), int(size[c]), key, piece, self.order, self.width))
+            done.append(_heap(int(begin[c]), int(size[c]), key, piece, self.order, self.bits))
         start, end = (np.concatenate([d[i] for d in done]) if done else np.empty(0, np.int64) for i in (0, 1))
         order = np.argsort(start)
         start, end = start[order], end[order]
@@ -236,17 +237,17 @@ def _bounds(column: np.ndarray, low: np.ndarray, high: np.ndarray, want: np.ndar
     return low
 
 
-def _heap(begin: int, size: int, key: np.ndarray, piece: np.ndarray, order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _heap(begin: int, size: int, key: np.ndarray, piece: np.ndarray, order: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of one long chunk's symbols."""
-    a, b = np.searchsorted(key, [begin << 5, (begin + size) << 5])
-    edge = dict(zip((key[a:b] - (begin << 5)).tolist(), order[piece[a:b]].tolist(), strict=True))
+    a, b = np.searchsorted(key, [begin << bits, (begin + size) << bits])
+    edge = dict(zip((key[a:b] - (begin << bits)).tolist(), order[piece[a:b]].tolist(), strict=True))
     end = list(range(1, size + 1))  # end[i]: end of the symbol that starts at i; 0 for none
     before = list(range(-1, size - 1))
     heap: list[tuple] = []
 
     def offer(i: int) -> None:
         j = end[i]
-        if j < size and end[j] - i <= width and (score := edge.get(i << 5 | (end[j] - i))) is not None:
+        if j < size and end[j] - i < 1 << bits and (score := edge.get(i << bits | (end[j] - i))) is not None:
             heapq.heappush(heap, (-score, i, end[j], j))
 
     for i in range(size):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from .decontamination import op2_benchmark_decontamination
+from .decontamination import OP2_SQL, op2_benchmark_decontamination
 from .html import op6_html_extraction
 from .language import op10_language_id
 from .pieces import op4_sentencepiece
 from .pii import op1_pii
 from .quality import op3_quality_rules
 from .simhash import op8_simhash_near_dedup
-from .substrings import op5_suffix_array_dedup
+from .substrings import OP5_SQL, op5_suffix_array_dedup
 from .token_files import op7_token_files
 from .warc import OP9_SQL, op9_warc
 
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op5_suffix_array_dedup": OP5_SQL, "op9_warc": OP9_SQL}

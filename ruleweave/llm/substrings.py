@@ -366,7 +366,7 @@ def _pack(slice_: int, bucket: int, docs, data, doc, place, start, n, to, is_hot
     order = np.lexsort((place, doc, code))
     code, doc, place, start, n = code[order], doc[order], place[order], start[order], n[order]
     begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
-    for a, b in zip(begin, np.r_[begin[1:], len(code)], strict=True):
+    for a, b in zip(begin, np.r_[begin[1:], len(code)][: len(begin)], strict=True):
         size = n[a:b] + WIDTH - 1
         text = data[np.repeat(start[a:b] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         used, ordinal = np.unique(doc[a:b], return_inverse=True)
@@ -539,6 +539,20 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Every window of every text as a row: for small tables.
+OP5_SQL = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, row_number() over () as r from documents),
+w as (select r, doc_id, i, substr(h, 2 * i + 1, 100) as s from (select r, doc_id, h, unnest(range(greatest(length(h) // 2 - 49, 0))) as i from d)),
+m as (select s, min(doc_id) as least from w group by s having count(*) > 1),
+g as (select r, i from w join m using (s) where doc_id > least),
+k as (select r, i, sum(new) over (partition by r order by i) as n from (select r, i, case when i > lag(i) over (partition by r order by i) + 50 then 1 else 0 end as new from g)),
+p as (select r, min(i) as a, max(i) + 50 as b from k group by r, n),
+c as (select r, coalesce(lag(b) over (partition by r order by a), 0) as x, a as y from p union all select r, max(b), 1000000000 from p group by r),
+kept as (select r, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' order by x) as h from c join d using (r) group by r),
+n as (select r, sum(b - a)::bigint as n_removed, count(*) as n_spans from p group by r)
+select doc_id, (length(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join n using (r) left join kept using (r)"""
+
+
 def brute(docs: list[tuple]) -> list[tuple]:
     """By definition, for tests: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     least: dict[bytes, int] = {}

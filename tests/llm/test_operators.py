@@ -303,6 +303,127 @@ def test_empty_tables(spark, docs):
     assert language.train(none) is None and pieces.encode(none.select("doc_id", "text")).count() == 0
 
 
+def test_sql(spark, small):
+    con = compare.connect(small)
+    for name, sql in queries.oracle_sql().items():
+        assert not compare.mismatch(queries.queries()[name](spark, small), con, sql), name
+
+
+def test_clashing_columns(spark, docs, rows):
+    names = "n_words score ids n_entities lang_pred kept fp hits host slice".split()
+    wide = docs.select("doc_id", "text", "lang", *(docs["n_entities"].alias(n) for n in names), docs["n_entities"].alias("a.b"))
+    model = quality.calibrate(wide, spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(50)], "doc_id long, quality int"))
+    for df, added in (
+        (quality.assess(wide, model), "n_words_ score_ kept_ base_failed"),
+        (language.identify(wide, language.train(wide)), "lang_pred_ score_ languages"),
+        (pieces.encode(wide), "ids_ n_tokens round_trip"),
+        (pii.pseudonymise(wide, "k"), "n_entities_"),
+        (simhash.one_of_each(wide), ""),
+    ):
+        assert set(added.split()) <= set(df.columns) and {*names, "a.b"} <= set(df.columns)
+        own = df.select(*(f"`{n}`" for n in [*names, "a.b"])).collect()
+        assert len(own) <= len(rows) and all(set(r) <= {7, None} for r in own)
+    items = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    assert decontamination.contamination(wide, items).count() == substrings.remove_repeats(wide).count() == simhash.near_duplicates(wide).count() == len(rows)
+
+
+def test_tables_of_nulls_and_empty_ones(spark, docs):
+    nulls = spark.createDataFrame([(None, None, None)] * 3 + [(1, "", "en")] * 2, "doc_id long, text string, lang string")
+    none = nulls.limit(0)
+    items = spark.createDataFrame([(1, "a b c"), (None, None)], "item_id long, text string")
+    for df, n in ((nulls, 5), (none, 0)):
+        assert quality.assess(df, None).count() == n and language.identify(df, language.train(df)).count() == n
+        for bench in (items, items.limit(0)):
+            assert decontamination.contamination(df, bench).count() == n
+        assert substrings.remove_repeats(df).count() == simhash.near_duplicates(df).count() == pieces.encode(df).count() == pii.pseudonymise(df, "k").count() == n
+        assert token_files.read_tokens(spark, token_files.write_tokens(df)).count() == n
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(9)
+    words = ["w%d" % rnd.randrange(5000) for _ in range(900_000)]
+    long = " ".join(words)  # beyond a slice of four megabytes
+    assert len(long) > 4 << 20
+    rows = [(0, "short " + long[1_000_000:1_000_400]), (1, long), (2, "x" + long[:300])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.remove_repeats(df).collect()}
+    assert got[0].n_removed == 0 and got[1].n_removed == 400 and got[2].n_removed == 300 and bytes(got[1].kept) == (long[:1_000_000] + long[1_000_400:]).encode()
+    ids = {r.doc_id: r for r in token_files.read_tokens(spark, token_files.write_tokens(df)).collect()}
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.default_tokenizer())
+    own = np.array([*t.encode(long, add_special_tokens=False).ids, 0], "<u4")
+    assert ids[1].ids_crc32 == zlib.crc32(own.tobytes())
+    assert all(r.round_trip for r in pieces.encode(df).collect())
+    stats = {r.doc_id: r for r in quality.assess(df, None).collect()}
+    assert stats[1].n_words == len(words) and stats[1].kept
+    item = spark.createDataFrame([(5, " ".join(words[-20:]))], "item_id long, text string")
+    assert {r.doc_id: len(r.hits) for r in decontamination.contamination(df, item).collect()} == {0: 0, 1: 20, 2: 0}
+    assert pii.pseudonymise(df, "k").count() == 3 and language.identify(df, None).count() == 3
+    assert simhash.near_duplicates(df).select("component_id").distinct().count() == 3
+
+
+def test_quality_counts_and_scores_by_definition(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    forest, cut = quality.calibrate(docs, spark.read.parquet(f"{small}/labels.parquet"))
+
+    def path(t, row):
+        node = 0
+        while (f := forest.feature[t, node]) >= 0:
+            node = 2 * node + 1 + int(row[f] >= forest.value[t, node])
+        return forest.path[t, node]
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    expected = 2 * (np.log(forest.sample - 1) + 0.5772156649) - 2 * (forest.sample - 1) / forest.sample if forest.sample > 2 else 1.0
+    for r in quality.assess(docs, (forest, cut)).collect():
+        t = texts[r.doc_id] or ""
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\v\f\r")]
+        assert r.n_symbols == sum(c in "#*$%&|<>" for c in t) and r.n_dup_lines == len(lines) - len(set(lines))
+        row = quality.features(np.array([[r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_lines]], float))[0]
+        score = 2 ** (-np.mean([path(t, row) for t in range(len(forest.feature))]) / expected)
+        assert r.score == pytest.approx(score) and r.kept == (not r.base_failed and r.score <= cut)
+
+
+def test_threshold_ties():
+    half = np.array([0.4, 0.4, 0.5])
+    assert quality._threshold(half, np.array([0.9, 0.9]), 0.005) == pytest.approx(0.7)
+    assert quality._threshold(np.array([0.5, 0.5]), np.array([0.5, 0.5]), 0.005) >= 0.5  # nothing good is lost for nothing
+
+
+def test_mixtures_by_definition():
+    rnd = np.random.default_rng(4)
+    p = rnd.dirichlet(np.ones(1 << language.BITS) * 0.02, 4).T.astype(np.float32) + 1e-9
+    texts = ["the quick brown fox", "été à la plage et au soleil", None, "", "aaa aaa aaa", "one more text with some words in it"]
+    got = language.proportions(texts, p)
+    doc, bin_, count = language.grams(texts)
+    for d in range(len(texts)):
+        own = doc == d
+        if not own.any():
+            assert not got[d].any()
+            continue
+        q, k = p[bin_[own]].astype(float), count[own].astype(float)
+        n = k.sum()
+
+        def fit(start, rounds, q=q, k=k, n=n):
+            w = start / start.sum()
+            for _ in range(rounds):
+                r = q * w
+                w = (r * (k / r.sum(1))[:, None]).sum(0) / n
+            return w, (k * np.log((q * w).sum(1))).sum() / 3
+
+        full, _ = fit(np.ones(4), 8)
+        order, single = np.argsort(-full, kind="stable"), (k[:, None] * np.log(q)).sum(0) / 3
+        penalty = 0.5 * np.log(max(n, 2))
+        best, value = np.eye(4)[single.argmax()], single.max() - penalty
+        for m in range(2, 5):
+            keep = np.zeros(4)
+            keep[order[:m]] = 1
+            w, like = fit(keep * np.maximum(full, 1e-3), 4)
+            if like - m * penalty > value:
+                best, value = w, like - m * penalty
+        assert np.allclose(got[d], best, atol=0.02), (d, got[d], best)
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
@@ -324,3 +445,10 @@ def test_pipeline(spark, small):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     clean = [i for i, b in zip(first, decontamination.brute([texts[i] for i in first], items), strict=True) if not b[-1]]
     assert sorted(r.doc_id for r in out.collect()) == clean
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    swapped = {r.doc_id: r.text for r in pii.pseudonymise(documents.where(documents.doc_id.isin(clean)), pii.run_key(spark), count=None).collect()}
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(got[i].ids == sp.encode(swapped[i]) and got[i].round_trip for i in clean)
+    assert sum(swapped[i] != texts[i] for i in clean) > 5 and [name for name, _ in corpus_pipeline.STAGES][1] == "simhash_near_dedup"
