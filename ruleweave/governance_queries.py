@@ -229,6 +229,11 @@ def most_reused(spark, d):
     return governance.most_reused(_rules(spark), _used(governance_log(spark, d)))
 
 
+@_register(f"with {_USED}, n as (select rule_id, count(*) as reuse, case when rule_id < 'r6' then 'approved' else 'provisional' end as status from used group by 1) select rule_id, status, reuse, row_number() over (order by status, reuse desc, rule_id)::int as place from n")
+def rule_rows(spark, d):
+    return governance.rule_rows(_rules(spark), _used(governance_log(spark, d))).select("rule_id", "status", "reuse", "place")
+
+
 @_register(f"with {_USED} select used.rule_id, count(*) filter (verdict = 1) as successes, count(*) filter (verdict = 0) as failures from used join log using (query_id) where verdict is not null group by 1")
 def verdicts_by_rule(spark, d):
     """A verdict counts for every rule that its query used."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ruleweave.functions.truth import posterior
@@ -234,6 +234,12 @@ def most_reused(rules: DataFrame, used: DataFrame, most: int = 5) -> DataFrame:
     return used.join(F.broadcast(rules.where(F.col("status") == APPROVED).select("rule_id")), "rule_id").groupBy("rule_id").agg(F.count("*").alias("reuse")).orderBy(F.col("reuse").desc(), "rule_id").limit(most)
 
 
+def rule_rows(rules: DataFrame, used: DataFrame) -> DataFrame:
+    """rules with reuse and place: by status, then the most used first."""
+    counted = rules.join(used.groupBy("rule_id").agg(F.count("*").alias("reuse")), "rule_id", "left").withColumn("reuse", F.coalesce("reuse", F.lit(0).cast("long")))
+    return counted.withColumn("place", F.row_number().over(Window.orderBy("status", F.col("reuse").desc(), "rule_id")))  # rules are few
+
+
 def outcome_counts(answers: DataFrame, outcomes: Sequence[str]) -> DataFrame:
     """One row: cases screened, committed, left to a person, blocked, and committed to each outcome."""
     blocked, committed = F.col("status") == BLOCKED, F.col("decision").isin(*outcomes)

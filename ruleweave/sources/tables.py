@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a temporary one, but only if all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ruleweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a table in the shared folder, which every executor sees."""
-    path = f"{shared_dir(df.sparkSession)}/ruleweave-{uuid.uuid4().hex}"
+    """Cut the lineage through a table in the shared folder, which every executor sees; it is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ruleweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def upsert(stored: DataFrame, changes: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -30,9 +42,3 @@ def upsert(stored: DataFrame, changes: DataFrame, key: str, keep: tuple[str, ...
     old = stored.select(F.col(key), *(F.col(c).alias(f"__{c}") for c in keep))
     merged = changes.join(old, key, "left").select(*(F.coalesce(f"__{c}", c).alias(c) if c in keep else F.col(c) for c in stored.columns))
     return stored.join(changes.select(key), key, "left_anti").select(stored.columns).unionByName(merged)
-
-
-def latest(events: DataFrame, key: str, order: str) -> DataFrame:
-    """The last event of each key."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return events.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

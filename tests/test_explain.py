@@ -2,7 +2,7 @@ import pytest
 from compare import connect, mismatch
 
 from ruleweave.operators.explain import proof_steps, proof_text
-from ruleweave.plans.generalise import candidates
+from ruleweave.plans.generalise import by_use, candidates
 from ruleweave.queries import QUERIES, SQL, customer_pack
 from ruleweave.sources.rule_text import parse_rule
 
@@ -32,3 +32,7 @@ def test_generalise(spark):
     assert not candidates(spark, [parse_rule("h(X) <- p(X), not q(X)."), parse_rule("h(X) <- r(X), not q(X).")])  # unsafe
     e, f = parse_rule("g(X) <- e(X, 1), e(1, 2)."), parse_rule("g(X) <- e(X, 3), e(3, 2).")
     assert [str(x.rule) for x in candidates(spark, [e, f])] == ["g(X) <- e(G0, 2), e(X, G0)."]
+    rank = lambda x, y: [c for c, _ in by_use([(found[0], x), (found[1], y)])]
+    row = type("Row", (), {"conflicts": 0, "gains": 1})
+    worse = type("Row", (), {"conflicts": 1, "gains": 9})
+    assert rank(row, row) == [found[1], found[0]] and rank(row, worse) == [found[0], found[1]]

@@ -16,6 +16,7 @@ from ruleweave.queries import OBSERVABLES, customer_pack, customers
 from ruleweave.sources import cases as sources
 from ruleweave.sources.drafts import judged_drafts, policy_rules
 from ruleweave.sources.packs import PackError, available_packs, load_pack
+from ruleweave.sources.tables import upsert
 from ruleweave.sources.rule_text import parse_atom, parse_program, parse_rule
 
 
@@ -88,7 +89,7 @@ def hidden_rules(spark):
 
 def test_mining_finds_hidden_rules(spark):
     made = hidden_rules(spark)
-    assert made.exceptAll(hidden_rules(spark.newSession() if False else spark).repartition(7)).isEmpty()
+    assert made.exceptAll(hidden_rules(spark).repartition(7)).isEmpty()
     names = ["low_income", "renter", "savings", "bicycle"]
     cases = made.select("id", (F.col("outcome") == "eligible").alias("label"), *(F.when(F.col(c).isNull(), 1).when(F.col(c), 2).otherwise(0).alias(c) for c in names))
     ranked = mining.candidates(cases, names, "label")
@@ -221,6 +222,12 @@ def test_small_helpers(spark):
     assert [tuple(r) for r in s.collect()] == [("rejected", "review"), ("review", "review")]
 
 
+def test_upsert(spark):
+    stored = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "key string, text string, n int")
+    changes = spark.createDataFrame([("b", "new", 9), ("c", "z", 3)], "key string, text string, n int")
+    assert sorted(map(tuple, upsert(stored, changes, "key", keep=("text",)).collect())) == [("a", "x", 1), ("b", "y", 9), ("c", "z", 3)]
+
+
 def test_many_mixed_unknowns(spark):
     n = 16
     text = " ".join(f"rule a{i} [p=0.9] m{i}(X) <- o{i}(X). rule b{i} [p=0.6] g(X) <- o{i}(X), not m{(i + 1) % n}(X)." for i in range(n))
