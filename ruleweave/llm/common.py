@@ -44,16 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder's path in the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as a Parquet table into the shared folder and read it back.
 
     Every executor sees the table, so the loss of one costs nothing. It is deleted when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ruleweave-{uuid.uuid4().hex}"
+    path = scratch(spark, "ruleweave")
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table
+from .common import scratch, slices, table
 
 END_ID = 0
 BLOCK_IDS = 1 << 17
@@ -244,7 +243,7 @@ def decode_range(rules: np.ndarray, lengths: np.ndarray, seq: np.ndarray, base:
 
 def write_tokens(documents: DataFrame, tokenizer: str | None = None, path: str | None = None, block_ids: int = BLOCK_IDS) -> str:
     """Write the ids of all documents under path (a new folder in the shared folder where it is None); return path."""
-    path = path or f"{shared_dir(documents.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = path or scratch(documents.sparkSession, "tokens")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 

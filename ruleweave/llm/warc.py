@@ -13,24 +13,27 @@ percent-encoded; repeated rows of one page_id with equal payloads are all respon
 
 from __future__ import annotations
 
-import uuid
+import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import scratch, table
 
 #: Payloads below this length are never revisited.
 MIN_REVISIT_BYTES = 1000
 CRLF = "\r\n"
+#: Fixed value: the profile of a revisit record whose payload another record holds.
+PROFILE = "http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
 
 
-def headers(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """One row per page: payload_key, header (binary, exact bytes up to and with the blank line)."""
+def headers(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str | None = None) -> DataFrame:
+    """One row per page: payload_key, header (binary, exact bytes up to and with the blank line); date: of the capture, else now."""
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     digested = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload")).select(
         "page_id", "url", F.length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("payload_key")
@@ -43,10 +46,12 @@ def headers(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> Dat
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         F.coalesce(_line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))), F.lit("")),
+        _line("WARC-Date", F.lit(date)),
         F.coalesce(_line("WARC-Target-URI", uri), F.lit("")),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         _line("Payload-Key", F.concat(F.lit("sha256:"), F.col("payload_key"))),
+        F.when(revisit, _line("WARC-Profile", F.lit(PROFILE))).otherwise(""),
         F.when(revisit, _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("owner").cast("string"), F.lit(">")))).otherwise(""),
         _line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("n")).cast("string")),
         F.lit(CRLF),
@@ -63,7 +68,7 @@ def payloads(pages: DataFrame) -> DataFrame:
 
 def write_archive(pages: DataFrame, path: str | None = None) -> str:
     """Write headers/ and payloads/ under path (a new folder in the shared folder where it is None); return path."""
-    path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = path or scratch(pages.sparkSession, "warc")
     payloads(pages).write.option("compression", "zstd").parquet(f"{path}/payloads")
     headers(pages).write.option("compression", "zstd").parquet(f"{path}/headers")
     return path

@@ -244,6 +244,7 @@ def test_warc(spark, small, tmp_path):
     path = warc.write_archive(pages, f"file://{tmp_path}/w")
     records = warc.read_records(spark, path).collect()
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in records if r.page_id < 3) == [(1, "revisit", 2), (2, "response", None), (2, "response", None)]
+    assert all(b"\r\nWARC-Date: 2" in bytes(r.record) and (b"\r\nWARC-Profile: " in bytes(r.record)) == (r.record_type == "revisit") for r in records)
     assert all(bytes(r.record).endswith(b"y" * 1500 + b"\r\n\r\n") for r in records if r.page_id == 2)
 
 
