@@ -12,7 +12,8 @@ usual case, takes one counting pass and one matching pass over the documents. A
 at most one exact comparison per (place, length) of that word, 13 * 13 at most, whatever the number of windows.
 
 Cases: null and empty texts have no words; items without words or without an id have no window; an item id that
-stands in several rows counts once; repeated documents are judged each on its own.
+stands in several rows counts once; repeated documents are judged each on its own; empty tables give empty results, and
+without items nothing is hit; other columns are not read; a very long text is matched whole.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Learning uses labelled documents outside the held-out quarter only, at most abou
 doc_id. Predictions see nothing but the text. Work is done on numpy arrays over a few megabytes of text at a time.
 
 Cases: null texts and texts without a letter give `und` with score 0, as does everything if no document is labelled;
-empty tables give empty results; repeated rows are judged alike.
+empty tables give empty results; repeated rows are judged alike; of equal shares the language first by name counts; other
+columns pass through, and a new column whose name is taken gets underscores after it; a very long text is read whole.
 """
 
 from __future__ import annotations

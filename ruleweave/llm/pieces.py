@@ -13,7 +13,8 @@ Chunks of more than `LONG` characters are relaxed with a heap each, so that a te
 its length times a logarithm.
 
 Cases: a null or empty text has no ids; U+2581 in a text decodes to a blank, as in SentencePiece; empty tables give
-empty results; repeated rows are encoded alike.
+empty results; repeated rows are encoded alike; other columns pass through, and a new column whose name is taken gets
+underscores after it; a very long text is encoded whole.
 """
 
 from __future__ import annotations

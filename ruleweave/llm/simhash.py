@@ -11,7 +11,8 @@ returns a spanning forest of its links, never all pairs, so a dense group of n c
 connected components of the forests, found by alternating large-star and small-star steps on Spark.
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like any other; repeated rows keep one row
-each; a null doc_id keeps its row and is never the least id unless its class has no other.
+each; a null doc_id keeps its row and is never the least id unless its class has no other; empty tables give empty
+results; other columns pass through one_of_each and are not read otherwise; a very long text is hashed whole.
 """
 
 from __future__ import annotations

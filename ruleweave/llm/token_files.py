@@ -15,7 +15,8 @@ encodes each distinct piece with the tokenizers library; a bounded table of piec
 that holds an added token, such as the end mark, is encoded whole.
 
 Cases: a null or empty text is the end id alone; null doc_ids sort first; equal doc_ids stand side by side, by a hash
-of the text; empty tables give empty files.
+of the text; empty tables give empty files; a very long text is encoded whole and makes a block of its own; other columns
+are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Payloads are shuffled once, when they are stored, with map-side elimination of c
 types moves digests only, so a payload that a third of the pages share costs one row per map task.
 
 Cases: a null html is an empty payload; a null url leaves out the target line; CR and LF in a url are
-percent-encoded; repeated rows of one page_id with equal payloads are all responses; empty tables give empty tables.
+percent-encoded; repeated rows of one page_id with equal payloads are all responses; empty tables give empty tables;
+payloads of any length are stored whole; other columns are not read.
 """
 
 from __future__ import annotations
