@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .collocations import OP12_SQL, op12_phrase_collocations
 from .decontamination import OP2_SQL, op2_benchmark_decontamination
+from .divergence import OP11_SQL, op11_source_divergence
 from .html import op6_html_extraction
 from .language import op10_language_id
 from .pieces import op4_sentencepiece
@@ -26,8 +28,10 @@ def queries() -> dict:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_warc": op9_warc,
         "op10_language_id": op10_language_id,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_phrase_collocations": op12_phrase_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL, "op5_suffix_array_dedup": OP5_SQL, "op9_warc": OP9_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op5_suffix_array_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_phrase_collocations": OP12_SQL}
