@@ -7,6 +7,7 @@ from .decontamination import OP2_SQL, op2_benchmark_decontamination
 from .divergence import OP11_SQL, op11_source_divergence
 from .html import op6_html_extraction
 from .language import op10_language_id
+from .packing import op13_packing
 from .pieces import op4_sentencepiece
 from .pii import op1_pii
 from .quality import op3_quality_rules
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op10_language_id": op10_language_id,
         "op11_source_divergence": op11_source_divergence,
         "op12_phrase_collocations": op12_phrase_collocations,
+        "op13_packing": op13_packing,
     }
 
 
