@@ -98,7 +98,7 @@ def _share(count: str, total: str) -> F.Column:
 class Shares:
     """What the terms of each group weigh.
 
-    groups: lang, source, n, v, floor, light (its light terms), light_v (those of the language), block, blocks, chunks.
+    groups: lang, source, n, v, floor, light (its light terms), light_v (the language's), block, blocks, chunks.
     cells: lang, source, term, p, floor, q, heavy, block, blocks, chunks; a row for each kept term that a group has.
     """
 
@@ -128,7 +128,7 @@ class Shares:
 
 # -- pairs of sources ----------------------------------------------------------------------------------
 
-_TILE = "lang string, x int, y int, chunk int, kind int, block int, source string, term string, p long, n long, light_v long"
+_TILE = "lang string, x int, y int, chunk int, kind int, block int, source string, term string, p long, n long, v long"
 _SUMS = "lang string, a string, b string, value long"
 
 
@@ -150,7 +150,11 @@ def spread(p: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _tile(key: tuple, rows: pa.Table) -> pa.Table:
-    """The partial sums of all pairs of groups of a tile."""
+    """The partial sums of all pairs of groups of a tile.
+
+    Chunk 0 counts each term, other than the light ones of either group, with the distance of the floors; tiles replace
+    that by the true distance for the terms they hold. So heavy terms that neither block has need no tile.
+    """
     lang, x, y, chunk = (k.as_py() for k in key)
     kind, block, p, n = (rows.column(c).to_numpy() for c in ("kind", "block", "p", "n"))
     source = rows.column("source")
@@ -162,13 +166,13 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     floor, light, side = (np.empty(len(names), np.int64) for _ in range(3))
     floor[group[heads]], light[group[heads]], side[group[heads]] = p[heads], n[heads], block[heads]
     one, two = np.flatnonzero(side == x), np.flatnonzero(side == y)
-    total = np.zeros((len(one), len(two)), np.int64)
+    total, apart = np.zeros((len(one), len(two)), np.int64), np.abs(floor[one][:, None] - floor[two])
     heavy = kind == 1
     if heavy.any():
         terms = rows.column("term").filter(pa.array(heavy)).combine_chunks().dictionary_encode()
         dense = np.repeat(floor[:, None], len(terms.dictionary), axis=1)
         dense[group[heavy], terms.indices.to_numpy()] = p[heavy]
-        total += distances(dense[one], dense[two])
+        total += distances(dense[one], dense[two]) - dense.shape[1] * apart
     bars = kind == 2
     for i, own in enumerate(one):
         mine = bars & (group == own)
@@ -179,8 +183,7 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
         if mine.any():
             total[:, j] += spread(p[mine], n[mine], floor[one])
     if chunk == 0:
-        light_v = rows.column("light_v").to_numpy()[heads][0] if heads.any() else 0
-        total += (light_v - light[one][:, None] - light[two]) * np.abs(floor[one][:, None] - floor[two])
+        total += (rows.column("v").to_numpy()[heads][0] - light[one][:, None] - light[two]) * apart
     i, j = np.nonzero(one[:, None] < two) if x == y else np.indices(total.shape).reshape(2, -1)
     a, b, value = np.minimum(one[i], two[j]), np.maximum(one[i], two[j]), total[i, j]  # names are sorted
     of = pa.array(names, pa.string())
@@ -193,11 +196,11 @@ def tile_sums(shares: Shares) -> DataFrame:
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     none = F.lit(None).cast("string")
 
-    def placed(df: DataFrame, chunk: F.Column, kind: int, term: F.Column, n: F.Column, light_v: F.Column) -> DataFrame:
+    def placed(df: DataFrame, chunk: F.Column, kind: int, term: F.Column, n: F.Column, v: F.Column) -> DataFrame:
         found = df.select("*", chunk.alias("chunk")).select("*", others)
-        return found.select("lang", x, y, "chunk", F.lit(kind).alias("kind"), "block", "source", term.alias("term"), "p", n.cast("long").alias("n"), light_v.cast("long").alias("light_v"))
+        return found.select("lang", x, y, "chunk", F.lit(kind).alias("kind"), "block", "source", term.alias("term"), "p", n.cast("long").alias("n"), v.cast("long").alias("v"))
 
-    heads = placed(shares.groups.withColumnRenamed("floor", "p"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), 0, none, F.col("light"), F.col("light_v"))
+    heads = placed(shares.groups.withColumnRenamed("floor", "p"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), 0, none, F.col("light"), F.col("v"))
     heavy = placed(shares.cells.where("heavy"), F.pmod(F.xxhash64("term"), "chunks").cast("int"), 1, F.col("term"), F.lit(1), F.lit(0))
     bars = shares.cells.where("not heavy").groupBy("lang", "source", "block", "blocks", "chunks", "p").agg(F.count("*").alias("n"))
     light = placed(bars, F.pmod(F.xxhash64("p"), "chunks").cast("int"), 2, none, F.col("n"), F.lit(0))
