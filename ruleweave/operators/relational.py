@@ -11,6 +11,7 @@ literal is unknown unless some rule concludes its predicate.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,12 +22,18 @@ from ruleweave.plans.rules import Atom, Literal, Rule, Var, strata
 from ruleweave.sources.tables import saved
 
 
+#: Scans of the given relations that the plan of a derived one may hold; beyond it, one with several readers is written once.
+MOST_SCANS = 16
+
+
 class Program:
     """Rules with what is needed to read their bodies: askable predicates, all cases and the reading of unknowns."""
 
     def __init__(self, rules: list[Rule], askable: set[str] = frozenset(), open_world: bool = False, cases: DataFrame | None = None):
         self.rules, self.askable, self.open_world, self._cases = rules, frozenset(askable), open_world, cases
         self.heads = {r.head.signature for r in rules}
+        self.scans: dict[str, int] = {}
+        self.readers = Counter(x.atom.signature for r in rules for x in r.body)
 
     def cases(self, relations: dict[str, DataFrame]) -> DataFrame:
         """case_id of all cases: those given, or those with a row in any relation."""
@@ -113,13 +120,22 @@ class Program:
                 if ready:
                     for s in ready:
                         given = [relations[s].select("case_id", *(c for c in relations[s].columns if c[0] == "a"), "t")] if s in relations else []
-                        relations[s] = _merged(given + [self._heads(r, relations) for r in todo if r.head.signature == s])
+                        merged = _merged(given + [self._heads(r, relations) for r in todo if r.head.signature == s])
+                        relations[s] = self._shared(s, merged, self.scans, lambda x: self.scans.get(x, 1))
                     todo = [r for r in todo if r.head.signature not in ready]
                 else:
                     relations |= self._fixpoint(todo, relations, most_rounds)
                     todo = []
         return relations
 
+    def _shared(self, signature: str, df: DataFrame, scans: dict[str, int], of) -> DataFrame:
+        """A derived relation, written where its plan is large and several premises read it: else each would hold the plan again."""
+        scans[signature] = sum(of(x.atom.signature) for r in self.rules if r.head.signature == signature for x in r.body)
+        if scans[signature] <= MOST_SCANS or self.readers[signature] < 2:
+            return df
+        scans[signature] = 1
+        return saved(df)
+
     def _fixpoint(self, rules: list[Rule], relations: dict[str, DataFrame], most_rounds: int) -> dict[str, DataFrame]:
         """Semi-naive iteration: each round joins the last round's new or raised atoms with all others."""
         own = {r.head.signature for r in rules}
@@ -161,6 +177,7 @@ class Program:
         atom supports itself, and the least solution where one does.
         """
         out: dict[str, DataFrame] = {}
+        scans: dict[str, int] = {}
         for s, r in relations.items():
             if s not in self.heads:
                 p = F.coalesce(F.col("p").cast("double"), F.lit(1.0)) if "p" in r.columns else F.lit(1.0)
@@ -177,6 +194,8 @@ class Program:
                         made = {s: saved(d) for s, d in made.items()}
                         if k and not any(self._moved(out[s], d, tolerance) for s, d in made.items()):
                             break
+                    else:
+                        made = {s: self._shared(s, d, scans, lambda x: self.scans.get(x, 1) + scans.get(x, 1)) for s, d in made.items()}
                     out |= made
                 todo = [r for r in todo if r not in group]
         return out
@@ -232,6 +251,11 @@ def _text(atom: Atom, column: dict[str, str]) -> Column:
     return F.concat(F.lit(atom.predicate + "("), F.concat_ws(", ", *(_value(t, column).cast("string") for t in atom.terms)), F.lit(")"))
 
 
+def atom_text(signature: str, columns: list[str]) -> Column:
+    """The text of a relation's rows as ground atoms."""
+    return _text(Atom(signature.split("/")[0], tuple(map(Var, columns))), {c: c for c in columns})
+
+
 def _merged(parts: list[DataFrame]) -> DataFrame:
     keys = [c for c in parts[0].columns if c != "t"]
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.max("t").alias("t"))
