@@ -59,16 +59,80 @@ MARKS = (
 SUSPECT = "share sharing social related recommended search toolbar".split()
 CONTAINERS = "div section ul ol li menu details summary address figure".split()
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_SPECIAL = re.compile("[>\"']")
+_NAME_END = re.compile(r"[\s/>]")
 _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW, _DROPPED, _VOID, _BLOCKS, _MARKS, _SUSPECT, _CONTAINERS = map(frozenset, (RAW, DROPPED, VOID, BLOCKS, MARKS, SUSPECT, CONTAINERS))
-_RAW_END = {n: re.compile(rf"</{n}\s*(?:>|\Z)|</{n}[^>]*>", re.I) for n in RAW}
+_RAW_END = {n: re.compile(rf"</{n}", re.I) for n in RAW}
 _PART = re.compile(r"[\s_]+")
 
 
+class _Scanner:
+    """The markup of a page from left to right, in time that grows with its length, however broken it is.
+
+    Where a tag ends depends only on the place of the next quote or > outside of quotes, so what was once found to be open up
+    to the end of the page is not read again.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.ends: dict[int, int] = {}
+        self.found = {_SPECIAL: (0, -1), _NAME_END: (0, -1)}
+
+    def _next(self, pattern: re.Pattern, at: int) -> int:
+        """Place of the first match from `at` on, or the page's length."""
+        start, place = self.found[pattern]
+        if not start <= at <= place:
+            m = pattern.search(self.html, at)
+            place = m.start() if m else len(self.html)
+            self.found[pattern] = at, place
+        return place
+
+    def _tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag, or -1. Quoted parts are passed over."""
+        html, path = self.html, []
+        place = self._next(_SPECIAL, at)
+        while True:
+            if place in self.ends:
+                end = self.ends[place]
+                break
+            path.append(place)
+            if place == len(html):
+                end = -1
+                break
+            if html[place] == ">":
+                end = place
+                break
+            close = html.find(html[place], place + 1)
+            if close < 0:
+                end = -1
+                break
+            m = _SPECIAL.search(html, close + 1)
+            place = m.start() if m else len(html)
+        for x in path:
+            self.ends[x] = end
+        return end
+
+    def token(self, pos: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" of an end tag, name, attributes) of the next markup from pos on; comments have no name."""
+        html, start = self.html, self.html.find("<", pos)
+        while start >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, len(html) if end < 0 else end + 3, "", "", ""
+            if html.startswith(("<!", "<?"), start):
+                end = html.find(">", start + 2)
+                return start, len(html) if end < 0 else end + 1, "", "", ""
+            first = start + 1 + html.startswith("</", start)
+            if html[first : first + 1].isascii() and html[first : first + 1].isalpha():
+                name_end = self._next(_NAME_END, first)
+                end = self._tag_end(name_end)
+                if end >= 0:
+                    return start, end + 1, html[start + 1 : first], html[first:name_end], html[name_end:end]
+            start = html.find("<", start + 1)
+        return None
+
+
 def _sort(name: str, attrs: str, in_article: bool) -> int | None:
     """FURNITURE or WIDGET where an element's name or attributes tell, else None."""
     if name in _DROPPED or (name == "header" and not in_article):
@@ -97,6 +161,7 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
     inner = ""  # the block that was opened last, if none has ended since
     suspect, inside = "", 0  # the open element that is a widget, and how many of its name are open inside
     pos, end = 0, len(html)
+    scanner = _Scanner(html)
 
     def close() -> None:
         text = " ".join(unescape("".join(held)).split())
@@ -105,22 +170,22 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
             out.append((text, FURNITURE if skip else PLAIN if not article else WIDGET if suspect or inner in _CONTAINERS else ARTICLE))
 
     while pos < end:
-        m = _TOKEN.search(html, pos)
-        if not m:
+        found = scanner.token(pos)
+        if not found:
             held.append(html[pos:])
             break
-        held.append(html[pos : m.start()])
-        pos = m.end()
-        name = m["name"]
+        start, stop, closing, name, attrs = found
+        held.append(html[pos:start])
+        pos = stop
         if not name:
             continue
         name = name.lower()
         if name in _BLOCKS:
             close()
-            inner = "" if m["end"] else name
+            inner = "" if closing else name
         elif name == "br":
             held.append(" ")
-        if m["end"]:
+        if closing:
             if skip:
                 if name == skip:
                     depth -= 1
@@ -137,14 +202,15 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
                 article.pop()
             continue
         if name in _RAW:
-            if not m["attrs"].endswith("/"):
-                stop = _RAW_END[name].search(html, pos)
-                pos = stop.end() if stop else end
+            if not attrs.endswith("/"):
+                last = _RAW_END[name].search(html, pos)
+                close_at = html.find(">", last.end()) if last else -1
+                pos = close_at + 1 if close_at >= 0 else end
             continue
         if skip:
             depth += name == skip
         elif name not in _VOID:
-            sort = _sort(name, m["attrs"], bool(article))
+            sort = _sort(name, attrs, bool(article))
             if sort == FURNITURE:
                 close()
                 skip, depth = name, 1

@@ -15,15 +15,18 @@ after `KEPT_ATTEMPTS` draws the former give up the country code and the latter g
 
 A person is a title with all name words, initials and particles after it. Family names get surrogates of their own, so
 'Mr Smith' shares that of 'Mr John Smith'. Inside a document a full name without a title, or with one that tells no
-gender, is the person of that name whose title tells it, if there is just one. An untitled surname alone is not sought,
-as it can be a common word.
+gender, is the person of that name whose title tells it, if there is just one; the surname of a titled mention is
+replaced there alone too. In other documents an untitled surname is not sought, as it can be a common word. A title that
+tells no gender leaves it to the given name: by the lists below, else by the titles it has in the corpus, else by the key.
 
 The texts are searched once and written with what was found. Those without an entity pass through untouched and are not
 shuffled. For the others, mentions join the table of
 surrogates and are put back by a grouping on their row. The table has one row per distinct entity, so a mention that a
 third of the documents share only makes the mentions' side of the join uneven, which adaptive execution splits.
 
-Cases: null and empty texts stay as they are; extra columns pass through, whatever their names; repeated rows keep one
+Cases: a text of any length is searched whole, in time that grows with its length, and a run of a million name words, mail labels
+or letters is one entity or none; where two kinds match at one place the first of `KINDS` counts, and of two cores that
+draw one surrogate the one with fewer attempts, then the lesser, keeps it; null and empty texts stay as they are; extra columns pass through, whatever their names; repeated rows keep one
 row each; an empty table gives an empty table.
 """
 
@@ -63,13 +66,21 @@ NAMES = {
 }
 
 _TITLES = MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES
-_TITLE = rf"(?:{'|'.join(_TITLES)})\.? (?:(?:{'|'.join(NEUTRAL_TITLES)})\.? )*"
+# Groups are repeated possessively (*+, ++): the engine keeps no way back for them, so a long run of names, labels or
+# titles costs neither stack nor a second reading.
+_TITLE = rf"(?:{'|'.join(_TITLES)})\.? (?:(?:{'|'.join(NEUTRAL_TITLES)})\.? )*+"
 _PARTICLE = "(?:von|van|de|der|den|del|della|di|da|dos|du|la|ter|ten|zu|zum|zur|af|av|bin|ibn|al|el) "
-_WORD = rf"(?:{_PARTICLE})*(?:\p{{Lu}}[\p{{L}}'’-]+|\p{{Lu}}\.)"
-_NEXT = rf"(?: (?!(?:{'|'.join(x for x in _TITLES if x != 'Don')})\.? ){_WORD})*"
+_WORD = rf"(?:{_PARTICLE})*+(?:\p{{Lu}}[\p{{L}}'’-]+(?<!['’][sS]|['’-])|\p{{Lu}}\.)"  # without the 's of a possessive
+_NEXT = rf"(?: (?!(?:{'|'.join(x for x in _TITLES if x != 'Don')})\.? ){_WORD})*+"
+_SURNAME = rf"(?:^|(?<= ))(?:{_PARTICLE})*+[^ ]+$"
+#: A mail address begins where its run of letters, digits and marks does, or after marks there; else each place of a long run would be tried.
+_LOCAL = r"[\p{L}\p{N}._%+-]"
+_LABEL = r"[\p{L}\p{N}]++(?:-++[\p{L}\p{N}]++)*+"
+_BEGIN = rf"(?:(?<!{_LOCAL})|(?<=(?<!{_LOCAL})[._%+-]{{1,64}})|(?<!{_LOCAL})[._%+-]{{65}}[._%+-]*+)"
+_DOMAIN = rf"(?:(?:{_LABEL}\.(?=\p{{L}}{{2}}|{_LABEL}\.))++\p{{L}}{{2,}}|(?:{_LABEL}\.){{1,10}}\p{{L}}{{2,}})"
 #: Kinds in the order in which they are tried.
 KINDS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}",
+    "email": rf"{_BEGIN}[\p{{L}}\p{{N}}]{_LOCAL}*+@{_DOMAIN}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9-]{20,64})(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}+])(?:\d{4}[ -]?){3}\d{1,4}(?:[ -]?\d{3})?(?![\p{L}\p{N}])",
@@ -105,7 +116,7 @@ def gender_of(entity: Column) -> Column:
 
 def _surname(core: Column) -> Column:
     """Core of a person's family name: the last word and the particles before it."""
-    return F.concat(F.lit("n "), F.regexp_extract(F.substring(core, 3, 1000), rf"(?:^|(?<= ))(?:{_PARTICLE})*[^ ]+$", 0))
+    return F.concat(F.lit("n "), F.regexp_extract(F.substring(core, 3, 1000), _SURNAME, 0))
 
 
 def core_of(entity: Column, kind: Column, gender: Column | None = None) -> Column:
@@ -146,17 +157,17 @@ def _pick(letters: str, number: Column) -> Column:
 
 def _shaped(kind: Column, core: Column, attempt: Column, key: str, country: Column) -> Column:
     """Character by character: each letter or digit by one of its class."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(core) - 1) / 16).cast("int")), lambda b: _draw(kind, core, attempt, key, b))
-    digests = F.array_join(blocks, "")
     tail = F.length(F.regexp_extract(core, r"\.\p{L}+$", 0))  # a mail address keeps its last label
     secret = (kind == "secret") & core.rlike(r"^[0-9a-f]+$")
+    seed = _draw(kind, core, attempt, key, F.lit("shape"))
+    once = F.array(F.struct((F.length(core) - tail).alias("tail_at"), secret.alias("hexadecimal"), seed.alias("seed")))  # not anew for each character
 
-    def one(c: Column, i: Column) -> Column:
-        number = F.conv(F.substring(digests, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
-        fixed = ((kind == "email") & (i >= F.length(core) - tail)) | ((kind == "iban") & (i < 2)) | ((kind == "card") & (i == 0)) | ((kind == "phone") & (attempt < KEPT_ATTEMPTS) & (i < country))
+    def one(c: Column, i: Column, digest: Column, k: Column, of: Column) -> Column:
+        number = F.conv(F.substring(digest, k * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        fixed = ((kind == "email") & (i >= of["tail_at"])) | ((kind == "iban") & (i < 2)) | ((kind == "card") & (i == 0)) | ((kind == "phone") & (attempt < KEPT_ATTEMPTS) & (i < country))
         return (
             F.when(fixed | ~c.rlike(r"[\p{L}\p{N}]"), c)
-            .when(secret, _pick(_HEX, number % 16))
+            .when(of["hexadecimal"], _pick(_HEX, number % 16))
             .when(c.rlike(r"\d"), _pick("0123456789", number % 10))
             .when(c.rlike(r"\p{IsCyrillic}"), _pick(_CYRILLIC, number % len(_CYRILLIC)))
             .when(c.rlike(r"\p{IsGreek}"), _pick(_GREEK, number % len(_GREEK)))
@@ -164,7 +175,16 @@ def _shaped(kind: Column, core: Column, attempt: Column, key: str, country: Colu
             .otherwise(_pick(_LATIN, number % len(_LATIN)))  # other scripts too, or they would stay in clear
         )
 
-    return F.array_join(F.transform(F.split(core, "(?!^)(?!$)"), one), "")
+    def some(x: Column, of: Column) -> Column:
+        return F.array_join(F.transform(F.split(x["chars"], "(?!^)(?!$)"), lambda c, k: one(c, x["b"] * 16 + k, x["digest"], k, of)), "")
+
+    def whole(of: Column) -> Column:
+        """16 characters to a digest: no step looks at more of a long core than it changes."""
+        digest = lambda b: F.sha2(F.concat(of["seed"], b.cast("string")), 256)
+        blocks = F.transform(F.regexp_extract_all(core, F.lit("(?s).{1,16}"), F.lit(0)), lambda chars, b: F.struct(chars.alias("chars"), b.alias("b"), digest(b).alias("digest")))
+        return F.array_join(F.transform(blocks, lambda x: some(x, of)), "")
+
+    return F.get(F.transform(once, whole), F.lit(0))
 
 
 def _luhn(digits: Column) -> Column:
@@ -190,8 +210,9 @@ def _with_check_digits(iban: Column) -> Column:
     return F.concat(F.substring(iban, 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substring(iban, 5, 40))
 
 
-def surrogate_core(kind: Column, core: Column, attempt: Column, key: str, country: Column | None = None, family: Column | None = None) -> Column:
-    """country: how many digits of a phone number are its country code; family: a person's family name, already drawn."""
+def surrogate_core(kind: Column, core: Column, attempt: Column, key: str, country: Column | None = None, family: Column | None = None, lean: Column | None = None) -> Column:
+    """country: how many digits of a phone number are its country code; family: a person's family name, already drawn; lean: the gender that the given name tells where the title tells none."""
+    leaning = F.lit(None).cast("string") if lean is None else lean
     family_name = F.lit(None).cast("string") if family is None else family
     digest = _draw(kind, core, attempt, key, F.lit("0"))
     shaped = _shaped(kind, core, attempt, key, F.lit(0) if country is None else country)
@@ -204,7 +225,8 @@ def surrogate_core(kind: Column, core: Column, attempt: Column, key: str, countr
     for script, lists in NAMES.items():
         gender = F.substring(core, 1, 1)
         male, female, family = (F.array(*map(F.lit, lists[k])) for k in ("m", "f", "family"))
-        as_male = (gender == "m") | ((gender == "n") & (_number(digest, F.lit(2), 2) == 0))
+        told = F.when(gender == "n", F.coalesce(leaning, gender)).otherwise(gender)
+        as_male = (told == "m") | ((told == "n") & (_number(digest, F.lit(2), 2) == 0))
         given = F.when(as_male, F.get(male, _number(digest, F.lit(0), len(lists["m"])))).otherwise(F.get(female, _number(digest, F.lit(0), len(lists["f"]))))
         own = F.get(family, _number(digest, F.lit(1), len(lists["family"])))
         # lists are short: later attempts add syllables, so there is always another surrogate
@@ -245,7 +267,8 @@ def _whole_look(rows: DataFrame, text: Column) -> DataFrame:
     """rows with `found` (entity and gender of all mentions) and `pattern` (what finds them), from `found` of the first look."""
     titled = lambda e: e.rlike(f"^{_TITLE}{_WORD}")
     full = F.filter(F.transform(F.filter("found", titled), _without_title), lambda n: n.rlike(rf"^{_WORD} "))
-    rows = rows.withColumn("full", F.array_distinct(full))
+    last = F.transform(F.transform(F.filter("found", titled), _without_title), lambda n: F.regexp_extract(n, _SURNAME, 0))
+    rows = rows.withColumn("full", F.array_distinct(F.concat(full, F.filter(last, lambda n: n.rlike(r"\p{L}{3}")))))
     forms = F.array_distinct(F.concat("full", F.transform("full", F.upper)))
     quoted = F.transform(F.reverse(F.array_sort(forms)), lambda n: F.regexp_replace(n, r"\.", r"\\."))  # a longer name before its beginning
     more = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}])"))
@@ -281,13 +304,26 @@ def detect(documents: DataFrame, column: str = "text") -> DataFrame:
     return _mentions(_looked(documents.select(_quoted(column)), column))
 
 
+def _listed_gender(given: Column) -> Column:
+    """Gender of a given name that stands in the lists, with or without accents."""
+    plain = F.translate(F.lower(given), "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
+    listed = lambda g: [F.translate(F.lower(F.lit(n)), "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc") for x in NAMES.values() for n in x[g]]
+    return F.when(plain.isin(listed("m")), "m").when(plain.isin(listed("f")), "f")
+
+
 def surrogates(mentions: DataFrame, key: str) -> DataFrame:
     """kind, core, surrogate: written differently for distinct cores of a kind (a family name alone is one for all genders), and none of them as a core itself."""
     country = country_of(F.col("entity"), F.col("kind"))  # of one number written in several ways, the longest code
-    cores = saved(mentions.groupBy("kind", "core").agg(F.max(country).alias("country")).withColumn("surname", F.when(F.col("kind") == "person", _surname(F.col("core")))))
+    given = F.when(F.col("kind") == "person", F.regexp_extract("core", r"^[mfn] ([^ .]{2,}) ", 1)).alias("given")
+    cores = saved(mentions.groupBy("kind", "core").agg(F.max(country).alias("country")).withColumn("surname", F.when(F.col("kind") == "person", _surname(F.col("core")))).select("*", given))
+    own = F.substring("core", 1, 1)
+    told = cores.where((F.length("given") > 0) & (own != "n")).groupBy("given").agg(F.count_if(own == "m").alias("m"), F.count_if(own == "f").alias("f"))
+    told = told.where("m <> f").select("given", F.when(F.col("m") > F.col("f"), "m").otherwise("f").alias("learned"))
     surnames = cores.where(F.col("kind") == "person").select(F.lit("surname").alias("kind"), F.col("surname").alias("core")).distinct()
-    families = _distinct(surnames.withColumn("country", F.lit(0)).withColumn("family", F.lit(None).cast("string")), key)
+    none = F.lit(None).cast("string")
+    families = _distinct(surnames.withColumn("country", F.lit(0)).withColumns({"family": none, "lean": none}), key)
     families = families.select(F.col("core").alias("surname"), F.substring("surrogate", 3, 1000).alias("family"))
+    cores = cores.join(told, "given", "left").withColumn("lean", F.coalesce(_listed_gender(F.col("given")), "learned")).drop("given", "learned")
     cores = saved(cores.join(families, "surname", "left").withColumn("alone", F.substring("core", 3, 1000) == F.substring("surname", 3, 1000)).drop("surname"))
     rest = _distinct(cores.where(~F.coalesce("alone", F.lit(False))).drop("alone"), key)
     alone = cores.where("alone").select("kind", "core", F.concat(F.substring("core", 1, 2), "family").alias("surrogate"))
@@ -296,7 +332,7 @@ def surrogates(mentions: DataFrame, key: str) -> DataFrame:
 
 def _distinct(cores: DataFrame, key: str) -> DataFrame:
     """kind, core, surrogate of the cores, drawn until all differ."""
-    draw = surrogate_core(F.col("kind"), F.col("core"), F.col("attempt"), key, F.col("country"), F.col("family"))
+    draw = surrogate_core(F.col("kind"), F.col("core"), F.col("attempt"), key, F.col("country"), F.col("family"), F.col("lean"))
     drawn = saved(cores.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw))
     seen = visible(F.col("kind"), F.col("surrogate")).alias("seen")
     real = cores.select("kind", visible(F.col("kind"), F.col("core")).alias("seen"), F.lit(True).alias("real")).distinct()
