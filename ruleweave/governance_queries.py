@@ -280,7 +280,7 @@ def propose_route(spark, d):
     rules = spark.range(8).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("rule_id"), status.alias("status"))
     n = F.col("c_custkey") % 12
     p = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("r"), n.cast("string")).alias("rule_id"), (F.col("c_acctbal") < 0).alias("critical"), (n != 11).alias("valid"))
-    return p.join(F.broadcast(rules), "rule_id", "left").select("id", route(F.col("status"), F.col("critical"), F.col("valid")).alias("outcome"))
+    return p.join(rules, "rule_id", "left").select("id", route(F.col("status"), F.col("critical"), F.col("valid")).alias("outcome"))
 
 
 # -- packs and documents -------------------------------------------------------------------------------------

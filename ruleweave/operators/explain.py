@@ -100,7 +100,7 @@ def provenance(steps: DataFrame, facts: DataFrame, rules: DataFrame, key: str) -
     """
     known = facts.select(key, F.col("fact").alias("name"), "source")
     origin = F.concat_ws(", ", "origin", F.when(F.col("approved_by") != "", F.concat(F.lit("approved by "), F.col("approved_by"))), F.when(F.col("citation") != "", F.col("citation")))
-    ruled = F.broadcast(rules.select(F.col("rule_id").alias("name"), F.col("status").alias("rule_status"), origin.alias("rule_source")))
+    ruled = rules.select(F.col("rule_id").alias("name"), F.col("status").alias("rule_status"), origin.alias("rule_source"))
     from_facts = steps.where(F.col("kind").isin("fact", "denied")).join(known, [key, "name"], "left").select(key, "kind", "name", "source", F.lit(False).alias("gap"))
     from_rules = steps.where(F.col("kind") == "rule").join(ruled, "name", "left").select(key, "kind", "name", F.col("rule_source").alias("source"), (F.coalesce("rule_status", F.lit("missing")) != "approved").alias("gap"))
     assumed = steps.where(F.col("kind") == "not_concluded").select(key, "kind", "name", F.lit("assumed").alias("source"), F.lit(False).alias("gap"))

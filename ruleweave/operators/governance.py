@@ -6,6 +6,7 @@ person instead. Every answer is logged with the rules and the facts behind it, s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -108,23 +109,57 @@ def competing(bounds: DataFrame, key: str, outcomes: Sequence[str]) -> DataFrame
 
 
 class DecisionLog:
-    """Three append-only tables: queries, the rules that each used, and the facts that each saw.
+    """Three tables that grow by whole runs: queries, the rules that each used, and the facts that each saw.
 
-    Ids come from the run's name and the case, so a repeated append of one run can be told from a new one.
+    A run is written to folders of its own attempt; a row in `committed`, written last, makes all three parts visible at
+    once. What a run that was stopped left behind is never read, and a run that is repeated, or written by two writers at
+    once, counts once: by the least of its attempts' names. So appends can be retried, also from foreachBatch.
     """
 
+    _TABLES = ("queries", "query_rules", "query_facts")
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def append(self, answers: DataFrame, cases: DataFrame, key: str, observables: list[str], goal: str, run: str, asked_by: str = "") -> None:
+    def _committed(self) -> DataFrame:
+        """attempt: one for each run."""
+        return self.spark.read.schema("run string, attempt string").parquet(f"{self.path}/committed").groupBy("run").agg(F.min("attempt").alias("attempt")).select("attempt")
+
+    def holds(self, run: str) -> bool:
+        """Whether a run is in the log."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/committed")
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return False
+        return not self.spark.read.schema("run string, attempt string").parquet(f"{self.path}/committed").where(F.col("run") == run).isEmpty()
+
+    def append(self, answers: DataFrame, cases: DataFrame, key: str, observables: list[str], goal: str, run: str, asked_by: str = "") -> bool:
+        """Add a run's answers; False, and nothing written, if the log holds the run already."""
+        if self.holds(run):
+            return False
+        attempt = uuid.uuid4().hex
         query = F.concat_ws("-", F.lit("q"), F.lit(run), F.col(key).cast("string"))
         asked = answers.select(query.alias("query_id"), F.lit(goal).alias("goal"), F.col(key).cast("string").alias("entity"), "critical", "reason", F.lit(asked_by).alias("asked_by"), F.lit(run).alias("run"), "lower", "upper", "status", "blocked_on", "decision")
-        asked.write.mode("append").parquet(f"{self.path}/queries")
-        answers.select(query.alias("query_id"), F.explode("rules").alias("rule_id"), "provisional").select("query_id", "rule_id", F.array_contains("provisional", F.col("rule_id")).alias("provisional")).write.mode("append").parquet(f"{self.path}/query_rules")
-        facts_long(cases, key, observables).select(query.alias("query_id"), "fact", "t").write.mode("append").parquet(f"{self.path}/query_facts")
+        used = answers.select(query.alias("query_id"), F.explode("rules").alias("rule_id"), "provisional").select("query_id", "rule_id", F.array_contains("provisional", F.col("rule_id")).alias("provisional"))
+        seen = facts_long(cases, key, observables).select(query.alias("query_id"), "fact", "t")
+        for name, part in zip(self._TABLES, (asked, used, seen), strict=True):
+            part.write.parquet(f"{self.path}/{name}/attempt={attempt}")
+        self._commit(run, attempt)
+        return True
+
+    def _commit(self, run: str, attempt: str) -> None:
+        self.spark.createDataFrame([(run, attempt)], "run string, attempt string").coalesce(1).write.mode("append").parquet(f"{self.path}/committed")
+
+    def batches(self, answer, key: str, observables: list[str], goal: str, stream: str, asked_by: str = ""):
+        """For foreachBatch: answers each batch of cases by answer(cases) and logs it as one run, once also after a restart."""
+
+        def run(cases: DataFrame, batch_id: int) -> None:
+            self.append(answer(cases), cases, key, observables, goal, f"{stream}-{batch_id}", asked_by)
+
+        return run
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """The rows of all committed runs."""
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}").withColumn("attempt", F.col("attempt").cast("string")).join(self._committed(), "attempt", "left_semi").drop("attempt")
 
     def queries(self) -> DataFrame:
         """Queries with the sorted ids of the rules that they used, and of those that were provisional."""
@@ -155,8 +190,12 @@ class DecisionLog:
 
 
 def outcomes_by_rule(used: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Verdicts (query_id, correct) counted for each rule of used (query_id, rule_id); the last verdict of a query counts once."""
-    settled = verdicts.groupBy("query_id").agg(F.max("correct").alias("correct"))
+    """Verdicts (query_id, correct) counted for each rule of used (query_id, rule_id), one of each query.
+
+    Where verdicts have a column seq, the last of a query counts, so one can be taken back; else they must not differ.
+    """
+    last = F.max_by("correct", "seq") if "seq" in verdicts.columns else F.min("correct")
+    settled = verdicts.groupBy("query_id").agg(last.alias("correct"))
     return used.join(settled, "query_id").groupBy("rule_id").agg(F.count_if("correct").alias("successes"), F.count_if(~F.col("correct")).alias("failures"))
 
 
@@ -178,7 +217,7 @@ def audited_badly(rules: DataFrame, least: int = 3, share: float = 0.7) -> DataF
 def violations(queries: DataFrame, used: DataFrame, rules: DataFrame) -> DataFrame:
     """query_id, rule_id, status: answered critical queries that used a rule which is missing (null) or not approved."""
     critical = queries.where(F.col("critical") & (F.col("status") == ANSWERED)).select("query_id")
-    return used.join(critical, "query_id", "left_semi").join(F.broadcast(rules.select("rule_id", F.col("status").alias("rule_status"))), "rule_id", "left").where(F.coalesce("rule_status", F.lit("")) != APPROVED).select("query_id", "rule_id", F.col("rule_status").alias("status"))
+    return used.join(critical, "query_id", "left_semi").join(rules.select("rule_id", F.col("status").alias("rule_status")), "rule_id", "left").where(F.coalesce("rule_status", F.lit("")) != APPROVED).select("query_id", "rule_id", F.col("rule_status").alias("status"))
 
 
 def impact(used: DataFrame, rule_id: str, provisional_only: bool = False) -> DataFrame:
@@ -223,7 +262,7 @@ def governance_summary(rules: DataFrame, queries: DataFrame, used: DataFrame) ->
 def amortisation(rules: DataFrame, queries: DataFrame, used: DataFrame) -> DataFrame:
     """One row: reviews, decisions, rule applications of approved rules, and both per review (0 without a review)."""
     approved = rules.where(F.col("status") == APPROVED).select("rule_id")
-    reuse = used.join(F.broadcast(approved), "rule_id", "left_semi").agg(F.count("*").alias("applications"))
+    reuse = used.join(approved, "rule_id", "left_semi").agg(F.count("*").alias("applications"))
     row = approved.agg(F.count("*").alias("reviews")).join(queries.where(F.col("status") == ANSWERED).agg(F.count("*").alias("decisions"))).join(reuse)
     per = lambda c: F.when(F.col("reviews") > 0, F.col(c) / F.col("reviews")).otherwise(0.0)
     return row.withColumns({"decisions_per_review": per("decisions"), "applications_per_rule": per("applications")})
@@ -231,7 +270,7 @@ def amortisation(rules: DataFrame, queries: DataFrame, used: DataFrame) -> DataF
 
 def most_reused(rules: DataFrame, used: DataFrame, most: int = 5) -> DataFrame:
     """rule_id, reuse of the approved rules that were used most."""
-    return used.join(F.broadcast(rules.where(F.col("status") == APPROVED).select("rule_id")), "rule_id").groupBy("rule_id").agg(F.count("*").alias("reuse")).orderBy(F.col("reuse").desc(), "rule_id").limit(most)
+    return used.join(rules.where(F.col("status") == APPROVED).select("rule_id"), "rule_id").groupBy("rule_id").agg(F.count("*").alias("reuse")).orderBy(F.col("reuse").desc(), "rule_id").limit(most)
 
 
 def rule_rows(rules: DataFrame, used: DataFrame) -> DataFrame:

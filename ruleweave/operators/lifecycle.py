@@ -14,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.operators.governance import APPROVED, PENDING, PROVISIONAL, REJECTED, RETIRED, Record
+from ruleweave.operators.governance import APPROVED, PENDING, PROPOSED, PROVISIONAL, REJECTED, RETIRED, Record
 from ruleweave.plans.rules import NotStratified, Rule, canonical_key, strata
 from ruleweave.plans.vocabulary import Vocabulary
 from ruleweave.sources.rule_text import format_rule, parse_program, parse_rule
@@ -93,6 +93,9 @@ class RuleStore:
                 rows.append((rule_id, key, status, format_rule(rule), actor, ""))
                 known[key] = type("Row", (), {"rule_id": rule_id, "key": key, "status": status, "text": format_rule(rule)})
                 out.append("queued_online" if critical else "applied_provisionally")
+            elif old.status == PROPOSED:  # stored, but not put to anyone yet
+                rows.append((old.rule_id, key, PENDING if critical else PROVISIONAL, old.text, actor, ""))
+                out.append("queued_online" if critical else "applied_provisionally")
             elif old.status == PROVISIONAL and critical:
                 rows.append((old.rule_id, key, PENDING, old.text, actor, "escalated"))
                 out.append("queued_online")
@@ -109,10 +112,10 @@ class RuleStore:
         self._append([(rule_id, row.key, to, row.text, actor, note)])
 
     def approve(self, rule_id: str, actor: str, note: str = "") -> None:
-        self._move(rule_id, APPROVED, (PROVISIONAL, PENDING), actor, note)
+        self._move(rule_id, APPROVED, (PROPOSED, PROVISIONAL, PENDING), actor, note)
 
     def reject(self, rule_id: str, actor: str, note: str = "") -> None:
-        self._move(rule_id, REJECTED, (PROVISIONAL, PENDING, APPROVED), actor, note)
+        self._move(rule_id, REJECTED, (PROPOSED, PROVISIONAL, PENDING, APPROVED), actor, note)
 
     def retire(self, rule_id: str, actor: str, note: str = "") -> None:
         self._move(rule_id, RETIRED, (APPROVED,), actor, note)
@@ -135,7 +138,7 @@ class RuleStore:
 
     def invariant_violations(self, log: DataFrame) -> DataFrame:
         """Critical decisions of the log that used a rule which isn't approved; the log is never collected."""
-        return log.where("critical").join(F.broadcast(self.rules().where(F.col("status") == APPROVED).select("rule_id")), "rule_id", "left_anti")
+        return log.where("critical").join(self.rules().where(F.col("status") == APPROVED).select("rule_id"), "rule_id", "left_anti")
 
     def export_text(self) -> str:
         """All rules as text that import_text reads; their status is part of it."""
@@ -161,7 +164,7 @@ class RuleStore:
             standing.append(rule)
             rule_id = rule.rule_id if rule.rule_id and rule.rule_id not in taken else key
             taken.add(rule_id)
-            status = str(dict(rule.meta).get("status", "proposed"))
+            status = str(dict(rule.meta).get("status", PROPOSED))
             rows.append((rule_id, key, status, format_rule(replace(rule, rule_id=rule_id)), actor, "imported"))
             added.append(rule_id)
         if rows:

@@ -92,7 +92,7 @@ def audit_rates(decisions: DataFrame, used: DataFrame, rules: DataFrame, key: st
     """
     target = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in TARGETS.items() for x in kv)), F.col("origin")), F.lit(DEFAULT_TARGET))
     doubts = rules.select("rule_id", (F.col("status") == "provisional").alias("provisional"), beta_doubt(F.col("successes"), F.col("failures"), target).alias("doubt"))
-    worst = used.select(key, "rule_id").join(F.broadcast(doubts), "rule_id").groupBy(key).agg(F.max("provisional").alias("provisional"), F.max(F.struct("doubt", "rule_id")).alias("w"))
+    worst = used.select(key, "rule_id").join(doubts, "rule_id").groupBy(key).agg(F.max("provisional").alias("provisional"), F.max(F.struct("doubt", "rule_id")).alias("w"))
     rate = first_match([(F.col("mode") != AI_WITH_OVERSIGHT, 1.0), (F.col("w").isNull(), 1.0), (F.col("provisional"), 1.0)], None)
     by_doubt = F.least(F.greatest(F.lit(AUDIT_FLOOR) + (1 - AUDIT_FLOOR) * F.col("w.doubt"), F.lit(AUDIT_FLOOR)), F.lit(1.0))
     return decisions.join(worst, key, "left").select(key, "mode", F.coalesce(rate.cast("double"), by_doubt).alias("rate"), F.col("w.rule_id").alias("weakest"))

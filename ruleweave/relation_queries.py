@@ -49,11 +49,11 @@ def product_in_case(spark, d):
     return found.select(F.col("case_id").alias("order_id"), F.col("a0").alias("returned"), F.col("a1").alias("cheap"))
 
 
-@_register("""select n_nationkey as nation, 2 as calm from nation where n_nationkey not in (select c_nationkey from customer join orders on c_custkey = o_custkey where o_totalprice > 300000 and o_orderpriority = '1-URGENT' and o_orderstatus = 'P')""")
+@_register("""select n_nationkey as nation, 2 as calm from nation where n_nationkey not in (select c_nationkey from customer join orders on c_custkey = o_custkey where o_totalprice > 480000 and o_orderpriority = '1-URGENT' and o_orderstatus = 'P')""")
 def ground_negation(spark, d):
     """calm(all) <- not pressed(order): one case for each nation."""
     cases = _t(spark, d, "nation").select(F.col("n_nationkey").alias("case_id"))
-    big = _t(spark, d, "orders").where("o_totalprice > 300000 and o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    big = _t(spark, d, "orders").where("o_totalprice > 480000 and o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     pressed = big.select(F.col("c_nationkey").alias("case_id"), F.lit("order").alias("a0"), _true()).distinct()
     found = Program(_rules("calm(all) <- not pressed(order)."), cases=cases).evaluate({"pressed/1": pressed})["calm/1"]
     return found.select(F.col("case_id").alias("nation"), F.col("t").alias("calm"))

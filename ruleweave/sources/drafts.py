@@ -65,7 +65,7 @@ def judged_drafts(drafts: DataFrame, known: DataFrame, source: str = "source") -
     verified = ~cited | F.col(source).isNull() | ((anchor != "") & F.contains(F.lower(F.col(source)), anchor))
     strength = F.round(F.least(F.greatest(F.coalesce(F.col("strength").cast("double"), F.lit(DRAFT_STRENGTH)), F.lit(0.01)), F.lit(1.0)), 3)
     read = drafts.withColumn("rule", rule).withColumn("r", read_rules(F.col("rule"))).withColumns({"rule_key": F.col("r.key"), "strength": strength, "verified": F.coalesce(verified, F.lit(False))})
-    old = F.broadcast(known.select("rule_key", F.lit(True).alias("__old")).distinct())
+    old = known.select("rule_key", F.lit(True).alias("__old")).distinct()
     joined = read.join(old, "rule_key", "left")
     problem = F.coalesce(F.col("r.problem"), F.when(F.col("__old"), "already in the rule base"))
     return joined.withColumn("problem", problem).drop("r", "__old")
