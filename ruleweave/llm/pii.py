@@ -76,7 +76,7 @@ _SURNAME = rf"(?:^|(?<= ))(?:{_PARTICLE})*+[^ ]+$"
 #: A mail address begins where its run of letters, digits and marks does, or after marks there; else each place of a long run would be tried.
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 _LABEL = r"[\p{L}\p{N}]++(?:-++[\p{L}\p{N}]++)*+"
-_BEGIN = rf"(?:(?<!{_LOCAL})|(?<=(?<!{_LOCAL})[._%+-]{{1,64}})|(?<!{_LOCAL})[._%+-]{{65}}[._%+-]*+)"
+_BEGIN = rf"(?<![\p{{L}}\p{{N}}])(?:(?<![._%+-])|(?<=[._%+-])(?<=(?<!{_LOCAL})[._%+-]{{1,64}})|(?<![._%+-])[._%+-]{{65}}[._%+-]*+)"
 _DOMAIN = rf"(?:(?:{_LABEL}\.(?=\p{{L}}{{2}}|{_LABEL}\.))++\p{{L}}{{2,}}|(?:{_LABEL}\.){{1,10}}\p{{L}}{{2,}})"
 #: Kinds in the order in which they are tried.
 KINDS = {
