@@ -6,7 +6,7 @@ Reading a rule is the one step done in Python, over the few distinct texts of ru
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.plans.rules import canonical_key
@@ -18,8 +18,8 @@ HEADING = r"(?m)^#{1,6}[ \t]*([^\n]*?)[ \t]*$"
 DEFAULT_STRENGTH, DRAFT_STRENGTH = 0.9, 0.7
 
 
-def read_rules(text: Column) -> Column:
-    """Struct key, problem: the canonical key of a rule's text, or why it can't be read."""
+def read_rules(df: DataFrame, column: str = "rule") -> DataFrame:
+    """df with r, a struct of key and problem: the canonical key of a rule's text, or why it can't be read; each distinct text is read once."""
 
     @F.pandas_udf("key string, problem string")
     def read(texts: pd.Series) -> pd.DataFrame:
@@ -31,7 +31,9 @@ def read_rules(text: Column) -> Column:
 
         return pd.DataFrame([one(t) for t in texts], columns=["key", "problem"])
 
-    return read(text)
+    texts = df.select(F.col(column).alias("__rule")).distinct()
+    known = texts.withColumn("r", read(F.col("__rule")))
+    return df.join(known, F.col(column).eqNullSafe(F.col("__rule")), "left").drop("__rule")
 
 
 def policy_rules(documents: DataFrame, key: str, column: str = "text") -> DataFrame:
@@ -50,7 +52,7 @@ def policy_rules(documents: DataFrame, key: str, column: str = "text") -> DataFr
     headings = F.regexp_extract_all("before", F.lit(HEADING), F.lit(1))
     rule = F.regexp_replace("rule", r"([^.])$", "$1.")
     found = each.select(key, "place", F.coalesce(F.try_element_at(headings, F.lit(-1)), F.lit("preamble")).alias("heading"), rule.alias("rule"), F.coalesce(F.expr("try_cast(nullif(p, '') as double)"), F.lit(DEFAULT_STRENGTH)).alias("strength"))
-    return found.withColumn("r", read_rules(F.col("rule"))).select(key, "place", "heading", "rule", "strength", F.col("r.key").alias("rule_key"), F.col("r.problem").alias("problem"))
+    return read_rules(found).select(key, "place", "heading", "rule", "strength", F.col("r.key").alias("rule_key"), F.col("r.problem").alias("problem"))
 
 
 def judged_drafts(drafts: DataFrame, known: DataFrame, source: str = "source") -> DataFrame:
@@ -64,7 +66,7 @@ def judged_drafts(drafts: DataFrame, known: DataFrame, source: str = "source") -
     cited = F.col("citation").isNotNull() & (F.trim("citation") != "")
     verified = ~cited | F.col(source).isNull() | ((anchor != "") & F.contains(F.lower(F.col(source)), anchor))
     strength = F.round(F.least(F.greatest(F.coalesce(F.col("strength").cast("double"), F.lit(DRAFT_STRENGTH)), F.lit(0.01)), F.lit(1.0)), 3)
-    read = drafts.withColumn("rule", rule).withColumn("r", read_rules(F.col("rule"))).withColumns({"rule_key": F.col("r.key"), "strength": strength, "verified": F.coalesce(verified, F.lit(False))})
+    read = read_rules(drafts.withColumn("rule", rule)).withColumns({"rule_key": F.col("r.key"), "strength": strength, "verified": F.coalesce(verified, F.lit(False))})
     old = known.select("rule_key", F.lit(True).alias("__old")).distinct()
     joined = read.join(old, "rule_key", "left")
     problem = F.coalesce(F.col("r.problem"), F.when(F.col("__old"), "already in the rule base"))

@@ -64,6 +64,11 @@ def test_pack(spark, tmp_path):
     with pytest.raises(PackError) as e:
         load_pack(str(tmp_path), "jobs")
     assert all(x in str(e.value) for x in ("feature able", "outcome fly", "can't be read"))
+    spoilt = "domain_id: posts" + PACK.replace("from: score, ", "").replace("field: senior, ", "").replace("strength: 0.9", "strength: high").replace("{name: able}", "{name: able, arity: many}, 7").replace("default_critical: false", "default_critical: false, x: 1")
+    (tmp_path / "jobs" / "pack.yaml").write_text(spoilt)
+    with pytest.raises(PackError) as e:
+        load_pack(str(tmp_path), "jobs")
+    assert all(x in str(e.value) for x in ("domain_id is posts", "lacks from", "lacks field", "strength can't be 'high'", "arity can't be 'many'", "predicates holds 7"))
 
 
 def test_cases(spark, tmp_path):
