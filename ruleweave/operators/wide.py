@@ -210,3 +210,17 @@ def check(spark, wide: Wide, outcomes: list[str], most_inputs: int = 1 << 20, va
         same |= {r.rule_id: not row[k] for k, r in enumerate(part)}
     rows = [(r.rule_id, fired[i + 1], fired[i + 1] == 0, same[r.rule_id] and fired[i + 1] > 0, fired[0]) for i, r in enumerate(wide.rules)]
     return spark.createDataFrame(rows, "rule_id string, fired long, dead boolean, redundant boolean, contradictions long")
+
+
+def check_cases(wide: Wide, found: DataFrame, cases: DataFrame, outcomes: list[str]) -> DataFrame:
+    """The rows of `check` with the cases they concern: on how many a rule fires, may fire, and how many hold two outcomes.
+
+    cases has the observables' truth columns. What the exhaustive check finds may lie where no case does, and a rule that could fire
+    may never have; one pass over the cases tells.
+    """
+    truth = wide.truth(cases.select(*wide.columns()))
+    held = [o for o in outcomes if o in wide.heads or o in wide.observables]
+    several = F.count_if(sum(((F.col(o) == 2).cast("int") for o in held), F.lit(0)) > 1).alias("__both")
+    counts = truth.agg(several, *(F.struct(F.count_if(F.col(f"fired_{r.rule_id}") == 2).alias("cases"), F.count_if(F.col(f"fired_{r.rule_id}") == 1).alias("open_cases")).alias(r.rule_id) for r in wide.rules))
+    rows = F.inline(F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"`{r.rule_id}`.cases"), F.col(f"`{r.rule_id}`.open_cases"), F.col("__both").alias("contradictory_cases")) for r in wide.rules)))
+    return found.join(counts.select(rows), "rule_id")

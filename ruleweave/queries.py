@@ -12,7 +12,7 @@ from ruleweave.functions.truth import draw, feature, first_match, posterior
 from ruleweave.operators.decisions import running_total
 from ruleweave.operators.mining import mine
 from ruleweave.operators.relational import evaluate
-from ruleweave.operators.wide import Wide, check
+from ruleweave.operators.wide import Wide, check, check_cases
 from ruleweave.sources.rule_text import parse_program
 
 #: Thresholds of the customer pack; repeated in the SQL.
@@ -181,6 +181,21 @@ def rule_base_check(spark, d):
     return check(spark, customer_pack(), ["decline", "approve"])
 
 
+@_register(
+    "select c.*, n.cases, n.open_cases, n.contradictory_cases from ("
+    + SQL["rule_base_check"]
+    + ") c join (select unnest(["
+    + ", ".join(f"{{'rule_id': '{r}', 'cases': count(*) filter ({t} = 2), 'open_cases': count(*) filter ({t} = 1), 'contradictory_cases': count(*) filter (decline = 2 and approve = 2)}}" for r, t in zip("r1 r2 r3 r4 r5".split(), "f1 f2 mitigated decline approve".split(), strict=True))
+    + "]) as n from ("
+    + _with_truth()
+    + " select * from p2)) on n.rule_id = c.rule_id"
+)
+def rule_base_check_cases(spark, d):
+    """The exhaustive check with the customers that each finding concerns."""
+    pack, outcomes = customer_pack(), ["decline", "approve"]
+    return check_cases(pack, check(spark, pack, outcomes), customers(spark, d), outcomes)
+
+
 @_register("""with s as (select distinct l_orderkey as c, l_suppkey as s from lineitem where l_returnflag = 'R')
 select c_nationkey as nation, count(*) as pairs from s join orders on c = o_orderkey join customer on o_custkey = c_custkey join supplier on s = s_suppkey and s_nationkey = c_nationkey group by 1""")
 def rule_join(spark, d):
