@@ -59,6 +59,8 @@ MARKS = (
 SUSPECT = "share sharing social related recommended search toolbar".split()
 CONTAINERS = "div section ul ol li menu details summary address figure".split()
 
+#: A tag without < in its quotes, as most are; it looks no further than the next <, so it costs a page no second reading.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>"'<]*+)(?=[\s/>])([^<>"']*+(?:(?:"[^"<]*+"|'[^'<]*+')[^<>"']*+)*+)>""")
 _SPECIAL = re.compile("[>\"']")
 _NAME_END = re.compile(r"[\s/>]")
 _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -117,6 +119,8 @@ class _Scanner:
         """(start, end, "/" of an end tag, name, attributes) of the next markup from pos on; comments have no name."""
         html, start = self.html, self.html.find("<", pos)
         while start >= 0:
+            if m := _PLAIN_TAG.match(html, start):
+                return start, m.end(), m[1], m[2], m[3]
             if html.startswith("<!--", start):
                 end = html.find("-->", start + 4)
                 return start, len(html) if end < 0 else end + 3, "", "", ""
