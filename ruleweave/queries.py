@@ -326,5 +326,6 @@ def running_cost(spark, d):
 from ruleweave import decision_queries as _more  # noqa: E402, F401  registers its queries here
 from ruleweave import governance_queries as _governance  # noqa: E402, F401
 from ruleweave import relation_queries as _relations  # noqa: E402, F401
+from ruleweave import lifecycle_queries as _lifecycle  # noqa: E402, F401
 from ruleweave import world_queries as _worlds  # noqa: E402, F401
 from ruleweave import proof_queries as _proofs  # noqa: E402, F401
