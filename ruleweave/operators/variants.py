@@ -56,7 +56,8 @@ class Trial:
         ids = [r.rule_id for r in program.rules]
         if len(set(ids)) < len(ids) or len({v.name for v in variants}) < len(variants):
             raise ValueError("rules and variants need names of their own")
-        self.relations, self.variants = relations, list(variants)
+        self.relations = relations = {s: saved(df) for s, df in relations.items()}  # read many times below
+        self.variants = list(variants)
         self.added: dict[str, Rule] = {}
         for v in variants:
             for r in v.add:
@@ -76,7 +77,12 @@ class Trial:
             [(v.name, rule_id, "") for v in variants for rule_id in sorted(v.drop)] + [(v.name, "", f"{canonical_key(r)}:{r.strength}") for v in variants for r in v.add], "variant string, dropped string, added string"
         ).distinct()
         self.touched = saved(self._touched())
-        self.changed = self._changed()
+        self._again = self._evaluated()
+        self._changes: dict[str, DataFrame | None] = {}
+
+    @property
+    def changed(self) -> dict[str, DataFrame]:
+        return {s: self._change(s) for s in sorted(self._again)}
 
     def _recursive(self) -> set[str]:
         """Signatures that depend on themselves."""
@@ -122,19 +128,19 @@ class Trial:
             parts.append(made.join(changes.select("variant", F.col("added").alias("rule")), "rule").select("variant", "case_id").distinct())
         return reduce(DataFrame.unionByName, parts).distinct()
 
-    def _changed(self) -> dict[str, DataFrame]:
+    def _laid_out(self, df: DataFrame) -> DataFrame:
+        """Rows of the touched cases, once for each pair of variant and case."""
+        pairs = self.touched.select("case_id", F.struct("variant", "case_id").alias("pair"))
+        return df.join(pairs, "case_id").select(F.col("pair").alias("case_id"), *(c for c in df.columns if c != "case_id"))
+
+    def _evaluated(self) -> dict[str, tuple[DataFrame, int]]:
+        """For each signature that hangs on a changed rule its relation over the pairs, and the truth of what it doesn't record."""
         readers: dict[str, set[str]] = {}
         for r in self.together:
             for x in r.body:
                 readers.setdefault(x.atom.signature, set()).add(r.head.signature)
         affected = _closure({r.head.signature for r in [*self.dropped.values(), *self.added.values()]}, readers)
         pair = F.struct("variant", "case_id").alias("pair")
-        pairs = self.touched.select("case_id", pair)
-
-        def laid_out(df: DataFrame) -> DataFrame:
-            columns = [c for c in df.columns if c != "case_id"]
-            return df.join(pairs, "case_id").select(F.col("pair").alias("case_id"), *columns)
-
         rules, given = [], {}
         for key, rule, has in [(r.rule_id, r, "base") for r in self.program.rules] + [(k, r, "added") for k, r in self.added.items()]:
             if rule.head.signature not in affected:
@@ -153,25 +159,25 @@ class Trial:
         for s in read:
             source = self.relations if s in affected else self.base
             if s in source:
-                given[s] = saved(laid_out(source[s].select("case_id", *_args(source[s]), "t")))
+                given[s] = saved(self._laid_out(source[s].select("case_id", *_args(source[s]), "t")))
         again = Program(rules, self.program.askable, self.program.open_world, self.touched.select(pair.alias("case_id")))
         again.heads = self.program.heads
         found = again.evaluate(given)
-        out = {}
-        for s in sorted(affected):
-            if s not in found:
-                continue
-            atom = ["case_id", *_args(found[s])]
-            after = found[s].select(*atom, F.col("t").alias("after"))
-            default = again.absent(s)
-            if s in self.base:
-                before = laid_out(self.base[s].select(*atom, F.col("t").alias("before")))
-                both = after.join(before, atom, "full")
+        return {s: (found[s], again.absent(s)) for s in affected if s in found}
+
+    def _change(self, signature: str) -> DataFrame | None:
+        """What of `changed` concerns one signature, worked out when it is first asked for; None where nothing can differ."""
+        if signature in self._again and signature not in self._changes:
+            found, default = self._again[signature]
+            atom = ["case_id", *_args(found)]
+            after = found.select(*atom, F.col("t").alias("after"))
+            if signature in self.base:
+                both = after.join(self._laid_out(self.base[signature].select(*atom, F.col("t").alias("before"))), atom, "full")
             else:
                 both = after.withColumn("before", F.lit(None).cast("int"))
             both = both.withColumns({k: F.coalesce(k, F.lit(default)) for k in ("before", "after")}).where("before <> after")
-            out[s] = saved(both.select(F.col("case_id.variant").alias("variant"), F.col("case_id.case_id").alias("case_id"), *atom[1:], "before", "after"))
-        return out
+            self._changes[signature] = saved(both.select(F.col("case_id.variant").alias("variant"), F.col("case_id.case_id").alias("case_id"), *atom[1:], "before", "after"))
+        return self._changes.get(signature)
 
     # -- what follows from it ------------------------------------------------------------------------------
 
@@ -182,7 +188,7 @@ class Trial:
         """
         names = self.touched.sparkSession.createDataFrame([(v.name,) for v in self.variants], "variant string")
         touched = self.touched.groupBy("variant").agg(F.count("*").alias("touched"))
-        parts = [self.changed[s].select("variant", "case_id", (F.col("after") == 2).alias("won"), (F.col("before") == 2).alias("lost")) for s in outcomes if s in self.changed]
+        parts = [self._change(s).select("variant", "case_id", (F.col("after") == 2).alias("won"), (F.col("before") == 2).alias("lost")) for s in outcomes if s in self._again]
         none = self.touched.select("variant", "case_id", F.lit(True).alias("won"), F.lit(True).alias("lost")).where(F.lit(False))
         by_case = reduce(DataFrame.unionByName, parts, none).groupBy("variant", "case_id").agg(F.max("won").alias("won"), F.max("lost").alias("lost"))
         counts = by_case.groupBy("variant").agg(F.count("*").alias("differs"), F.count_if("won").alias("wins"), F.count_if("lost").alias("losses"))
@@ -197,10 +203,10 @@ class Trial:
         true = self.base[goal].where("t = 2").select("case_id").distinct() if goal in self.base else self.cases.where(F.lit(False))
         names = self.touched.sparkSession.createDataFrame([(v.name,) for v in self.variants], "variant string")
         totals = self.cases.agg(F.count("*").alias("evidence")).join(true.agg(F.count("*").alias("was")))  # one row each
-        if goal in self.changed:
-            moved = self.changed[goal].select("variant", "case_id").distinct()
+        if goal in self._again:
+            moved = self._change(goal).select("variant", "case_id").distinct()
             stay = moved.join(self.base[goal].where("t = 2"), "case_id") if goal in self.base else None
-            delta = self.changed[goal]
+            delta = self._change(goal)
             atom = ["variant", "case_id", *_args(delta)]
             kept = [delta.where("after = 2").select("variant", "case_id")]
             if stay is not None:
@@ -237,19 +243,19 @@ class Trial:
     def _outcome(self, signature: str) -> DataFrame:
         """variant, case_id, was, now: the touched pairs in which some atom of an outcome is or was true."""
         none = self.touched.select("variant", "case_id", F.lit(False).alias("was"), F.lit(False).alias("now")).where(F.lit(False))
-        if signature not in self.base and signature not in self.changed:
+        if signature not in self.base and signature not in self._again:
             return none
         parts = [none]
         if signature in self.base:
             atoms = self.touched.join(self.base[signature].where("t = 2"), "case_id")
             keys = ["variant", "case_id", *_args(atoms)]
             stays = atoms.select(keys)
-            if signature in self.changed:
-                stays = stays.join(self.changed[signature].select(keys), keys, "left_anti")
+            if signature in self._again:
+                stays = stays.join(self._change(signature).select(keys), keys, "left_anti")
             parts.append(atoms.select("variant", "case_id", F.lit(True).alias("was"), F.lit(False).alias("now")))
             parts.append(stays.select("variant", "case_id", F.lit(False).alias("was"), F.lit(True).alias("now")))
-        if signature in self.changed:
-            parts.append(self.changed[signature].where("after = 2").select("variant", "case_id", F.lit(False).alias("was"), F.lit(True).alias("now")))
+        if signature in self._again:
+            parts.append(self._change(signature).where("after = 2").select("variant", "case_id", F.lit(False).alias("was"), F.lit(True).alias("now")))
         return reduce(DataFrame.unionByName, parts).groupBy("variant", "case_id").agg(F.max("was").alias("was"), F.max("now").alias("now"))
 
 
