@@ -1,4 +1,4 @@
-"""Level-wise mining of rules from labelled cases, and what becomes of the candidates."""
+"""Level-wise mining of rules from labelled cases held as bits, and what becomes of the candidates."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.plans.rules import Atom, Literal, Rule, Var, canonical_key
+from ruleweave.sources.tables import saved
 
 #: The longest body, the least support, precision and gain over the base rate, and the most proposals.
 MOST_BODY, SUPPORT, PRECISION, LIFT, MOST_PROPOSALS = 3, 20, 0.70, 0.10, 8
@@ -38,27 +41,66 @@ class Candidate:
         return Rule(Atom(head, (x,)), tuple(Literal(Atom(o, (x,)), negated) for o, negated in self.body), round(self.precision, 3), rule_id)
 
 
+def bit_words(cases: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """A row for every 64 cases with a long for each condition, in which a case's bit is set where the condition holds.
+
+    Cases are numbered in the order in which a written table is read, so a task that is run again gives the same words. A word
+    lies inside one partition and is combined before the shuffle.
+    """
+    kept = saved(cases.select(*(F.coalesce(c, F.lit(False)).alias(name) for name, c in conditions.items())))
+    bits = kept.withColumn("__n", F.monotonically_increasing_id()).select(F.shiftright("__n", 6).alias("__word"), F.expr("shiftleft(1L, cast(__n & 63 as int))").alias("__bit"), *conditions)
+    return bits.groupBy("__word").agg(*(F.bit_or(F.when(F.col(c), F.col("__bit")).otherwise(F.lit(0).cast("long"))).alias(c) for c in conditions)).drop("__word")
+
+
+def _counted(words: DataFrame, sets: np.ndarray, label: int) -> dict[int, tuple[int, int]]:
+    """Cases in which all columns of a set hold, and those of them with the label, for each row of `sets` by its number.
+
+    The sets are as many as the schema allows and travel with the task; a task ANDs the words of 4096 rows at a time, for as many
+    sets as fill some 8 MB, and sends on two sums for each set.
+    """
+
+    def part(batches):
+        sums = np.zeros((len(sets), 2), np.int64)
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
+            for start in range(0, batch.num_rows, 4096):
+                table = np.stack([c[start : start + 4096] for c in columns])
+                for first in range(0, len(sets), 256):
+                    chosen = sets[first : first + 256]
+                    both = table[chosen[:, 0]]
+                    for k in range(1, sets.shape[1]):
+                        both &= table[chosen[:, k]]
+                    sums[first : first + 256, 0] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+                    sums[first : first + 256, 1] += np.bitwise_count(both & table[label]).sum(axis=1, dtype=np.int64)
+        found = np.flatnonzero(sums[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found, 0]), pa.array(sums[found, 1])], ["id", "support", "hits"])
+
+    counts = words.mapInArrow(part, "id long, support long, hits long").groupBy("id").agg(F.sum("support").alias("support"), F.sum("hits").alias("hits"))
+    return {r.id: (r.support, r.hits) for r in counts.collect()}  # a row for each set
+
+
 def candidates(cases: DataFrame, observables: list[str], label: str, most_body: int = MOST_BODY, support: int = SUPPORT, precision: float = PRECISION, lift: float = LIFT) -> list[Candidate]:
     """Literal sets that hold often and predict the label; by precision, then support, then length.
 
-    An observable counts if it is true in some cases but not in all. Unknown observables make neither literal hold. Each
-    level only counts extensions of the last level's frequent sets, in one aggregation over the cases: the sets are as
-    many as the schema allows, the cases are read where they lie and combined before the shuffle.
+    An observable counts if it is true in some cases but not in all. Unknown observables make neither literal hold, and a null
+    label is none. The cases are read once and kept as bits, 64 cases a word; each level is one job over the words that only counts
+    extensions of the last level's frequent sets.
     """
-    total, hit, *true = cases.agg(F.count("*"), F.count_if(F.col(label)), *(F.count_if(F.col(o) == 2) for o in observables)).first()
-    usable = sorted(o for o, n in zip(observables, true, strict=True) if 0 < n < total)
-    literals = [(o, negated) for o in usable for negated in (False, True)]
-    level: list[tuple] = [(x,) for x in literals]
+    literals = [(o, negated) for o in sorted(observables) for negated in (False, True)]
+    conditions = {f"c{i}": F.col(o) == (0 if negated else 2) for i, (o, negated) in enumerate(literals)}
+    words = saved(bit_words(cases, conditions | {"label": F.col(label), "case": F.lit(True)}))
+    last = len(literals)
+    bits = words.agg(*(F.sum(F.bit_count(c)) for c in ("case", "label", *(f"c{i}" for i in range(0, last, 2))))).first()
+    total, hit, *true = (n or 0 for n in bits)
+    usable = [i for i in range(last) if 0 < true[i // 2] < total]
+    level = [(i,) for i in usable]
     found: list[Candidate] = []
     while level and len(level[0]) <= most_body:
-        frequent = []
-        for start in range(0, len(level), 500):  # a plan of bounded size
-            part = level[start : start + 500]
-            sums = [c for b in part for hold in [Candidate(b, 0, 0).holds()] for c in (F.count_if(hold), F.count_if(hold & F.col(label)))]
-            row = cases.agg(*sums).first()
-            frequent += [Candidate(b, row[2 * i], row[2 * i + 1]) for i, b in enumerate(part) if row[2 * i] >= support]
-        found += [c for c in frequent if c.precision >= precision and c.precision - hit / total >= lift]
-        level = [(*c.body, x) for c in frequent for x in literals[literals.index(c.body[-1]) + 1 :] if x[0] != c.body[-1][0]]
+        counts = _counted(words, np.array(level), last)
+        frequent = [(b, *counts[i]) for i, b in enumerate(level) if i in counts and counts[i][0] >= support]
+        made = [Candidate(tuple(literals[i] for i in b), n, hits) for b, n, hits in frequent]
+        found += [c for c in made if c.precision >= precision and c.precision - hit / total >= lift]
+        level = [(*b, i) for b, *_ in frequent for i in usable if i > b[-1] and i // 2 != b[-1] // 2]
     return sorted(found, key=lambda c: (-c.precision, -c.support, len(c.body)))
 
 
