@@ -330,3 +330,4 @@ from ruleweave import lifecycle_queries as _lifecycle  # noqa: E402, F401
 from ruleweave import world_queries as _worlds  # noqa: E402, F401
 from ruleweave import proof_queries as _proofs  # noqa: E402, F401
 from ruleweave import variant_queries as _variants  # noqa: E402, F401
+from ruleweave import waiting_queries as _waiting  # noqa: E402, F401
