@@ -14,8 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -47,9 +46,9 @@ class Waiting(StatefulProcessor):
         self._place = handle.getValueState("place", "status string, sampled boolean")
         self._early = handle.getListState("early", "seq long, kind string, flag boolean, sampled boolean, actor string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         order = lambda m: tuple((x is not None, x) for x in (m[0], m[1], m[4], m[2]))
-        fresh = sorted((_message(r) for part in rows for r in part[["seq", "kind", "flag", "sampled", "actor"]].itertuples(index=False)), key=order)
+        fresh = sorted(((r.seq, r.kind, r.flag, r.sampled, r.actor) for r in rows), key=order)
         status, sampled = self._place.get() if self._place.exists() else (None, False)
         asked = next((i for i, m in enumerate(fresh) if m[1] == "asked"), None)
         if status is None and asked is None:
@@ -59,29 +58,22 @@ class Waiting(StatefulProcessor):
             kept = [tuple(m) for m in self._early.get()] if self._early.exists() else []
             self._early.clear()
             fresh = [fresh[asked], *sorted(kept, key=order), *fresh[:asked], *fresh[asked + 1 :]]
-        out = []
         for seq, kind, flag, drawn, actor in fresh:
             found = next_status(status, sampled, kind, bool(flag))
             if found != REFUSED:
                 status = found
                 sampled = bool(drawn) and status == SETTLED if kind == "asked" else sampled
-            out.append((key[0], seq, kind, found, sampled, actor))
+            yield Row(case_id=key[0], seq=seq, kind=kind, status=found, sampled=sampled, actor=actor)
         self._place.update((status, sampled))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEPS.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def _message(row) -> tuple:
-    seq, kind, flag, sampled, actor = (None if pd.isna(x) else x for x in row)
-    return (None if seq is None else int(seq), kind, None if flag is None else bool(flag), None if sampled is None else bool(sampled), actor)
-
-
 def steps(messages: DataFrame) -> DataFrame:
     """case_id, seq, kind, status, sampled, actor: what each message of the stream did to its case."""
     typed = messages.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in MESSAGES.split(", "))).where("case_id is not null")
-    return typed.groupBy("case_id").transformWithStateInPandas(Waiting(), STEPS, "append", "none")
+    return typed.groupBy("case_id").transformWithState(Waiting(), STEPS, "append", "none")
 
 
 def start_waiting(messages: DataFrame, log_path: str, checkpoint: str):
