@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ruleweave.functions.truth import draw, feature, first_match, posterior
 from ruleweave.operators.decisions import running_total
-from ruleweave.operators.mining import mine
+from ruleweave.operators.mining import candidates, examples, mine
 from ruleweave.operators.relational import evaluate
 from ruleweave.operators.wide import Wide, check, check_cases
 from ruleweave.sources.rule_text import parse_program
@@ -311,6 +311,23 @@ def mined_rules_unsubsumed(spark, d):
     return mine(_mining_cases(spark, d), OBSERVABLES, "rich", pruned=True, precision=0.5, lift=0.02).withColumn("precision", F.round("precision", 6))
 
 
+def _literal_rows() -> str:
+    return " union all ".join(f"select c_custkey, '{name}{o}' as lit, c_acctbal > 5000 as rich from feats where {o} = {t}" for o in OBSERVABLES for name, t in (("", 2), ("not ", 0)))
+
+
+@_register(
+    _mine_ctes()
+    + f""", lit as ({_literal_rows()}),
+b as (select array_to_string(lits, ', ') as body, unnest(lits) as lit, len(lits) as k from r where place <= 3),
+h as (select body, c_custkey, bool_or(rich) as rich from b join lit using (lit) group by body, c_custkey, k having count(*) = k)
+select body, c_custkey, coalesce(rich, false) as example from h qualify row_number() over (partition by body, coalesce(rich, false) order by c_custkey) <= 5"""
+)
+def mined_examples(spark, d):
+    """Of the three best mined bodies the first five customers that speak for each, and the first five against it."""
+    cases = _mining_cases(spark, d)
+    return examples(cases, "c_custkey", "rich", candidates(cases, OBSERVABLES, "rich", precision=0.5, lift=0.02)[:3])
+
+
 @_register(_with_truth() + " select c_mktsegment, round(avg((decline = 2)::int), 6) as decline_rate, count(*) as cases from p2 group by 1")
 def subgroup_disparity(spark, d):
     t = customer_pack().truth(customers(spark, d))
