@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_relational import plain, relation
 from test_worlds import BASE, CONSTANTS, random_case, random_rules
 
@@ -99,3 +100,23 @@ def test_nothing_and_mistakes(spark):
         Trial(Program(rules), facts, [Variant("v", frozenset({"zz"}))])
     with pytest.raises(ValueError, match="names of their own"):
         Trial(Program(rules), facts, [Variant("v"), Variant("v")])
+
+
+def test_open_world(spark):
+    rnd = random.Random(11)
+    rules, added = parse_program(RECURSIVE)[0], parse_program(ADDED)[0]
+    facts = tables(spark, {c: random_case(rnd) for c in range(6)})
+    variants = [*without_each(rules[:2]), *with_each(added[1:3])]
+    trial = Trial(Program(rules, open_world=True), facts, variants)
+
+    def whole(of):
+        program = Program(of, open_world=True, cases=trial.cases)
+        program.heads |= {r.head.signature for r in [*rules, *added]}
+        return {(r[0], s, *tuple(r)[1:-1]): r.t for s, df in program.evaluate(facts).items() if s not in facts for r in df.collect()}
+
+    base, default = whole(rules), 0  # every predicate that differs is concluded
+    for v in variants:
+        now = whole(by_definition(rules, v))
+        want = {k: (base.get(k, default), now.get(k, default)) for k in base.keys() | now.keys() if base.get(k, default) != now.get(k, default)}
+        got = {(r.case_id, s, *tuple(r)[2:-2]): (r.before, r.after) for s, df in trial.changed.items() for r in df.where(F.col("variant") == v.name).collect()}
+        assert got == want
