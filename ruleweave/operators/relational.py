@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from ruleweave.functions.truth import noisy_or_of
 from ruleweave.plans.rules import Atom, Literal, Rule, Var, strata
-from ruleweave.sources.tables import saved
+from ruleweave.sources.tables import case_parts, saved
 
 
 #: Scans of the given relations that the plan of a derived one may hold; beyond it, one with several readers is written once.
 MOST_SCANS = 16
+#: What tells instances of rules apart.
+_INSTANCE = ["case_id", "head", "rule_id", "premises"]
 
 
 class Program:
@@ -80,7 +82,7 @@ class Program:
                 for v in names:
                     column.setdefault(v, f"v{len(column)}")
                 leg = _leg(relation, x.atom, column, f"__{i}")
-                df = leg if df is None else df.join(leg, keys, "left" if outer else "inner")
+                df = leg if df is None else df.join(leg.hint("merge"), keys, "left" if outer else "inner")
                 if outer:
                     df = df.withColumn(f"__{i}", F.coalesce(f"__{i}", F.lit(default)))
             if x.negated:
@@ -97,6 +99,16 @@ class Program:
 
         t is 2 for supports and 1 for blocked instances. premises are structs of atom, negated and t, positive ones first.
         """
+        parts = self._supports_by_rule(relations)
+        all_ = reduce(DataFrame.unionByName, parts)
+        return all_ if len({r.rule_id for r in self.rules}) == len(parts) else all_.dropDuplicates(_INSTANCE)
+
+    def saved_supports(self, relations: dict[str, DataFrame], least: int = 1) -> DataFrame:
+        """supports of at least that truth, saved rule by rule."""
+        found = saved(*(x.where(F.col("t") >= least) for x in self._supports_by_rule(relations)))
+        return found if len({r.rule_id for r in self.rules}) == len(self.rules) else found.dropDuplicates(_INSTANCE)
+
+    def _supports_by_rule(self, relations: dict[str, DataFrame]) -> list[DataFrame]:
         parts = []
         for rule in self.rules:
             found, column = self.bindings(rule, relations)
@@ -104,8 +116,8 @@ class Program:
             premises = [
                 F.struct(_text(x.atom, column).alias("atom"), F.lit(x.negated).alias("negated"), F.col(f"__{i}").cast("int").alias("t")) for i, x in enumerate(body)
             ]
-            parts.append(found.select("case_id", _text(rule.head, column).alias("head"), F.lit(rule.rule_id).alias("rule_id"), F.lit(float(rule.strength)).alias("strength"), "t", F.array(*premises).alias("premises")))
-        return reduce(DataFrame.unionByName, parts).dropDuplicates(["case_id", "head", "rule_id", "premises"])
+            parts.append(found.select("case_id", _text(rule.head, column).alias("head"), F.lit(rule.rule_id).alias("rule_id"), F.lit(float(rule.strength)).alias("strength"), "t", F.array(*premises).alias("premises")).dropDuplicates(_INSTANCE))
+        return parts
 
     # -- all rules -----------------------------------------------------------------------------------------
 
@@ -212,9 +224,11 @@ class Program:
             found, column = self.bindings(rule, relations)
             df, p = found.where("t = 2"), F.lit(float(rule.strength))
             for i, x in enumerate(y for y in rule.body if not y.negated):
+                if x.atom.signature in relations and x.atom.signature not in self.heads and "p" not in relations[x.atom.signature].columns:
+                    continue  # recorded and true, so its probability is 1
                 if x.atom.signature in known:
                     names = sorted(x.atom.variables())
-                    df = df.join(_leg(known[x.atom.signature], x.atom, column, f"__p{i}", "p"), ["case_id", *(column[v] for v in names)], "left")
+                    df = df.join(_leg(known[x.atom.signature], x.atom, column, f"__p{i}", "p").hint("merge"), ["case_id", *(column[v] for v in names)], "left")
                     p = p * F.coalesce(f"__p{i}", F.lit(0.0))
                 else:
                     p = F.lit(0.0)
@@ -257,8 +271,12 @@ def atom_text(signature: str, columns: list[str]) -> Column:
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
+    """Each atom once; parts of several rules are merged one by one first, and come together by their cases."""
     keys = [c for c in parts[0].columns if c != "t"]
-    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.max("t").alias("t"))
+    best = lambda df: df.groupBy(*keys).agg(F.max("t").alias("t"))
+    if len(parts) == 1:
+        return best(parts[0])
+    return best(reduce(DataFrame.unionByName, map(best, parts)).repartition(case_parts(parts[0].sparkSession), "case_id"))
 
 
 def evaluate(rules: list[Rule], relations: dict[str, DataFrame], askable: set[str] = frozenset(), most_rounds: int = 200, open_world: bool = False) -> dict[str, DataFrame]:

@@ -27,18 +27,21 @@ from ruleweave.sources.tables import saved
 _WORLD = Var("W__")
 #: Worlds are numbered by their bits; the number of the atom that is turned over comes above them.
 _TURNED = 1 << 32
+#: Rounds of a walk whose atoms are kept apart before they are put into one table.
+MOST_APART = 6
 
 
 def cone(supports: DataFrame, starts: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """case_id, atom: the starts and all atoms below them in the rule instances, each once."""
-    edges = saved(supports.select("case_id", F.col("head").alias("atom"), F.explode("premises.atom").alias("below")).distinct())
-    reached = delta = saved(starts.select("case_id", "atom").distinct())
+    """case_id, atom: the starts and all atoms below them in the rule instances, each once. supports are read in each round."""
+    ways = supports.select("case_id", F.col("head").alias("atom"), F.col("premises.atom").alias("below")).hint("merge")
+    reached = [saved(starts.select("case_id", "atom").distinct())]
+    delta = reached[0]
     for _ in range(most_rounds):
-        step = delta.join(edges, ["case_id", "atom"]).select("case_id", F.col("below").alias("atom")).distinct()
-        delta = saved(step.join(reached, ["case_id", "atom"], "left_anti"))
+        step = delta.join(ways, ["case_id", "atom"]).select("case_id", F.explode("below").alias("atom")).distinct()
+        delta = saved(reduce(lambda df, r: df.join(r.hint("merge"), ["case_id", "atom"], "left_anti"), reached, step))
         if delta.isEmpty():
-            return reached
-        reached = saved(reached.unionByName(delta))
+            return saved(*reached)
+        reached = [*reached, delta] if len(reached) < MOST_APART else [saved(*reached, delta)]
     raise RuntimeError(f"not walked within {most_rounds} rounds")
 
 
@@ -62,8 +65,7 @@ class Worlds:
         """case_id, atom below the goals, through instances of at least that truth."""
         if not self.program.rules:
             return self.goals.select("case_id", atom_text(self.goal, self.args).alias("atom"))
-        found = saved(self.program.supports(self.now).where(F.col("t") >= least))
-        return cone(found, self.goals.select("case_id", atom_text(self.goal, self.args).alias("atom")))
+        return cone(self.program.saved_supports(self.now, least), self.goals.select("case_id", atom_text(self.goal, self.args).alias("atom")))
 
     def _texts(self, signature: str, columns: list[str], where: str) -> DataFrame:
         """case_id, signature, atom, and those columns, of a relation's rows."""

@@ -9,6 +9,7 @@ from ruleweave.operators.relational import Program
 from ruleweave.operators.worlds import Worlds, answers
 from ruleweave.queries import _register, _t
 from ruleweave.sources.rule_text import parse_program
+from ruleweave.sources.tables import by_case
 
 ORDER_RULES = """
 rule w1 [p=0.8] risky(L) <- line(L, S), returned(L), not trusted(S).
@@ -28,7 +29,8 @@ def order_facts(spark, d) -> dict[str, DataFrame]:
 
     Lines that are neither returned nor accepted are open, as are suppliers with debts.
     """
-    items = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("l"), F.col("l_suppkey").alias("s"), "l_returnflag")
+    lines = _t(spark, d, "lineitem")
+    items = by_case(lines.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("l"), F.col("l_suppkey").alias("s"), "l_returnflag"), lines.count())
     flag = F.max(F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "N", 1).otherwise(0)).alias("t")
     balance = F.when(F.col("s_acctbal") > 4000, 2).when(F.col("s_acctbal") < 0, 1).otherwise(0).alias("t")
     return {
