@@ -5,9 +5,9 @@ a variant can only differ where one of its changed rules has an instance over th
 if every atom that a dropped rule supports keeps as good a support, and every atom that an added rule concludes is as true
 already. The support that remains only counts for atoms that cannot support themselves.
 
-The cases that are left are evaluated again, each pair of variant and case as a case of its own and all of them in one
-plan: a changed rule has a premise that holds in the pairs whose variant has it. Only what depends on a changed rule is derived
-again; other derived relations are read as they are.
+The cases that are left are evaluated again, all variants in one plan: the variant becomes one more term of the predicates that
+depend on a changed rule, and a changed rule has a premise that holds in the pairs of case and variant that have it. What
+depends on no changed rule is read as it is, once for all variants.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.operators.relational import Program, _args
-from ruleweave.plans.rules import Atom, Literal, Rule, canonical_key, strata
+from ruleweave.plans.rules import Atom, Literal, Rule, Var, canonical_key, strata
 from ruleweave.sources.tables import saved
 
+_VARIANT = Var("V__")
 
 @dataclass(frozen=True)
 class Variant:
@@ -91,13 +92,10 @@ class Trial:
             needs.setdefault(r.head.signature, set()).update(x.atom.signature for x in r.body)
         return {s for s in needs if s in _closure({s}, needs, first=False)}
 
-    def _instances(self, rules: dict[str, Rule], signature: str) -> DataFrame | None:
-        """case_id, a0, ..., rule, t: the best instance of each rule for each atom of a signature."""
+    def _instances(self, rules: dict[str, Rule], signature: str) -> DataFrame:
+        """case_id, a0, ..., rule, t: the best instance of each rule for each atom of a signature, saved rule by rule."""
         parts = [self.program._heads(r, self.base).withColumn("rule", F.lit(k)) for k, r in rules.items() if r.head.signature == signature]
-        if not parts:
-            return None
-        df = reduce(DataFrame.unionByName, parts)
-        return df.groupBy("case_id", *_args(df), "rule").agg(F.max("t").alias("t"))
+        return saved(*(df.groupBy("case_id", *_args(df), "rule").agg(F.max("t").alias("t")) for df in parts))
 
     def _touched(self) -> DataFrame:
         """variant, case_id of the pairs in which a variant may differ from the base."""
@@ -113,7 +111,7 @@ class Trial:
             atom = ["case_id", *_args(lost)]
             wanted = pairs.groupBy("variant", *atom).agg(F.max("t").alias("lost"))
             # a support that stays is another rule's, by a rule that the variant doesn't drop, or a recorded fact
-            every = saved(self._instances({r.rule_id: r for r in self.program.rules}, s).join(lost.select(atom).distinct(), atom, "left_semi"))
+            every = self._instances({r.rule_id: r for r in self.program.rules}, s).join(lost.select(atom).distinct().hint("merge"), atom, "left_semi")
             gone = changes.where("dropped <> ''").select("variant", F.col("dropped").alias("rule"))
             stays = wanted.select("variant", *atom).join(every, atom).join(gone, ["variant", "rule"], "left_anti").select("variant", *atom, "t")
             if s in self.relations:
@@ -129,9 +127,8 @@ class Trial:
         return reduce(DataFrame.unionByName, parts).distinct()
 
     def _laid_out(self, df: DataFrame) -> DataFrame:
-        """Rows of the touched cases, once for each pair of variant and case."""
-        pairs = self.touched.select("case_id", F.struct("variant", "case_id").alias("pair"))
-        return df.join(pairs, "case_id").select(F.col("pair").alias("case_id"), *(c for c in df.columns if c != "case_id"))
+        """Rows of the touched cases, once for each variant."""
+        return df.join(self.touched.hint("merge"), "case_id")
 
     def _evaluated(self) -> dict[str, tuple[DataFrame, int]]:
         """For each signature that hangs on a changed rule its relation over the pairs, and the truth of what it doesn't record."""
@@ -140,43 +137,50 @@ class Trial:
             for x in r.body:
                 readers.setdefault(x.atom.signature, set()).add(r.head.signature)
         affected = _closure({r.head.signature for r in [*self.dropped.values(), *self.added.values()]}, readers)
-        pair = F.struct("variant", "case_id").alias("pair")
-        rules, given = [], {}
+        moved = lambda a: Atom(f"{a.predicate}__v", (_VARIANT, *a.terms)) if a.signature in affected else a
+        rules, given, read = [], {}, set(affected)
+        every = Atom("__touched", (_VARIANT,))
+        given[every.signature] = self.touched.select("case_id", F.col("variant").alias("a0"), F.lit(2).alias("t"))
         for key, rule, has in [(r.rule_id, r, "base") for r in self.program.rules] + [(k, r, "added") for k, r in self.added.items()]:
             if rule.head.signature not in affected:
                 continue
+            read |= {x.atom.signature for x in rule.body}
+            body = [Literal(moved(x.atom), x.negated) for x in rule.body]
             if has == "base" and key not in self.dropped:
-                rules.append(rule)
+                rules.append(Rule(moved(rule.head), (Literal(every), *body), rule.strength, rule.rule_id))
                 continue
-            guard = Atom(f"__has_{len(given)}")
+            guard = Atom(f"__has_{len(given)}", (_VARIANT,))
             on = self._of_variant.where(F.col("dropped" if has == "base" else "added") == key).select("variant").distinct()
             held = self.touched.join(on, "variant", "left_anti" if has == "base" else "left_semi")
-            given[guard.signature] = held.select(pair.alias("case_id"), F.lit(2).alias("t"))
-            rules.append(Rule(rule.head, (Literal(guard), *rule.body), rule.strength, rule.rule_id))
+            given[guard.signature] = held.select("case_id", F.col("variant").alias("a0"), F.lit(2).alias("t"))
+            rules.append(Rule(moved(rule.head), (Literal(guard), *body), rule.strength, rule.rule_id))
         if not rules:
             return {}
-        read = {x.atom.signature for r in rules for x in r.body} | affected
-        for s in read:
-            source = self.relations if s in affected else self.base
-            if s in source:
-                given[s] = saved(self._laid_out(source[s].select("case_id", *_args(source[s]), "t")))
-        again = Program(rules, self.program.askable, self.program.open_world, self.touched.select(pair.alias("case_id")))
-        again.heads = self.program.heads
+        for s in sorted(read):
+            if s not in affected and s in self.base:
+                given[s] = self.base[s].select("case_id", *_args(self.base[s]), "t")
+            elif s in affected and s in self.relations:
+                r = self._laid_out(self.relations[s])
+                given[_moved(s)] = r.select("case_id", F.col("variant").alias("a0"), *(F.col(a).alias(f"a{i + 1}") for i, a in enumerate(_args(self.relations[s]))), "t")
+        name = lambda s: _moved(s) if s in affected else s
+        again = Program(rules, {name(s) for s in self.program.askable}, self.program.open_world, self.cases)
+        again.heads = {name(s) for s in self.program.heads}
         found = again.evaluate(given)
-        return {s: (found[s], again.absent(s)) for s in affected if s in found}
+        return {s: (_back(found[_moved(s)]), again.absent(_moved(s))) for s in affected if _moved(s) in found}
 
     def _change(self, signature: str) -> DataFrame | None:
         """What of `changed` concerns one signature, worked out when it is first asked for; None where nothing can differ."""
         if signature in self._again and signature not in self._changes:
             found, default = self._again[signature]
-            atom = ["case_id", *_args(found)]
+            atom = ["variant", "case_id", *_args(found)]
             after = found.select(*atom, F.col("t").alias("after"))
             if signature in self.base:
-                both = after.join(self._laid_out(self.base[signature].select(*atom, F.col("t").alias("before"))), atom, "full")
+                before = self._laid_out(self.base[signature].select(*atom[1:], F.col("t").alias("before")))
+                both = after.join(before.hint("merge"), atom, "left").unionByName(before.join(after.hint("merge"), atom, "left_anti").withColumn("after", F.lit(None).cast("int")))
             else:
                 both = after.withColumn("before", F.lit(None).cast("int"))
             both = both.withColumns({k: F.coalesce(k, F.lit(default)) for k in ("before", "after")}).where("before <> after")
-            self._changes[signature] = saved(both.select(F.col("case_id.variant").alias("variant"), F.col("case_id.case_id").alias("case_id"), *atom[1:], "before", "after"))
+            self._changes[signature] = saved(both.select(*atom, "before", "after"))
         return self._changes.get(signature)
 
     # -- what follows from it ------------------------------------------------------------------------------
@@ -259,6 +263,16 @@ class Trial:
         return reduce(DataFrame.unionByName, parts).groupBy("variant", "case_id").agg(F.max("was").alias("was"), F.max("now").alias("now"))
 
 
+def _moved(signature: str) -> str:
+    name, n = signature.split("/")
+    return f"{name}__v/{int(n) + 1}"
+
+
+def _back(relation: DataFrame) -> DataFrame:
+    """A relation with the variant as its first term, with a column for it."""
+    return relation.select(F.col("a0").alias("variant"), "case_id", *(F.col(f"a{i + 1}").alias(f"a{i}") for i in range(len(_args(relation)) - 1)), "t")
+
+
 def _closure(start: set[str], after: dict[str, set[str]], first: bool = True) -> set[str]:
     """What is reached from start along after, with start itself or only where it is reached again."""
     found = set(start) if first else set()
