@@ -24,9 +24,9 @@ def instances(supports: DataFrame) -> DataFrame:
 def proof_graph(supports: DataFrame, goals: DataFrame) -> DataFrame:
     """case_id, head, rule_id, premise, negated, derived: the premises of all instances below the goals (case_id, goal), each once.
 
-    derived tells whether an instance concludes the premise.
+    derived tells whether an instance concludes the premise. supports are read several times: give saved ones.
     """
-    held = saved(instances(supports))
+    held = instances(supports)
     below = cone(held, goals.select("case_id", F.col("goal").alias("atom")))
     heads = held.select("case_id", F.col("head").alias("premise"), F.lit(True).alias("derived")).distinct()
     edges = held.join(below.withColumnRenamed("atom", "head"), ["case_id", "head"], "left_semi").select("case_id", "head", "rule_id", F.explode("premises").alias("x")).select("case_id", "head", "rule_id", F.col("x.atom").alias("premise"), F.col("x.negated").alias("negated")).distinct()
