@@ -30,7 +30,7 @@ def _strings(relation: DataFrame) -> DataFrame:
 def constants(relations: dict[str, DataFrame]) -> DataFrame:
     """case_id, c: what the facts of each case name."""
     parts = [r.select("case_id", F.explode(F.array(*(c for c in r.columns if c[0] == "a"))).alias("c")) for r in relations.values() if "a0" in r.columns]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return saved(*(p.distinct() for p in parts)).distinct()
 
 
 def _candidates(rule: Rule, left_out: tuple[int, ...], now: dict[str, DataFrame], named: DataFrame, least: DataFrame) -> DataFrame | None:
@@ -47,7 +47,7 @@ def _candidates(rule: Rule, left_out: tuple[int, ...], now: dict[str, DataFrame]
         for v in sorted(x.atom.variables()):
             column.setdefault(v, f"v{len(column)}")
         leg = _leg(now[x.atom.signature].where("t = 0" if x.negated else "t = 2"), x.atom, column, "__t").drop("__t")
-        df = leg if df is None else df.join(leg, ["case_id", *shared])
+        df = leg if df is None else df.join(leg.hint("merge"), ["case_id", *shared])
         later = wanted.union(*(y.atom.variables() for y in kept[k + 1 :]))
         for v in [v for v in column if v not in later]:
             df = df.drop(column.pop(v))
@@ -55,11 +55,11 @@ def _candidates(rule: Rule, left_out: tuple[int, ...], now: dict[str, DataFrame]
     for v in sorted(wanted - column.keys()):
         column[v] = f"v{len(column)}_"
         source = named if v in rule.head.variables() else least
-        df = df.join(source.select("case_id", F.col("c").alias(column[v])), "case_id")
+        df = df.join(source.select("case_id", F.col("c").alias(column[v])).hint("merge"), "case_id")
     if rule.head.signature in now:
         keys = [f"h{i}" for i in range(len(rule.head.terms))]
         held = now[rule.head.signature].where("t = 2").select("case_id", *(F.col(f"a{i}").alias(k) for i, k in enumerate(keys)))
-        df = df.withColumns({k: _value(t, column).cast("string") for k, t in zip(keys, rule.head.terms, strict=True)}).join(held, ["case_id", *keys], "left_anti")
+        df = df.withColumns({k: _value(t, column).cast("string") for k, t in zip(keys, rule.head.terms, strict=True)}).join(held.hint("merge"), ["case_id", *keys], "left_anti")
     texts = [F.concat(F.lit("not " if x.negated else ""), _text(x.atom, column)) for x in missing]
     return df.select("case_id", F.lit(rule.rule_id).alias("rule_id"), _text(rule.head, column).alias("head"), F.array(*texts).alias("missing"), F.lit(len(kept)).alias("satisfied"))
 
@@ -80,10 +80,11 @@ def near_misses(rules: list[Rule], relations: dict[str, DataFrame], derived: dic
         parts = [p for p in parts if p is not None]
         if not parts:
             continue
-        level = reduce(DataFrame.unionByName, parts)
         if found is not None:
-            level = level.join(found.select("case_id", "rule_id"), ["case_id", "rule_id"], "left_anti")
-        best = level.groupBy("case_id", "rule_id").agg(F.min(F.struct("head", "missing", "satisfied")).alias("x"))
+            near = saved(found.select("case_id", "rule_id")).hint("merge")
+            parts = [p.join(near, ["case_id", "rule_id"], "left_anti") for p in parts]
+        nearest = lambda df, x: df.groupBy("case_id", "rule_id").agg(F.min(x).alias("x"))
+        best = nearest(saved(*(nearest(p, F.struct("head", "missing", "satisfied")) for p in parts)), "x")  # each way's nearest first
         level = saved(best.select("case_id", "rule_id", "x.head", "x.missing", "x.satisfied", F.lit(distance).alias("distance")))
         found = level if found is None else found.unionByName(level)
     if found is None:
