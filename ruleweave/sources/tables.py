@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new folder's path in the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return path
 
 
@@ -69,9 +69,9 @@ def saved(df: DataFrame, *more: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
-        spark.sql(f"drop table if exists {path.rsplit('/', 1)[1].replace('-', '_')}")
+        spark.sql(f"drop table if exists `{path.rsplit('/', 1)[1].replace('-', '_')}`")
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
