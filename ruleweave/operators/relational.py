@@ -35,6 +35,7 @@ class Program:
         self.rules, self.askable, self.open_world, self._cases = rules, frozenset(askable), open_world, cases
         self.heads = {r.head.signature for r in rules}
         self.scans: dict[str, int] = {}
+        self.recorded: set[str] | None = None  # heads with recorded atoms, once evaluated
         self.readers = Counter(x.atom.signature for r in rules for x in r.body)
 
     def cases(self, relations: dict[str, DataFrame]) -> DataFrame:
@@ -53,8 +54,11 @@ class Program:
 
     # -- one rule ----------------------------------------------------------------------------------------
 
-    def bindings(self, rule: Rule, relations: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, str]]:
-        """Instances that aren't false: case_id, a column for each variable, t, and t of premise i as __i; and the variables' columns."""
+    def bindings(self, rule: Rule, relations: dict[str, DataFrame], carried: set[str] = frozenset()) -> tuple[DataFrame, dict[str, str]]:
+        """Instances that aren't false: case_id, a column for each variable, t, and t of premise i as __i; and the variables' columns.
+
+        p of a positive premise i comes along as __pi where its signature is carried.
+        """
         column: dict[str, str] = {}
         premises = [x for x in rule.body if not x.negated] + [x for x in rule.body if x.negated]
         df = None
@@ -81,7 +85,8 @@ class Program:
                 keys = ["case_id", *(column[v] for v in names if v in column)]
                 for v in names:
                     column.setdefault(v, f"v{len(column)}")
-                leg = _leg(relation, x.atom, column, f"__{i}")
+                more = {f"__p{i}": "p"} if x.atom.signature in carried and not x.negated else {}
+                leg = _leg(relation, x.atom, column, f"__{i}", more=more)
                 df = leg if df is None else df.join(leg.hint("merge"), keys, "left" if outer else "inner")
                 if outer:
                     df = df.withColumn(f"__{i}", F.coalesce(f"__{i}", F.lit(default)))
@@ -124,6 +129,7 @@ class Program:
     def evaluate(self, relations: dict[str, DataFrame], most_rounds: int = 200) -> dict[str, DataFrame]:
         """All relations with the derived ones added to what is recorded of them; a stratum without recursion is one pass."""
         relations = dict(relations)
+        self.recorded = self.heads & relations.keys()
         for stratum in strata(self.rules):
             todo = list(stratum)
             while todo:
@@ -190,6 +196,7 @@ class Program:
         """
         out: dict[str, DataFrame] = {}
         scans: dict[str, int] = {}
+        finished: set[str] = set()
         for s, r in relations.items():
             if s not in self.heads:
                 p = F.coalesce(F.col("p").cast("double"), F.lit(1.0)) if "p" in r.columns else F.lit(1.0)
@@ -201,7 +208,7 @@ class Program:
                 ready = [s for s in sorted(waiting) if not any(x.atom.signature in waiting for r in todo if r.head.signature == s for x in r.body)]
                 group = [r for r in todo if r.head.signature in ready] if ready else todo
                 for k in range(1 if ready else most_rounds):
-                    made = {s: self._probability([r for r in group if r.head.signature == s], relations, out) for s in {r.head.signature for r in group}}
+                    made = {s: self._probability([r for r in group if r.head.signature == s], relations, out, finished) for s in {r.head.signature for r in group}}
                     if not ready:
                         made = {s: saved(d) for s, d in made.items()}
                         if k and not any(self._moved(out[s], d, tolerance) for s, d in made.items()):
@@ -209,6 +216,7 @@ class Program:
                     else:
                         made = {s: self._shared(s, d, scans, lambda x: self.scans.get(x, 1) + scans.get(x, 1)) for s, d in made.items()}
                     out |= made
+                finished |= {r.head.signature for r in group}
                 todo = [r for r in todo if r not in group]
         return out
 
@@ -218,12 +226,18 @@ class Program:
         both = new.join(old.withColumnRenamed("p", "__p"), keys, "left")
         return not both.where(F.abs(F.col("p") - F.coalesce("__p", F.lit(0.0))) > tolerance).isEmpty()
 
-    def _probability(self, rules: list[Rule], relations: dict[str, DataFrame], known: dict[str, DataFrame]) -> DataFrame:
+    def _probability(self, rules: list[Rule], relations: dict[str, DataFrame], known: dict[str, DataFrame], finished: set[str]) -> DataFrame:
         parts = []
         for rule in rules:
-            found, column = self.bindings(rule, relations)
+            # A finished head's table of probabilities has its true atoms, so it stands for the head itself, which would hold the plan again.
+            used, denied = ({x.atom.signature for x in rule.body if x.negated == side} for side in (False, True))
+            carried = (used & finished & known.keys() & self.heads) - denied - (self.heads if self.recorded is None else self.recorded)
+            found, column = self.bindings(rule, relations | {s: known[s].withColumn("t", F.lit(2)) for s in carried}, carried)
             df, p = found.where("t = 2"), F.lit(float(rule.strength))
             for i, x in enumerate(y for y in rule.body if not y.negated):
+                if x.atom.signature in carried:
+                    p = p * F.coalesce(f"__p{i}", F.lit(0.0))
+                    continue
                 if x.atom.signature in relations and x.atom.signature not in self.heads and "p" not in relations[x.atom.signature].columns:
                     continue  # recorded and true, so its probability is 1
                 if x.atom.signature in known:
@@ -241,8 +255,8 @@ def _args(relation: DataFrame) -> list[str]:
     return [c for c in relation.columns if c[0] == "a" and c[1:].isdigit()]
 
 
-def _leg(relation: DataFrame, atom: Atom, column: dict[str, str], name: str, value: str = "t") -> DataFrame:
-    """A relation under the columns of an atom's variables: constants and repeated variables become filters."""
+def _leg(relation: DataFrame, atom: Atom, column: dict[str, str], name: str, value: str = "t", more: dict[str, str] | None = None) -> DataFrame:
+    """A relation under the columns of an atom's variables: constants and repeated variables become filters; more: other columns by new name."""
     seen: dict[str, str] = {}
     for i, t in enumerate(atom.terms):
         if not isinstance(t, Var):
@@ -251,7 +265,7 @@ def _leg(relation: DataFrame, atom: Atom, column: dict[str, str], name: str, val
             relation = relation.where(F.col(f"a{i}") == F.col(seen[t.name]))
         else:
             seen[t.name] = f"a{i}"
-    return relation.select("case_id", *(F.col(a).alias(column[v]) for v, a in seen.items()), F.col(value).alias(name))
+    return relation.select("case_id", *(F.col(a).alias(column[v]) for v, a in seen.items()), F.col(value).alias(name), *(F.col(c).alias(x) for x, c in (more or {}).items()))
 
 
 def _value(term: object, column: dict[str, str]) -> Column:

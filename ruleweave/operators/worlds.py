@@ -98,8 +98,9 @@ class Worlds:
             columns = ["case_id", F.col("w").alias("a0"), *(F.col(a).alias(f"a{i + 1}") for i, a in enumerate(args)), "t", *more]
             if s in open_:
                 pinned = pins.where(F.col("signature") == s).drop("signature")
-                here = r.withColumn("atom", atom_text(s, args)).join(pinned.withColumn("__open", F.lit(True)), ["case_id", "atom"], "left").join(of_case, "case_id")
-                r = here.withColumn("t", F.when(F.col("__open"), truth).otherwise(F.when(F.col("t") == 1, 0).otherwise(F.col("t")) if self.closing else F.col("t")).cast("int"))
+                here = r.withColumn("atom", atom_text(s, args)).join(pinned.withColumn("__open", F.lit(True)), ["case_id", "atom"], "left").drop("atom")
+                r = saved(here).join(of_case, "case_id")  # several premises read it, each with its worlds
+                r = r.withColumn("t", F.when(F.col("__open"), truth).otherwise(F.when(F.col("t") == 1, 0).otherwise(F.col("t")) if self.closing else F.col("t")).cast("int"))
             else:
                 r = r.join(of_case, "case_id")
             relations[_moved(s)] = r.select(*columns)
@@ -174,13 +175,21 @@ class Worlds:
         _, worlds, p = self._probability(turning=False)
         return self._interval(p, worlds)
 
+    def bounds_and_questions(self, limit: int = 5) -> tuple[DataFrame, DataFrame]:
+        """Both from one evaluation: the worlds of the questions hold those of the bounds."""
+        open_, worlds, p = self._probability(turning=True)
+        p = saved(p)
+        return self._interval(p, worlds), self._questions(open_, worlds, p.where("w is not null"), limit)
+
     def questions(self, limit: int = 5, epsilon: float = 1e-6, threshold: float = THRESHOLD) -> DataFrame:
         """case_id, a0, ..., question, decisive, gain, rank, and the bounds of the goal if the answer is yes or no.
 
         Beside the worlds of the bounds, each open atom that isn't tried both ways is turned over in all of them.
         """
         open_, worlds, p = self._probability(turning=True)
-        p = saved(p.where("w is not null"))
+        return self._questions(open_, worlds, saved(p.where("w is not null")), limit, epsilon, threshold)
+
+    def _questions(self, open_: DataFrame, worlds: DataFrame, p: DataFrame, limit: int, epsilon: float = 1e-6, threshold: float = THRESHOLD) -> DataFrame:
         keys = ["case_id", *self.args]
         base = self._interval(p, worlds).select(*keys, (F.col("upper") - F.col("lower")).alias("width"))
         n = worlds.groupBy("case_id").agg(F.first("n").alias("n"))
@@ -251,10 +260,11 @@ def answers(program: Program, relations: dict[str, DataFrame], outcomes: list[st
     signature of `outcomes`; assumptions: what the numbers rest on; uncovered: no outcome reaches that probability.
     """
     found = [Worlds(program, relations, s, goals[s]) for s in outcomes]
-    intervals = reduce(DataFrame.unionByName, [w.bounds().select("case_id", F.struct((-(F.col("lower") + F.col("upper")) / 2).alias("order"), atom_text(w.goal, w.args).alias("goal"), "lower", "upper", "exact").alias("x")) for w in found])
-    per_case = saved(intervals.groupBy("case_id").agg(F.array_sort(F.collect_list("x")).alias("x")))  # a case's goals
     first = found[0]
-    asked = first.questions(limit).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", atom_text(first.goal, first.args).alias("goal"), "question", "decisive", "gain"))).alias("q"))
+    bounds, questions = first.bounds_and_questions(limit)
+    intervals = reduce(DataFrame.unionByName, [b.select("case_id", F.struct((-(F.col("lower") + F.col("upper")) / 2).alias("order"), atom_text(w.goal, w.args).alias("goal"), "lower", "upper", "exact").alias("x")) for w, b in zip(found, [bounds, *(w.bounds() for w in found[1:])], strict=True)])
+    per_case = saved(intervals.groupBy("case_id").agg(F.array_sort(F.collect_list("x")).alias("x")))  # a case's goals
+    asked = questions.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", atom_text(first.goal, first.args).alias("goal"), "question", "decisive", "gain"))).alias("q"))
     settled = program.evaluate({s: r.withColumn("t", F.when(F.col("t") == 1, 0).otherwise(F.col("t"))) for s, r in relations.items()})
     several = program.supports(settled).where("t = 2").groupBy("case_id", "head").count().where("count > 1").groupBy("case_id").agg(F.count("*").alias("several"))
     heads = {r.head.signature for r in program.rules}
@@ -271,5 +281,5 @@ def answers(program: Program, relations: dict[str, DataFrame], outcomes: list[st
     )
     bare = F.transform("x", lambda x: F.struct(x["goal"].alias("goal"), x["lower"].alias("lower"), x["upper"].alias("upper"), x["exact"].alias("exact")))
     none = F.expr("array()").cast("array<struct<question:string,decisive:boolean,gain:double>>")
-    questions = F.coalesce(F.transform("q", lambda q: F.struct(q["question"].alias("question"), q["decisive"].alias("decisive"), q["gain"].alias("gain"))), none)
-    return all_.select("case_id", bare.alias("outcomes"), questions.alias("questions"), assumed.alias("assumptions"), F.forall("x", lambda x: x["upper"] < uncovered).alias("uncovered"))
+    listed = F.coalesce(F.transform("q", lambda q: F.struct(q["question"].alias("question"), q["decisive"].alias("decisive"), q["gain"].alias("gain"))), none)
+    return all_.select("case_id", bare.alias("outcomes"), listed.alias("questions"), assumed.alias("assumptions"), F.forall("x", lambda x: x["upper"] < uncovered).alias("uncovered"))

@@ -9,7 +9,7 @@ from ruleweave.operators.relational import Program
 from ruleweave.operators.worlds import Worlds, answers
 from ruleweave.queries import _register, _t
 from ruleweave.sources.rule_text import parse_program
-from ruleweave.sources.tables import by_case
+from ruleweave.sources.tables import by_case, saved
 
 ORDER_RULES = """
 rule w1 [p=0.8] risky(L) <- line(L, S), returned(L), not trusted(S).
@@ -36,7 +36,7 @@ def order_facts(spark, d) -> dict[str, DataFrame]:
     return {
         "line/2": items.select("case_id", F.col("l").alias("a0"), F.col("s").alias("a1"), F.lit(2).alias("t")).distinct(),
         "returned/1": items.groupBy("case_id", F.col("l").alias("a0")).agg(flag),
-        "trusted/1": items.select("case_id", "s").distinct().join(_t(spark, d, "supplier"), F.col("s") == F.col("s_suppkey")).select("case_id", F.col("s").alias("a0"), balance),
+        "trusted/1": saved(items.select("case_id", "s").distinct().join(_t(spark, d, "supplier"), F.col("s") == F.col("s_suppkey")).select("case_id", F.col("s").alias("a0"), balance)),
     }
 
 

@@ -37,3 +37,18 @@ def test_supports_of_orders_move_no_rows(spark, small):
 def test_cases_of_several_tables_count_once(spark):
     parts = {f"{p}/1": facts(spark, 2) for p in "pqr"}
     assert saved(Program([], cases=None).cases(parts)).count() == 40
+
+
+def test_probabilities_read_each_relation_once_a_rule(spark):
+    program = Program(parse_program("rule a [p=0.5] d(X) <- p(X), q(X). rule b [p=0.9] g(X) <- d(X), p(X).")[0])
+    given = {"p/1": facts(spark, 2), "q/1": facts(spark, 2)}
+    p = program.probabilities(program.evaluate(given))
+    assert p["g/1"]._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 3
+    assert {round(r.p, 9) for r in p["g/1"].collect()} == {0.45}
+
+
+def test_recorded_heads_keep_their_probability(spark):
+    program = Program(parse_program("rule a [p=0.5] d(X) <- p(X). rule b [p=0.9] g(X) <- d(X). rule c [p=0.4] h(X) <- d(X), not g(X).")[0])
+    one = lambda a: spark.createDataFrame([(0, a, 2)], "case_id int, a0 int, t int")
+    p = program.probabilities(program.evaluate({"p/1": one(1), "d/1": one(2)}))
+    assert sorted((r.a0, round(r.p, 9)) for r in p["g/1"].collect()) == [(1, 0.45), (2, 0.0)]
