@@ -95,7 +95,7 @@ class Encoder:
         plain = [i for i, p in enumerate(pieces) if " " not in p and not p[-1:].isspace()]
         flat, lengths = np.empty(0, np.uint32), np.zeros(len(pieces), np.int64)
         if plain:
-            step = 4096
+            step = 512  # longer runs cost more a piece
             runs = [" " + " ".join(pieces[i] for i in plain[k : k + step]) for k in range(0, len(plain), step)]
             flat = np.concatenate(self._single(runs))
             begin = np.flatnonzero(self.opens[flat])
@@ -179,38 +179,44 @@ def repair(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST_CO
     seq = ids.astype(np.uint32)
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
     slots = 1 << 16
-    while len(seq) > 1:
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
+    live = np.arange(max(len(seq) - 1, 0))  # where a pair may be frequent: one without a new symbol never grows more frequent
+    while len(live):
+        key = seq[live].astype(np.uint64) << np.uint64(32) | seq[live + 1]
         ordered = np.sort(key)
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         count = np.diff(np.r_[first, len(ordered)])
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
-        often = often[np.lexsort((ordered[first[often]], -count[often]))[:pairs]]
-        chosen = ordered[first[often]]
-        slot = (chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+        some = ordered[first[often]]
+        chosen = some[np.lexsort((some, -count[often]))[:pairs]]
+        slot = ((chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
         taken = np.full(slots, -1, np.int64)
-        taken[slot[::-1].astype(np.int64)] = np.arange(len(chosen))[::-1]  # of two pairs in a slot the more frequent one
-        keep = np.unique(taken[taken >= 0])
+        taken[slot[::-1]] = np.arange(len(chosen))[::-1]  # of two pairs in a slot the more frequent one
+        keep = np.sort(taken[slot][taken[slot] == np.arange(len(chosen))])
         number = np.full(slots, -1, np.int64)
-        number[slot[keep].astype(np.int64)] = np.arange(len(keep))
+        number[slot[keep]] = np.arange(len(keep))
         held = np.zeros(slots, np.uint64)
-        held[slot[keep].astype(np.int64)] = chosen[keep]
+        held[slot[keep]] = chosen[keep]
         at = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-        hit = (number[at] >= 0) & (held[at] == key)
-        where = np.flatnonzero(hit)
-        if not len(where):
-            break
+        hit = np.flatnonzero((number[at] >= 0) & (held[at] == key))
+        where = live[hit]
         run = np.r_[True, np.diff(where) != 1]  # of overlapping occurrences every second one, from the left
         begin = np.maximum.accumulate(np.where(run, where, 0))
-        where = where[(where - begin) % 2 == 0]
+        odd = (where - begin) % 2 == 0
+        hit, where = hit[odd], where[odd]
         new = np.uint32(base + len(rules))
-        seq = seq.copy()
-        seq[where] = new + number[at[where]].astype(np.uint32)
+        seq[where] = new + number[at[hit]].astype(np.uint32)
         rest = np.ones(len(seq), bool)
         rest[where + 1] = False
-        seq = seq[rest]
+        marked = np.zeros(slots, bool)  # frequent pairs may wait for another round; others that share a slot with one do no harm
+        marked[((some * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)] = True
+        again = np.zeros(len(seq), bool)
+        again[live[marked[at]]] = True
+        seq, again = seq[rest], again[rest]
+        fresh = seq >= new
+        again |= fresh
+        live = np.flatnonzero(again[:-1] | fresh[1:])
         added = np.c_[(chosen[keep] >> np.uint64(32)).astype(np.uint32), (chosen[keep] & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
         size = np.r_[np.ones(base, np.uint32), lengths]
         lengths = np.r_[lengths, size[added[:, 0]] + size[added[:, 1]]]

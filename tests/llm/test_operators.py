@@ -453,3 +453,18 @@ def test_pipeline(spark, small):
     got = {r.doc_id: r for r in out.collect()}
     assert all(got[i].ids == sp.encode(swapped[i]) and got[i].round_trip for i in clean)
     assert sum(swapped[i] != texts[i] for i in clean) > 5 and [name for name, _ in corpus_pipeline.STAGES][1] == "simhash_near_dedup"
+
+
+def test_repair_counts_only_pairs_that_may_be_frequent(monkeypatch):
+    import numpy as np
+
+    from ruleweave.llm import token_files
+
+    rng = np.random.default_rng(7)
+    sizes, sort = [], np.sort
+    monkeypatch.setattr(token_files.np, "sort", lambda x, *a, **k: (sizes.append(len(x)) if x.dtype == np.uint64 else None, sort(x, *a, **k))[1])
+    ids = np.minimum(rng.zipf(1.3, 40_000), 3000).astype(np.uint32)
+    rules, lengths, seq = token_files.repair(ids, 3001)
+    assert (token_files.expand(rules, seq, 3001) == ids).all() and len(lengths) == len(rules)
+    pairs = np.unique(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], return_counts=True)[1]
+    assert pairs.max() < token_files.LEAST_COUNT and len(sizes) > 2 and sizes[-1] < 0.5 * len(seq)
