@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleweave.functions.truth import noisy_or_of
@@ -24,15 +24,20 @@ from ruleweave.sources.tables import case_parts, saved
 
 #: Scans of the given relations that the plan of a derived one may hold; beyond it, one with several readers is written once.
 MOST_SCANS = 16
+#: Values in a list of those that share a term, and facts of a value beyond which its lists are met in several parts.
+LIST, OFTEN = 512, 20_000
 #: What tells instances of rules apart.
 _INSTANCE = ["case_id", "head", "rule_id", "premises"]
 
 
 class Program:
-    """Rules with what is needed to read their bodies: askable predicates, all cases and the reading of unknowns."""
+    """Rules with what is needed to read their bodies: askable predicates, all cases and the reading of unknowns.
 
-    def __init__(self, rules: list[Rule], askable: set[str] = frozenset(), open_world: bool = False, cases: DataFrame | None = None):
-        self.rules, self.askable, self.open_world, self._cases = rules, frozenset(askable), open_world, cases
+    large_cases: a case may hold most of the facts, so that pairs over a shared term travel as lists.
+    """
+
+    def __init__(self, rules: list[Rule], askable: set[str] = frozenset(), open_world: bool = False, cases: DataFrame | None = None, large_cases: bool = False):
+        self.rules, self.askable, self.open_world, self._cases, self.large_cases = rules, frozenset(askable), open_world, cases, large_cases
         self.heads = {r.head.signature for r in rules}
         self.scans: dict[str, int] = {}
         self.recorded: set[str] | None = None  # heads with recorded atoms, once evaluated
@@ -99,6 +104,38 @@ class Program:
         found, column = self.bindings(rule, relations)
         return found.select("case_id", *(_value(t, column).alias(f"a{i}") for i, t in enumerate(rule.head.terms)), "t")
 
+    def _paired(self, rule: Rule, relations: dict[str, DataFrame]) -> DataFrame | None:
+        """The heads of h(A, B) <- p(A, P), q(B, P), each once; None for rules of another form.
+
+        The values of B under a P come to each A as lists, which are laid out only there: as rows of their own the pairs would
+        travel once for every P, and a set of all pairs would be held.
+        """
+        sides = [x.atom.variables() for x in rule.body]
+        if len(sides) != 2 or any(x.negated or x.atom.signature not in relations for x in rule.body):
+            return None
+        head, shared = list(rule.head.terms), sorted(sides[0] & sides[1])
+        only = [sides[0] - sides[1], sides[1] - sides[0]]
+        if not shared or len(head) != 2 or not all(isinstance(x, Var) for x in head) or sorted(map(len, only)) != [1, 1] or {x.name for x in head} != only[0] | only[1]:
+            return None
+        keys = ["case_id", *(f"k{i}" for i in range(len(shared)))]
+        legs = []  # dealt without the case, which groups and joins would leave out if it is a constant, and deal the rows again
+        for x, v in zip(rule.body, "ab", strict=True):
+            column = {name: f"k{shared.index(name)}" if name in shared else v for name in x.atom.variables()}
+            leg = _leg(relations[x.atom.signature].where("t = 2" if self.open_world else "t > 0"), x.atom, column, f"t{v}")
+            legs.append(leg.repartition(*keys[1:]).groupBy(*keys, v).agg(F.max(f"t{v}").alias(f"t{v}")))
+        place = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("b")) - 1) / LIST)
+        lists = legs[1].withColumn("place", place).groupBy(*keys, "place", "tb").agg(F.collect_list("b").alias("list"))
+        joined = legs[0].join(lists.hint("merge"), keys).select("case_id", "a", F.least("ta", "tb").alias("t"), "list")
+        often = legs[0].groupBy("case_id", "a").count().where(F.col("count") > OFTEN).select("case_id", "a", F.ceil(F.col("count") / OFTEN).cast("int").alias("parts"))  # one in OFTEN facts at most
+        dealt = joined.join(F.broadcast(often), ["case_id", "a"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+        mine = F.when(F.col("parts").isNull(), F.col("list")).otherwise(F.filter("list", lambda b: F.pmod(F.xxhash64(b), F.col("parts")) == F.col("part")))
+        dealt = dealt.select("case_id", "a", "part", "t", mine.alias("list")).where(F.size("list") > 0).repartition("a", "part")
+        found = dealt.groupBy("case_id", "a", "part").agg(*(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("t") == t, F.col("list"))))).alias(f"at{t}") for t in (1, 2)))
+        for_t = lambda values, t: F.transform(values, lambda b: F.struct(b.alias("b"), F.lit(t).alias("t")))
+        pairs = found.select("case_id", "a", F.explode(F.concat(for_t("at2", 2), for_t(F.array_except("at1", "at2"), 1))).alias("x"))
+        names = ["a0", "a1"] if head[0].name in only[0] else ["a1", "a0"]
+        return pairs.select("case_id", F.col("a").alias(names[0]), F.col("x.b").alias(names[1]), F.col("x.t").alias("t")).select("case_id", "a0", "a1", "t")
+
     def supports(self, relations: dict[str, DataFrame]) -> DataFrame:
         """case_id, head, rule_id, strength, t, premises of every instance over evaluated relations, each once.
 
@@ -138,7 +175,9 @@ class Program:
                 if ready:
                     for s in ready:
                         given = [relations[s].select("case_id", *(c for c in relations[s].columns if c[0] == "a"), "t")] if s in relations else []
-                        merged = _merged(given + [self._heads(r, relations) for r in todo if r.head.signature == s])
+                        own = [r for r in todo if r.head.signature == s]
+                        paired = self._paired(own[0], relations) if self.large_cases and len(own) == 1 and not given else None
+                        merged = paired if paired is not None else _merged(given + [self._heads(r, relations) for r in own])
                         relations[s] = self._shared(s, merged, self.scans, lambda x: self.scans.get(x, 1))
                     todo = [r for r in todo if r.head.signature not in ready]
                 else:

@@ -35,8 +35,8 @@ def absent_askable(spark, d):
 @_register("""with s as (select distinct l_suppkey as s, l_partkey as p from lineitem) select x.s as supplier, count(distinct y.s) as shares from s x join s y on x.p = y.p group by 1""")
 def self_join(spark, d):
     """shares(A, B) <- supplies(A, P), supplies(B, P)."""
-    supplies = _t(spark, d, "lineitem").select(_one_case(), F.col("l_suppkey").alias("a0"), F.col("l_partkey").alias("a1"), _true()).distinct()
-    found = evaluate(_rules("shares(A, B) <- supplies(A, P), supplies(B, P)."), {"supplies/2": supplies})["shares/2"]
+    supplies = _t(spark, d, "lineitem").select(_one_case(), F.col("l_suppkey").alias("a0"), F.col("l_partkey").alias("a1"), _true())
+    found = Program(_rules("shares(A, B) <- supplies(A, P), supplies(B, P)."), large_cases=True).evaluate({"supplies/2": supplies})["shares/2"]
     return found.groupBy(F.col("a0").alias("supplier")).agg(F.count("*").alias("shares"))
 
 

@@ -150,3 +150,17 @@ def test_feature_types(spark):
 def test_atom_text(spark):
     assert parse_atom("p(X, a).") == Atom("p", (Var("X"), "a"))
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_pairs_of_large_cases_travel_as_lists(spark, monkeypatch):
+    from ruleweave.operators import relational
+
+    monkeypatch.setattr(relational, "LIST", 4)
+    monkeypatch.setattr(relational, "OFTEN", 9)
+    made = lambda salt: spark.range(900).selectExpr("cast(id % 2 as int) as case_id", f"abs(hash(id, {salt})) % 23 as a0", f"abs(hash(id, {salt + 1})) % 40 as a1", f"abs(hash(id, {salt + 2})) % 3 as t")
+    given = {"p/2": made(1), "q/2": made(5)}
+    for text in ("h(A, B) <- p(A, P), q(B, P).", "h(B, A) <- p(A, P), q(B, P).", "h(A, B) <- p(A, P), p(B, P)."):
+        for open_world in (False, True):
+            plain, lists = (relational.Program(parse_program(text)[0], open_world=open_world, large_cases=x).evaluate(given)["h/2"] for x in (False, True))
+            assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, lists.collect()))
+            assert "collect_list" in lists._jdf.queryExecution().optimizedPlan().toString()
