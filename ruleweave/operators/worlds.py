@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ruleweave.operators.alike import MOST_FACTS, Alike, spelled, spelling
 from ruleweave.operators.relational import Program, atom_text
 from ruleweave.operators.wide import MOST_MIXED, THRESHOLD
 from ruleweave.plans.rules import Atom, Literal, Rule, Var, polarities
@@ -258,19 +259,31 @@ def answers(program: Program, relations: dict[str, DataFrame], outcomes: list[st
 
     outcomes: array of goal, lower, upper, exact of all goals of the case, by midpoint; questions: those of the first
     signature of `outcomes`; assumptions: what the numbers rest on; uncovered: no outcome reaches that probability.
+    Cases that are alike but for names are judged once, and what they are told is put in the order of their own names.
     """
-    found = [Worlds(program, relations, s, goals[s]) for s in outcomes]
+    alike = Alike(program.rules, relations, {s: goals[s] for s in outcomes}, program._cases, MOST_MIXED)
+    relations = {s: saved(alike.one(r)) for s, r in relations.items()}
+    program = Program(program.rules, program.askable, program.open_world, alike.one(program._cases) if program._cases is not None else None)
+    names = saved(alike.names())
+    found = [Worlds(program, relations, s, alike.one(goals[s])) for s in outcomes]
     first = found[0]
-    bounds, questions = first.bounds_and_questions(limit)
-    intervals = reduce(DataFrame.unionByName, [b.select("case_id", F.struct((-(F.col("lower") + F.col("upper")) / 2).alias("order"), atom_text(w.goal, w.args).alias("goal"), "lower", "upper", "exact").alias("x")) for w, b in zip(found, [bounds, *(w.bounds() for w in found[1:])], strict=True)])
-    per_case = saved(intervals.groupBy("case_id").agg(F.array_sort(F.collect_list("x")).alias("x")))  # a case's goals
-    asked = questions.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", atom_text(first.goal, first.args).alias("goal"), "question", "decisive", "gain"))).alias("q"))
+    bounds, questions = first.bounds_and_questions(max(limit, MOST_FACTS))  # in the order of the names of the one case
+    named = lambda df, w: df.join(names, "case_id").withColumn("goal", spelling(w.goal, w.args, alike.sorts)).drop("names")
+    intervals = reduce(DataFrame.unionByName, [named(b, w).select("case_id", F.struct((-(F.col("lower") + F.col("upper")) / 2).alias("order"), "goal", "lower", "upper", "exact").alias("x")) for w, b in zip(found, [bounds, *(w.bounds() for w in found[1:])], strict=True)])
+    per_case = saved(intervals.groupBy("case_id").agg(F.collect_list("x").alias("x")))  # a case's goals
+    atoms = [r.where("t = 1").join(names, "case_id").select("case_id", atom_text(s, _args(r)).alias("question"), spelling(s, _args(r), alike.sorts).alias("spelling")) for s, r in first.relations.items() if s in first.observed]
+    if atoms:
+        questions = questions.join(reduce(DataFrame.unionByName, atoms).dropDuplicates(["case_id", "question"]), ["case_id", "question"])
+    else:
+        questions = questions.withColumn("spelling", F.lit(None).cast("struct<predicate:string,terms:array<struct<text:string,at:bigint>>>"))
+    of_goal = named(questions, first).groupBy("case_id", *first.args).agg(F.first("goal").alias("goal"), F.collect_list(F.struct("spelling", "decisive", "gain")).alias("each"))
+    asked = of_goal.groupBy("case_id").agg(F.collect_list(F.struct("goal", "each")).alias("q"))
     settled = program.evaluate({s: r.withColumn("t", F.when(F.col("t") == 1, 0).otherwise(F.col("t"))) for s, r in relations.items()})
     several = program.supports(settled).where("t = 2").groupBy("case_id", "head").count().where("count > 1").groupBy("case_id").agg(F.count("*").alias("several"))
     heads = {r.head.signature for r in program.rules}
     open_ = [r.where("t = 1").select("case_id") for s, r in relations.items() if s not in heads]
     unknown = reduce(DataFrame.unionByName, open_).groupBy("case_id").agg(F.count("*").alias("unknown"))
-    all_ = per_case.join(asked, "case_id", "left").join(several, "case_id", "left").join(unknown, "case_id", "left")
+    all_ = alike.all_of(saved(per_case.join(asked, "case_id", "left").join(several, "case_id", "left").join(unknown, "case_id", "left")))
     line = lambda count, text: F.when(F.coalesce(F.col(count), F.lit(0)) > 0, F.concat(F.col(count).cast("string"), F.lit(text)))
     assumed = F.array_compact(
         F.array(
@@ -279,7 +292,10 @@ def answers(program: Program, relations: dict[str, DataFrame], outcomes: list[st
             F.when(F.exists("x", lambda x: ~x["exact"]), F.lit("not all completions were tried")),
         )
     )
-    bare = F.transform("x", lambda x: F.struct(x["goal"].alias("goal"), x["lower"].alias("lower"), x["upper"].alias("upper"), x["exact"].alias("exact")))
+    ordered = F.array_sort(F.transform("x", lambda x: F.struct(x["order"].alias("order"), spelled(x["goal"]).alias("goal"), x["lower"].alias("lower"), x["upper"].alias("upper"), x["exact"].alias("exact"))))
+    bare = F.transform(ordered, lambda x: F.struct(x["goal"].alias("goal"), x["lower"].alias("lower"), x["upper"].alias("upper"), x["exact"].alias("exact")))
     none = F.expr("array()").cast("array<struct<question:string,decisive:boolean,gain:double>>")
-    listed = F.coalesce(F.transform("q", lambda q: F.struct(q["question"].alias("question"), q["decisive"].alias("decisive"), q["gain"].alias("gain"))), none)
+    by_worth = lambda g: F.slice(F.array_sort(F.transform(g["each"], lambda q: F.struct((~q["decisive"]).alias("tame"), (-q["gain"]).alias("order"), spelled(q["spelling"]).alias("question"), q["decisive"].alias("decisive"), q["gain"].alias("gain")))), 1, limit)
+    ranked = F.array_sort(F.flatten(F.transform("q", lambda g: F.transform(by_worth(g), lambda q, i: F.struct(i.alias("rank"), spelled(g["goal"]).alias("goal"), q["question"].alias("question"), q["decisive"].alias("decisive"), q["gain"].alias("gain"))))))
+    listed = F.coalesce(F.transform(ranked, lambda q: F.struct(q["question"].alias("question"), q["decisive"].alias("decisive"), q["gain"].alias("gain"))), none)
     return all_.select("case_id", bare.alias("outcomes"), listed.alias("questions"), assumed.alias("assumptions"), F.forall("x", lambda x: x["upper"] < uncovered).alias("uncovered"))
