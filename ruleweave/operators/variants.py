@@ -8,6 +8,8 @@ already. The support that remains only counts for atoms that cannot support them
 The cases that are left are evaluated again, all variants in one plan: the variant becomes one more term of the predicates that
 depend on a changed rule, and a changed rule has a premise that holds in the pairs of case and variant that have it. What
 depends on no changed rule is read as it is, once for all variants.
+
+With counted, where only counts of cases are asked for, one of the cases that are alike but for names stands for all of them.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleweave.operators.alike import Alike
 from ruleweave.operators.relational import Program, _args
 from ruleweave.plans.rules import Atom, Literal, Rule, Var, canonical_key, strata
 from ruleweave.sources.tables import saved
@@ -50,13 +53,18 @@ class Trial:
     base: all relations under the base program. touched: variant, case_id of the pairs evaluated again. changed: for each
     signature that differs anywhere, variant, case_id, a0, ..., before, after of every atom whose truth differs. All rules,
     dropped and added ones together, must be stratified, and a predicate that any of them concludes counts as concluded. A null case_id joins nothing, so its rows take no part. Without cases or
-    without variants the results are empty.
+    without variants the results are empty. counted: effects, replay and screen count all cases, but base, touched and changed hold
+    only the cases that stand for those alike.
     """
 
-    def __init__(self, program: Program, relations: dict[str, DataFrame], variants: Sequence[Variant]):
+    def __init__(self, program: Program, relations: dict[str, DataFrame], variants: Sequence[Variant], counted: bool = False):
         ids = [r.rule_id for r in program.rules]
         if len(set(ids)) < len(ids) or len({v.name for v in variants}) < len(variants):
             raise ValueError("rules and variants need names of their own")
+        self.alike = Alike([*program.rules, *(r for v in variants for r in v.add)], relations, cases=program._cases) if counted and relations else None
+        if self.alike:
+            relations = {s: self.alike.one(df) for s, df in relations.items()}
+            program = Program(program.rules, program.askable, program.open_world, self.alike.kinds)
         self.relations = relations = {s: saved(df) for s, df in relations.items()}  # read many times below
         self.variants = list(variants)
         self.added: dict[str, Rule] = {}
@@ -185,17 +193,30 @@ class Trial:
 
     # -- what follows from it ------------------------------------------------------------------------------
 
+    def _counted(self, df: DataFrame) -> DataFrame:
+        """With a column of how many cases each row's case stands for."""
+        return df.join(self.alike.kinds.select("case_id", "cases"), "case_id") if self.alike else df.withColumn("cases", F.lit(1).cast("long"))
+
+    def _against(self, recorded: DataFrame, name: str) -> DataFrame:
+        """case_id, against: of how many cases that each stands for the recorded conclusions hold, and none of them is the predicate."""
+        found = recorded.where("conclusion is not null").groupBy("case_id").agg((~F.max(F.col("conclusion") == name)).alias("against")).where("against")
+        if not self.alike:
+            return found.select("case_id", F.lit(1).cast("long").alias("against"))
+        of_key = self.alike.each.select("key", F.col("member").alias("case_id")).join(found, "case_id").groupBy("key").agg(F.count("*").alias("against"))
+        return self.alike.kinds.select("key", "case_id").join(of_key, "key").select("case_id", "against")
+
     def effects(self, outcomes: Sequence[str]) -> DataFrame:
         """variant, touched, differs, wins, losses: cases evaluated again, those in which an atom of the outcomes differs, and those in which one comes to hold or holds no more.
 
         A variant that leaves out one rule and differs in no case is the proof that the recorded cases do without that rule.
         """
         names = self.touched.sparkSession.createDataFrame([(v.name,) for v in self.variants], "variant string")
-        touched = self.touched.groupBy("variant").agg(F.count("*").alias("touched"))
+        touched = self._counted(self.touched).groupBy("variant").agg(F.sum("cases").alias("touched"))
         parts = [self._change(s).select("variant", "case_id", (F.col("after") == 2).alias("won"), (F.col("before") == 2).alias("lost")) for s in outcomes if s in self._again]
         none = self.touched.select("variant", "case_id", F.lit(True).alias("won"), F.lit(True).alias("lost")).where(F.lit(False))
         by_case = reduce(DataFrame.unionByName, parts, none).groupBy("variant", "case_id").agg(F.max("won").alias("won"), F.max("lost").alias("lost"))
-        counts = by_case.groupBy("variant").agg(F.count("*").alias("differs"), F.count_if("won").alias("wins"), F.count_if("lost").alias("losses"))
+        of = lambda c: F.sum(F.when(F.col(c), F.col("cases")).otherwise(0))
+        counts = self._counted(by_case).groupBy("variant").agg(F.sum("cases").alias("differs"), of("won").alias("wins"), of("lost").alias("losses"))
         return names.join(touched, "variant", "left").join(counts, "variant", "left").na.fill(0)
 
     def replay(self, goal: str, recorded: DataFrame | None = None) -> DataFrame:
@@ -206,7 +227,8 @@ class Trial:
         """
         true = self.base[goal].where("t = 2").select("case_id").distinct() if goal in self.base else self.cases.where(F.lit(False))
         names = self.touched.sparkSession.createDataFrame([(v.name,) for v in self.variants], "variant string")
-        totals = self.cases.agg(F.count("*").alias("evidence")).join(true.agg(F.count("*").alias("was")))  # one row each
+        total = lambda df, name: self._counted(df).agg(F.coalesce(F.sum("cases"), F.lit(0)).alias(name))
+        totals = total(self.cases, "evidence").join(total(true, "was"))  # one row each
         if goal in self._again:
             moved = self._change(goal).select("variant", "case_id").distinct()
             stay = moved.join(self.base[goal].where("t = 2"), "case_id") if goal in self.base else None
@@ -217,15 +239,14 @@ class Trial:
                 kept.append(stay.select(atom).join(delta.select(atom), atom, "left_anti").select("variant", "case_id"))
             now = reduce(DataFrame.unionByName, kept).distinct().withColumn("now", F.lit(True))
             by_case = moved.join(true.withColumn("was", F.lit(True)), "case_id", "left").join(now, ["variant", "case_id"], "left").na.fill(False)
-            other = F.lit(False)
+            by_case = self._counted(by_case)
+            other = F.lit(0)
             if recorded is not None:
-                name = goal.split("/")[0]
-                against = recorded.where("conclusion is not null").groupBy("case_id").agg((~F.max(F.col("conclusion") == name)).alias("against"))
-                by_case = by_case.join(against, "case_id", "left")
-                other = F.coalesce("against", F.lit(False))
-            counts = by_case.groupBy("variant").agg(
-                F.count_if(F.col("now") & ~F.col("was") & ~other).alias("gains"), F.count_if(F.col("was") & ~F.col("now")).alias("losses"), F.count_if(F.col("now") & ~F.col("was") & other).alias("conflicts")
-            )
+                by_case = by_case.join(self._against(recorded, goal.split("/")[0]), "case_id", "left")
+                other = F.coalesce("against", F.lit(0))
+            of = lambda where, n: F.sum(F.when(where, n).otherwise(0))
+            gained = F.col("now") & ~F.col("was")
+            counts = by_case.groupBy("variant").agg(of(gained, F.col("cases") - other).alias("gains"), of(F.col("was") & ~F.col("now"), F.col("cases")).alias("losses"), of(gained, other).alias("conflicts"))
         else:
             counts = names.select("variant", *(F.lit(0).cast("long").alias(c) for c in ("gains", "losses", "conflicts")))
         found = names.join(counts, "variant", "left").na.fill(0).join(totals)
@@ -239,7 +260,7 @@ class Trial:
         """
         held = [self._outcome(s) for s in outcomes]
         both = reduce(DataFrame.unionByName, held).groupBy("variant", "case_id").agg(F.count_if("was").alias("was"), F.count_if("now").alias("now"))
-        torn = both.where("now > 1 and was <= 1").groupBy("variant").agg(F.count("*").alias("contradictions"))
+        torn = self._counted(both.where("now > 1 and was <= 1")).groupBy("variant").agg(F.sum("cases").alias("contradictions"))
         found = self.effects(outcomes).join(torn, "variant", "left").na.fill(0)
         verdict = F.when(F.col("contradictions") > 0, "two outcomes in a case").when(F.col("touched") == 0, "changes nothing").when(F.col("differs") == 0, "changes no outcome").otherwise("admitted")
         return found.select("variant", "differs", "contradictions", verdict.alias("verdict"))

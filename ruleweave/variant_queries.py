@@ -31,7 +31,7 @@ e as (select *, greatest(risky, least(calm, back)) as escalate, calm as settle f
 
 
 def _trial(spark, d, variants) -> Trial:
-    return Trial(order_program(), order_facts(spark, d), variants)
+    return Trial(order_program(), order_facts(spark, d), variants, counted=True)
 
 
 @_register(

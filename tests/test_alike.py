@@ -4,11 +4,12 @@ import random
 
 from pyspark.sql import functions as F
 from test_relational import relation
-from test_worlds import BASE
+from test_worlds import BASE, random_rules
 
 from ruleweave.operators import alike
 from ruleweave.operators.alike import Alike
 from ruleweave.operators.relational import Program
+from ruleweave.operators.variants import Trial, with_each, without_each
 from ruleweave.operators.worlds import Worlds, answers
 from ruleweave.sources.rule_text import parse_program
 
@@ -81,6 +82,18 @@ def test_answers_in_each_cases_own_names(spark):
         assert order == sorted(order)
 
 
+def test_counted_trials(spark):
+    rnd = random.Random(9)
+    facts = renamed_cases(rnd, 6, 4)
+    rules = random_rules(rnd)
+    variants = [*without_each(rules), *with_each(parse_program("rule n1 f(X, Y) <- q(X), e(X, Y). rule n2 g(X) <- p(X), not q(X).")[0])]
+    each, counted = (Trial(Program(rules), tables(spark, facts), variants, counted=c) for c in (False, True))
+    assert counted.cases.count() < each.cases.count() == len(facts)
+    recorded = spark.createDataFrame([(c, rnd.choice(["g", "d", None])) for c in facts], "case_id int, conclusion string")
+    rows = lambda t: [sorted(map(tuple, df.collect())) for df in (t.effects(["g/1", "d/1"]), t.screen(["g/1", "d/1"]), t.replay("g/1", recorded))]
+    assert rows(each) == rows(counted)
+
+
 def test_many_kinds_are_not_sent(spark, monkeypatch):
     monkeypatch.setattr(alike, "MOST_SENT", 0)
     facts = renamed_cases(random.Random(4), 4, 2)
