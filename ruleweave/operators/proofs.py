@@ -33,16 +33,17 @@ def proof_graph(supports: DataFrame, goals: DataFrame) -> DataFrame:
     return edges.join(heads, ["case_id", "premise"], "left").select("case_id", "head", "rule_id", "premise", "negated", F.coalesce("derived", F.lit(False)).alias("derived"))
 
 
-def proof_tree(supports: DataFrame, goals: DataFrame, facts: DataFrame | None = None, most_depth: int = MOST_DEPTH) -> DataFrame:
+def proof_tree(supports: DataFrame, goals: DataFrame, facts: DataFrame | dict[str, str] | None = None, most_depth: int = MOST_DEPTH) -> DataFrame:
     """case_id, goal, path, depth, kind, atom, rule_id, strength, source: the nodes of each goal's proof.
 
     path sorts the nodes as they are read: the number of each instance among those of its head, by rule and premises, then that of
     the premise. kind is derived, rule, fact, absent (a negated premise), shown (an atom on its own path, or too deep), or
-    open for a goal that nothing concludes. facts, if given: case_id, atom, source of the recorded ones.
+    open for a goal that nothing concludes. facts, if given: case_id, atom, source of the recorded ones, or a predicate's source
+    where all its facts have the same.
     """
     held = instances(supports)
     by_head = saved(held.groupBy("case_id", F.col("head").alias("atom")).agg(F.array_sort(F.collect_list(F.struct("rule_id", "premises", "strength"))).alias("ways")))
-    sources = facts.select("case_id", "atom", "source").dropDuplicates(["case_id", "atom"]) if facts is not None else None
+    sources = facts.select("case_id", "atom", "source").dropDuplicates(["case_id", "atom"]) if isinstance(facts, DataFrame) else None
     no_path = F.expr("array()").cast("array<int>")
     frontier = goals.select("case_id", "goal", F.col("goal").alias("atom"), no_path.alias("path"), F.expr("array()").cast("array<string>").alias("seen"), F.lit(False).alias("negated")).distinct()
     out = None
@@ -61,13 +62,19 @@ def proof_tree(supports: DataFrame, goals: DataFrame, facts: DataFrame | None =
         out = out.unionByName(opened.select("case_id", "goal", at.alias("path"), F.lit(depth).alias("depth"), F.lit("rule").alias("kind"), "atom", F.col("way.rule_id").alias("rule_id"), F.col("way.strength").alias("strength")))
         frontier = opened.select("case_id", "goal", at.alias("path"), "seen", F.posexplode("way.premises").alias("j", "x")).select("case_id", "goal", F.col("x.atom").alias("atom"), F.array_append("path", F.col("j")).alias("path"), "seen", F.col("x.negated").alias("negated"))
         depth += 1
+    if isinstance(facts, dict) and facts:
+        of = F.create_map(*(F.lit(x) for pair in facts.items() for x in pair))[F.regexp_extract("atom", r"^[^(]*", 0)]
+        return out.withColumn("source", F.when(F.col("kind") == "fact", of))
     if sources is None:
         return out.withColumn("source", F.lit(None).cast("string"))
     return out.join(sources, ["case_id", "atom"], "left").select(*out.columns, F.when(F.col("kind") == "fact", F.col("source")).alias("source"))
 
 
-def tree_text(nodes: DataFrame, phrases: dict[str, str] | None = None) -> DataFrame:
-    """case_id, goal, proof: the nodes of each goal as indented lines. phrases: words for a predicate, in place of its name."""
+def tree_text(nodes: DataFrame, phrases: dict[str, str] | None = None, most_rules: int | None = None) -> DataFrame:
+    """case_id, goal, proof: the nodes of each goal as indented lines. phrases: words for a predicate, in place of its name.
+
+    most_rules: only the proofs in which no more rules are used, each as often as it is.
+    """
     name = F.regexp_extract("atom", r"^[^(]*", 0)
     words = F.coalesce(F.create_map(*(F.lit(x) for p in phrases.items() for x in p))[name], name) if phrases else name
     shown = F.concat(words, F.regexp_extract("atom", r"\(.*$", 0))
@@ -75,7 +82,8 @@ def tree_text(nodes: DataFrame, phrases: dict[str, str] | None = None) -> DataFr
     line = F.when(F.col("kind") == "rule", F.concat(F.lit("by "), F.col("rule_id"), F.lit(", strength "), F.col("strength").cast("string"))).when(F.col("kind") == "absent", F.concat(F.lit("not "), shown, F.lit(" (does not hold)"))).otherwise(F.concat(shown, ending))
     indented = F.concat(F.expr("repeat('  ', size(path))"), line)
     lines = F.array_sort(F.collect_list(F.struct("path", indented.alias("line"))))  # a goal's proof
-    return nodes.groupBy("case_id", "goal").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("proof"))
+    found = nodes.groupBy("case_id", "goal").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("proof"), F.count_if(F.col("kind") == "rule").alias("n"))
+    return (found if most_rules is None else found.where(F.col("n") <= most_rules)).drop("n")
 
 
 def provenance(nodes: DataFrame, rules: DataFrame) -> DataFrame:

@@ -59,8 +59,8 @@ class Program:
 
     # -- one rule ----------------------------------------------------------------------------------------
 
-    def bindings(self, rule: Rule, relations: dict[str, DataFrame], carried: set[str] = frozenset()) -> tuple[DataFrame, dict[str, str]]:
-        """Instances that aren't false: case_id, a column for each variable, t, and t of premise i as __i; and the variables' columns.
+    def bindings(self, rule: Rule, relations: dict[str, DataFrame], carried: set[str] = frozenset(), least: int = 1) -> tuple[DataFrame, dict[str, str]]:
+        """Instances of at least that truth: case_id, a column for each variable, t, and t of premise i as __i; and the variables' columns.
 
         p of a positive premise i comes along as __pi where its signature is carried.
         """
@@ -86,7 +86,9 @@ class Program:
                 df = df.withColumn(f"__{i}", F.lit(default))
             else:
                 if not outer:
-                    relation = relation.where("t = 2" if self.open_world else "t > 0")
+                    relation = relation.where("t = 2" if self.open_world or least == 2 else "t > 0")
+                elif default == 0:
+                    relation = relation.where("t > 0")  # a false atom does what an unrecorded one does
                 keys = ["case_id", *(column[v] for v in names if v in column)]
                 for v in names:
                     column.setdefault(v, f"v{len(column)}")
@@ -98,7 +100,7 @@ class Program:
             if x.negated:
                 df = df.withColumn(f"__{i}", 2 - F.col(f"__{i}"))
         t = reduce(F.least, (F.col(f"__{i}") for i in range(len(premises)))) if len(premises) > 1 else F.col("__0")
-        return df.withColumn("t", t.cast("int")).where("t > 0"), column
+        return df.withColumn("t", t.cast("int")).where(F.col("t") >= least), column
 
     def _heads(self, rule: Rule, relations: dict[str, DataFrame]) -> DataFrame:
         found, column = self.bindings(rule, relations)
@@ -147,13 +149,13 @@ class Program:
 
     def saved_supports(self, relations: dict[str, DataFrame], least: int = 1) -> DataFrame:
         """supports of at least that truth, saved rule by rule."""
-        found = saved(*(x.where(F.col("t") >= least) for x in self._supports_by_rule(relations)))
+        found = saved(*self._supports_by_rule(relations, least))
         return found if len({r.rule_id for r in self.rules}) == len(self.rules) else found.dropDuplicates(_INSTANCE)
 
-    def _supports_by_rule(self, relations: dict[str, DataFrame]) -> list[DataFrame]:
+    def _supports_by_rule(self, relations: dict[str, DataFrame], least: int = 1) -> list[DataFrame]:
         parts = []
         for rule in self.rules:
-            found, column = self.bindings(rule, relations)
+            found, column = self.bindings(rule, relations, least=least)
             body = [x for x in rule.body if not x.negated] + [x for x in rule.body if x.negated]
             premises = [
                 F.struct(_text(x.atom, column).alias("atom"), F.lit(x.negated).alias("negated"), F.col(f"__{i}").cast("int").alias("t")) for i, x in enumerate(body)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ruleweave.operators.near import near_misses
 from ruleweave.operators.proofs import proof_graph, proof_tree, provenance, tree_text
 from ruleweave.operators.relational import Program, atom_text
+from ruleweave.plans.rules import polarities
 from ruleweave.queries import _register
 from ruleweave.sources.rule_text import parse_program
-from ruleweave.world_queries import _FACTS, order_facts, order_goals, order_program
+from ruleweave.sources.tables import saved
+from ruleweave.world_queries import _FACTS, goals_of, order_facts, order_program
 
 _NEAR = "rule n1 dispute(L) <- line(L, S), returned(L), not trusted(S). rule n2 praise(S) <- trusted(S), line(L, S)."
 
@@ -42,8 +44,9 @@ def relational_near_miss(spark, d):
 
 
 def _supports(spark, d):
-    program, facts = order_program(), order_facts(spark, d)
-    goals = order_goals(spark, d).select("case_id", atom_text("escalate/1", ["a0"]).alias("goal"))
+    rules, facts = order_program().rules, order_facts(spark, d)
+    program = Program([r for r in rules if r.head.signature in polarities(rules, "escalate/1")])
+    goals = goals_of(facts).select("case_id", atom_text("escalate/1", ["a0"]).alias("goal"))
     return program.saved_supports(program.evaluate(facts), 2), goals, facts
 
 
@@ -104,12 +107,12 @@ from one where o not in (select o from calm)"""
 )
 def relational_proof_text(spark, d):
     """The proof as text of the orders that a single rule instance escalates."""
-    supports, goals, facts = _supports(spark, d)
-    source = {"line/2": "line item", "returned/1": "return flag", "trusted/1": "balance"}
-    named = [r.select("case_id", atom_text(s, [c for c in r.columns if c[0] == "a"]).alias("atom"), F.lit(source[s]).alias("source")) for s, r in facts.items()]
-    nodes = proof_tree(supports, goals, named[0].unionByName(named[1]).unionByName(named[2]))
-    short = nodes.groupBy("case_id", "goal").agg(F.count_if(F.col("kind") == "rule").alias("n")).where("n = 2")
-    text = tree_text(nodes.join(short, ["case_id", "goal"], "left_semi"), {"trusted": "distrust of"})
+    supports, goals, _ = _supports(spark, d)
+    once = supports.select("case_id", F.col("head").alias("goal")).join(goals.hint("merge"), ["case_id", "goal"]).groupBy("case_id", "goal").count().where("count = 1")
+    once = saved(once.select("case_id", "goal"))  # by several instances, a goal's proof has more than two rules
+    below = saved(supports.join(once.select("case_id").hint("merge"), "case_id", "left_semi"))
+    nodes = proof_tree(below, once, {"line": "line item", "returned": "return flag", "trusted": "balance"})
+    text = tree_text(nodes, {"trusted": "distrust of"}, most_rules=2)
     return text.where("proof like '%by w1%'").select(F.col("case_id").alias("order_id"), "proof")
 
 

@@ -44,6 +44,11 @@ def order_goals(spark, d) -> DataFrame:
     return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.lit("order").alias("a0")).distinct()
 
 
+def goals_of(facts) -> DataFrame:
+    """The same, from the facts, which lie by case."""
+    return facts["line/2"].select("case_id", F.lit("order").alias("a0")).distinct()
+
+
 def _order_worlds(spark, d) -> Worlds:
     return Worlds(order_program(), order_facts(spark, d), "escalate/1", order_goals(spark, d))
 
@@ -131,8 +136,9 @@ from b join sb on sb.o = b.o join k on k.o = b.o"""
 )
 def relational_answers(spark, d):
     """One row an order: the bounds of both outcomes, how many facts are open, and whether no outcome is in reach."""
-    goals = order_goals(spark, d)
-    found = answers(order_program(), order_facts(spark, d), ["escalate/1", "settle/1"], {"escalate/1": goals, "settle/1": goals})
+    facts = order_facts(spark, d)
+    goals = saved(goals_of(facts))
+    found = answers(order_program(), facts, ["escalate/1", "settle/1"], {"escalate/1": goals, "settle/1": goals})
     of = lambda goal, side: F.round(F.get(F.filter("outcomes", lambda x: x["goal"] == f"{goal}(order)"), F.lit(0))[side], 6).alias(f"{goal}_{side}")
     open_ = F.coalesce(F.regexp_extract(F.get(F.filter("assumptions", lambda x: x.contains("unknown")), F.lit(0)), r"^\d+", 0).cast("long"), F.lit(0)).alias("unknown")
     return found.select(F.col("case_id").alias("order_id"), *(of(g, s) for g in ("escalate", "settle") for s in ("lower", "upper")), open_, "uncovered")
