@@ -116,13 +116,13 @@ def _sorts(rules: list[Rule], facts: list[tuple[str, DataFrame]]) -> dict[tuple[
 
 
 def _rows(facts: list[tuple[str, DataFrame]]) -> DataFrame:
-    """case_id, kind, t, p, a0, a1, ...: all facts, terms as text."""
-    most = max(_arity(s) for s, _ in facts)
+    """case_id, kind, t, p if any relation has it, a0, a1, ...: all facts, terms as text."""
+    most, doubted = max(_arity(s) for s, _ in facts), any("p" in r.columns for _, r in facts)
     parts = []
     for i, (s, r) in enumerate(facts):
-        p = F.coalesce(F.col("p").cast("double"), F.lit(1.0)) if "p" in r.columns else F.lit(1.0)
+        p = [F.coalesce(F.col("p").cast("double"), F.lit(1.0)).alias("p")] if "p" in r.columns else [F.lit(1.0).alias("p")] if doubted else []
         terms = [(F.coalesce(F.col(f"a{j}").cast("string"), F.lit(_NULL)) if j < _arity(s) else F.lit(None).cast("string")).alias(f"a{j}") for j in range(most)]
-        parts.append(r.select("case_id", F.lit(i).alias("kind"), F.coalesce(F.col("t").cast("int"), F.lit(3)).alias("t"), p.alias("p"), *terms))
+        parts.append(r.select("case_id", F.lit(i).cast("smallint").alias("kind"), F.coalesce(F.col("t").cast("int"), F.lit(3)).cast("tinyint").alias("t"), *p, *terms))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -149,7 +149,8 @@ def _numbered(sorts: list[list[int]], kept: list[str], n_relations: int, most_op
         alone = np.bincount(case, minlength=n) > most_facts
         if most_open is not None:
             alone |= np.bincount(case[(t == 1) & (kind < n_relations)], minlength=n) > most_open
-        whole = np.ascontiguousarray(np.asarray(batch.column("p")), np.float64).view(np.uint64)
+        p = np.asarray(batch.column("p")).astype(np.float64) if "p" in batch.schema.names else np.ones(count)
+        whole = p.view(np.uint64)
         terms = [batch.column(f"a{j}") for j in range(most)]
         rows_of = [np.flatnonzero(np.asarray(a.is_valid()) & ~alone[case]) for a in terms]
         text = pa.concat_arrays([pa.array([], "string"), *(a.take(pa.array(f)).cast("string") for a, f in zip(terms, rows_of, strict=True))]).dictionary_encode()
@@ -168,14 +169,17 @@ def _numbered(sorts: list[list[int]], kept: list[str], n_relations: int, most_op
             np.add.at(grown, of, mixed(mixed(seen)[fact] ^ shift))
             color = mixed(grown)
         free = np.flatnonzero(rank < 0)
-        free = free[np.lexsort((node_code[free], color[free], node_sort[free], node_case[free]))]
+        free = free[np.lexsort((color[free], node[free] // size))]
         starts = np.searchsorted(node_case[free], np.arange(n + 1))
         number = rank.copy()
         number[free] = len(kept) + np.arange(len(free)) - starts[node_case[free]]
         rows = np.zeros((count, 4 + most), np.uint32)  # 0 where a relation has fewer terms
         rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = kind, t, whole >> np.uint64(32), whole & np.uint64(0xFFFFFFFF)
         rows[fact, 4 + place] = number[of] + 1
-        rows = rows[np.lexsort((*rows.T[::-1], case))].astype("<u4")
+        mark = np.zeros(count, np.uint64)  # an order of a case's rows, whichever, in which equal facts come out alike
+        for column in rows.T:
+            mark = mixed(mark + column + np.uint64(1))
+        rows = rows[np.lexsort((mark, case))].astype("<u4")
         ends = np.append(first, count) * rows.itemsize * rows.shape[1]
         facts = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(rows.tobytes())]).cast(pa.binary())
         names = pc.binary_join_element_wise(pa.array(node_sort[free]).cast("string"), text.dictionary.take(pa.array(node_code[free])), ":")
